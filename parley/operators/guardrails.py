@@ -9,6 +9,8 @@ later ones (``CASE`` is lazy, in order).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,16 @@ def violations_table(queries: DataFrame, rules: RuleSet = DEFAULT_RULES) -> Data
     )
 
 
+def moderate_fixed(mapping: dict[str, str], rules: RuleSet = DEFAULT_RULES) -> dict[str, str]:
+    """G6 applied once, at plan-build time, to fixed reply bodies.
+
+    The bodies are constants, so their moderation is constant too; only
+    replies with a data slot are moderated per row in Spark.
+    """
+    pats = [re.compile(p) for p in rules.output_moderation]
+    return {k: (replies.MODERATED_REPLY if any(p.search(v.lower()) for p in pats) else v) for k, v in mapping.items()}
+
+
 def moderate_output(reply, rules: RuleSet = DEFAULT_RULES) -> tuple[Column, Column]:
     """(final reply, filtered flag).  Rules run on the lower-cased reply,
     not stripped; a hit replaces the whole reply with the fixed text."""

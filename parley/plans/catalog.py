@@ -37,6 +37,7 @@ def _load():
     from parley.plans import queries_dashboard  # noqa: F401
     from parley.plans import queries_messages  # noqa: F401
     from parley.plans import queries_misc  # noqa: F401
+    from parley.plans import sql_pipeline  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1,338 @@
-"""Message-classification queries (G, I, T, E, W, P)."""
+"""Message-classification queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.functions import replies
+from parley.functions.rules import DEFAULT_RULES as R
+from parley.functions.text import first_match, left, norm, strip_ws
+from parley.operators import context as C
+from parley.operators import guardrails as G
+from parley.operators import routing as RT
+from parley.operators.escalation import escalation_reply
+from parley.plans import dashboard as D
+from parley.plans import pipeline as P
+from parley.plans import sql_pipeline as SP
+from parley.plans import sql_rules as SR
+from parley.plans.catalog import query
+from parley.plans.sql import lit, with_views
+from parley.sources import driver
+
+# -- G1-G4: one family each, over every user message -----------------------------
+
+
+def _family_query(family: str):
+    def build(t):
+        _, _, pats = R.check(family)
+        return t.user_queries.select("id", first_match(F.col("_t"), pats).alias("matched_pattern"))
+
+    _, _, pats = R.check(family)
+    sql = with_views(f"SELECT id, {SR.first_match('t', pats)} AS matched_pattern FROM gn", "gn")
+    return build, sql
+
+
+for _name, _fam in [("guard_injection", "prompt_injection"), ("guard_integrity", "academic_integrity"),
+                    ("guard_toxicity", "toxicity"), ("guard_privacy", "privacy")]:
+    _b, _s = _family_query(_fam)
+    _b.__doc__ = f"G: the {_fam} check on every user message (matched text or NULL)."
+    query(_name, _s)(_b)
+
+
+@query("guard_first_violation", with_views(
+    "SELECT id, user_id, query, violation_type, matched_pattern, severity FROM gv", "gv"))
+def guard_first_violation(t):
+    """First violation in check order, per user message."""
+    q = t.user_queries.drop("_t")
+    return G.with_violation(q, "query").select("id", "user_id", "query", "violation_type", "matched_pattern",
+                                               "severity")
+
+
+@query("output_moderation", with_views(f"""
+    SELECT id, {SR.any_match('lower(content)', R.output_moderation)} AS output_filtered,
+           {SP.moderated('content')} AS response
+    FROM reply_msg""", "reply_msg"))
+def output_moderation(t):
+    """G6 over every assistant reply."""
+    final, hit = G.moderate_output(F.col("content"))
+    return t.assistant_replies.select("id", hit.alias("output_filtered"), final.alias("response"))
+
+
+# -- I1, I2, I3 ----------------------------------------------------------------------------
+
+@query("intent_keywords", with_views(f"""
+    SELECT id, s_course, s_assignment, s_technical, s_escalation, {SR.intent_pick()} AS intent
+    FROM (SELECT id, {SR.intent_scores('t')} FROM gn)""", "gn"))
+def intent_keywords(t):
+    """Per-label keyword scores and the chosen intent."""
+    u = t.user_queries
+    scores = RT.intent_scores(F.col("_t"))
+    out = u.select("id", *[s.alias(f"s_{lbl}") for lbl, s in scores])
+    best = RT.argmax_label([(lbl, F.col(f"s_{lbl}")) for lbl, _ in scores])
+    return out.select("*", F.when(best[1] > 0, best[0]).otherwise(F.lit("course")).alias("intent"))
+
+
+def _model_label_sql():
+    labels = "[" + ", ".join(lit(v) for v in driver.MODEL_LABELS) + "]"
+    return with_views(f"""
+        SELECT id, model_label, cleaned,
+               CASE WHEN cleaned IN ({', '.join(lit(l) for l in R.intent_labels)}) THEN cleaned
+                    ELSE {SR.intent_pick()} END AS intent
+        FROM ml""", "gn", extra=[("ml", f"""
+        SELECT g.id, l.model_label, regexp_replace(lower(l.model_label), '[^a-z]', '', 'g') AS cleaned,
+               {SR.intent_scores('g.t')}
+        FROM gn g JOIN (SELECT id, {labels}[(conversation_id % 4) + 1] AS model_label FROM chat_q) l
+             ON l.id = g.id""")])
+
+
+@query("intent_model_label", _model_label_sql())
+def intent_model_label(t):
+    """A model's label after cleanup if known, else the keyword intent."""
+    u = t.user_queries.join(t.model_labels.select("id", "model_label"), "id")
+    return u.select("id", "model_label", RT.model_label_clean(F.col("model_label")).alias("cleaned"),
+                    RT.model_intent(F.col("model_label"), F.col("_t")).alias("intent"))
+
+
+def _failover_sql():
+    ph = "[" + ", ".join(lit(v) for v in driver.REPLY_PHRASES) + "]"
+    n = len(driver.REPLY_PHRASES)
+
+    def ans(k):
+        return f"{ph}[((q.conversation_id * 5 + q.turn + {k}) % {n}) + 1] || ' [{k}]'"
+
+    q100 = "substring(query, 1, 100)"
+    kb = (f"CASE WHEN agent = 'course' THEN {SR.map_case(SP.course_topic('t'), replies.KNOWLEDGE_BASE)} "
+          f"WHEN agent = 'assignment' THEN {SP.hint_reply_sql(SP.hint_topic('t'))} "
+          f"WHEN agent = 'technical' THEN {SR.map_case(SR.quick_key('t'), replies.QUICK_SOLUTIONS)} END")
+    srch = (f"CASE WHEN agent = 'course' THEN {SP.template(replies.SEARCH_COURSE, answer='search_answer')} "
+            f"WHEN agent = 'assignment' THEN {SP.template(replies.SEARCH_ASSIGNMENT, answer='search_answer')} END")
+    generic = (f"CASE agent WHEN 'course' THEN {SP.template(replies.COURSE_GENERIC, query=q100)} "
+               f"WHEN 'assignment' THEN {SP.template(replies.ASSIGNMENT_GENERIC, query=q100)} "
+               f"WHEN 'technical' THEN {SP.template(replies.TECHNICAL_GENERIC, query=q100)} END")
+    answers = "agent IN ('course', 'assignment', 'technical')"
+    return with_views(f"""
+        SELECT id, agent, {SP.moderated('answer')} AS answer, source,
+               {SR.any_match('lower(answer)', R.output_moderation)} AS output_filtered
+        FROM f2""", "gn", extra=[
+        ("f0", f"""
+            SELECT g.id, g.query, g.t, q.conversation_id, q.turn,
+                   COALESCE({SR.map_case(SR.intent_pick(), {k: k for k in R.intent_labels})}, 'course') AS agent,
+                   CASE WHEN q.turn % 3 != 0 THEN {ans(0)} END AS answer_a,
+                   CASE WHEN q.conversation_id % 2 != 0 THEN {ans(1)} END AS answer_b,
+                   CASE WHEN q.conversation_id % 3 != 0 THEN {ans(2)} END AS search_answer
+            FROM (SELECT *, {SR.intent_scores('t')} FROM gn) g JOIN chat_q q ON q.id = g.id"""),
+        ("f1", f"""
+            SELECT *, CASE WHEN {answers} THEN answer_a END AS ma, CASE WHEN {answers} THEN answer_b END AS mb,
+                   {srch} AS sr, {kb} AS kb, {generic} AS gen
+            FROM f0"""),
+        ("f2", f"""
+            SELECT *, COALESCE(ma, mb, sr, kb, gen, {lit(replies.AGENT_ERROR_REPLY)}) AS answer,
+                   CASE WHEN ma IS NOT NULL THEN 'model_a' WHEN mb IS NOT NULL THEN 'model_b'
+                        WHEN sr IS NOT NULL THEN 'search' WHEN kb IS NOT NULL THEN 'knowledge_base'
+                        WHEN gen IS NOT NULL THEN 'generic' ELSE 'error' END AS source
+            FROM f1""")])
+
+
+@query("answer_failover", _failover_sql())
+def answer_failover(t):
+    """I3 + G6: first available answer of the routed agent and its source."""
+    a = t.provider_answers.select("id", "answer_a", "answer_b", "search_answer")
+    u = t.user_queries.join(a, "id").withColumn("agent", RT.agent_for_intent(RT.keyword_intent(F.col("_t"))))
+    ans, src, filt = RT.answer_failover(F.col("agent"), F.col("query"), F.col("_t"), F.col("answer_a"),
+                                        F.col("answer_b"), F.col("search_answer"))
+    return u.select("id", "agent", ans.alias("answer"), src.alias("source"), filt.alias("output_filtered"))
+
+
+# -- T1, T2, T3, R1, X9 ----------------------------------------------------------------------
+
+@query("course_topic", with_views(f"SELECT id, {SP.course_topic('t')} AS topic FROM gn", "gn"))
+def course_topic(t):
+    """T1."""
+    return t.user_queries.select("id", RT.course_topic(F.col("_t")).alias("topic"))
+
+
+@query("hint_topic", with_views(f"SELECT id, {SP.hint_topic('t')} AS topic FROM gn", "gn"))
+def hint_topic(t):
+    """T2."""
+    return t.user_queries.select("id", RT.hint_topic(F.col("_t")).alias("topic"))
+
+
+@query("quick_solution", with_views(f"""
+    SELECT id, {SR.quick_key('t')} AS quick_key,
+           COALESCE({SR.map_case(SR.quick_key('t'), replies.QUICK_SOLUTIONS)},
+                    {SP.template(replies.TECHNICAL_GENERIC, query='substring(query, 1, 100)')}) AS reply
+    FROM gn""", "gn"))
+def quick_solution(t):
+    """T3 + technical reply."""
+    u = t.user_queries
+    k = RT.quick_key(F.col("_t"))
+    return u.select("id", k.alias("quick_key"), RT.technical_reply(F.col("query"), k).alias("reply"))
+
+
+@query("kb_reply", with_views(f"""
+    SELECT id, agent, {SP.moderated(SP.agent_reply('agent', 'query', 't'))} AS reply
+    FROM (SELECT *, COALESCE({SR.map_case(SR.intent_pick(), {k: k for k in R.intent_labels})}, 'course') AS agent
+          FROM (SELECT *, {SR.intent_scores('t')} FROM gn))""", "gn"))
+def kb_reply(t):
+    """The routed agent's fallback reply (moderated)."""
+    u = t.user_queries.withColumn("agent", RT.agent_for_intent(RT.keyword_intent(F.col("_t"))))
+    return u.select("id", "agent", RT.agent_reply(F.col("agent"), F.col("query"), F.col("_t")).alias("reply"))
+
+
+def _cleanup_sql():
+    x = "lower(query)"
+    for s in R.query_cleanup:
+        x = SR.strip(f"replace({x}, {lit(s)}, '')")
+    return with_views(f"SELECT id, CASE WHEN length(c) > 0 THEN c ELSE query END AS search_query "
+                      f"FROM (SELECT id, query, {x} AS c FROM gn)", "gn")
+
+
+@query("query_cleanup", _cleanup_sql())
+def query_cleanup(t):
+    """The cleaned search text (original when nothing is left)."""
+    return t.user_queries.select("id", RT.search_query(F.col("query")).alias("search_query"))
+
+
+# -- W1-W4, E1-E3 ----------------------------------------------------------------------------------
+
+@query("frustration_window", with_views(f"""
+    SELECT conversation_id, turn, n_prior, n_frustrated,
+           n_prior >= {R.frustration_frame} AND n_frustrated >= {R.frustration_min} AS repeated_frustration
+    FROM ctx""", "ctx"))
+def frustration_window(t):
+    """W1 for every message of every conversation."""
+    f = C.frustration(t.chat_messages)
+    m = t.chat_messages.select("conversation_id", "turn").join(f, C.KEY, "left")
+    n_prior = F.coalesce(F.col("n_prior"), F.lit(0))
+    n_fr = F.coalesce(F.col("n_frustrated"), F.lit(0)).cast("long")
+    return m.select("conversation_id", "turn", n_prior.alias("n_prior"), n_fr.alias("n_frustrated"),
+                    C.is_repeated_frustration(n_prior, n_fr).alias("repeated_frustration"))
+
+
+@query("model_context", with_views(f"""
+    SELECT m.conversation_id, m.turn, p.turn - greatest(m.turn - 6, 0) AS pos,
+           CASE WHEN p.role = 'user' THEN 'user' ELSE 'model' END AS role, p.content
+    FROM chat_msg m JOIN chat_msg p
+      ON p.conversation_id = m.conversation_id AND p.turn BETWEEN m.turn - 6 AND m.turn - 1""", "chat_msg"))
+def model_context(t):
+    """Last 6 prior messages of every message, one row per item."""
+    c = C.model_context(t.chat_messages)
+    return c.select("conversation_id", "turn", F.posexplode("context").alias("pos", "item")).select(
+        "conversation_id", "turn", "pos", F.col("item.role").alias("role"), F.col("item.content").alias("content"))
+
+
+@query("handoff_summary", with_views("""
+    SELECT g.conversation_id, g.turn, g.query AS student_query, g.turn AS conversation_length,
+           p.turn - greatest(g.turn - 5, 0) AS pos, p.role, substring(p.content, 1, 200) AS content
+    FROM gn g LEFT JOIN chat_msg p
+      ON p.conversation_id = g.conversation_id AND p.turn BETWEEN g.turn - 5 AND g.turn - 1""", "gn", "chat_msg"))
+def handoff_summary(t):
+    """Hand-off record of every user message, one row per
+    recent message (a message without context gives one row of NULLs)."""
+    q = t.user_queries.select("conversation_id", "turn", F.col("query").alias("content"))
+    h = C.handoff_summary(q, t.chat_messages)
+    return h.select("conversation_id", "turn", "student_query", "conversation_length",
+                    F.posexplode_outer("recent_messages").alias("pos", "item")).select(
+        "conversation_id", "turn", "student_query", "conversation_length", "pos",
+        F.col("item.role").alias("role"), F.col("item.content").alias("content"))
+
+
+@query("message_turns", with_views("""
+    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1 AS turn
+    FROM msg""", "msg"))
+def message_turns(t):
+    """Turn numbers recomputed from time order (id tiebreak)."""
+    m = t.messages.drop("turn")
+    return C.message_turns(m).select("id", "conversation_id", "turn")
+
+
+@query("escalation_decision", with_views(
+    "SELECT id, escalated, escalation_reason, guardrail_triggered FROM dec", "dec"))
+def escalation_decision(t):
+    """E1 (with W1 context and the violation rule) per user message."""
+    return t.decisions.select("id", "escalated", "escalation_reason", "guardrail_triggered")
+
+
+@query("escalation_reply", with_views(f"""
+    SELECT id, escalation_reason,
+           COALESCE({SR.map_case('escalation_reason', replies.ESCALATION_MESSAGES)},
+                    {lit(replies.ESCALATION_MESSAGES['student_request'])}) AS reply
+    FROM dec WHERE escalated""", "dec"))
+def escalation_reply_q(t):
+    """Reply text for every escalated message."""
+    p = P.prepare(t.chat_messages).where(P.escalated_predicate())
+    d = P.decide(p)
+    return d.select("id", "escalation_reason", escalation_reply(F.col("escalation_reason")).alias("reply"))
+
+
+# -- P1-P4, S5, S9, S10, O1 -------------------------------------------------------------------------
+
+@query("pipeline_decisions", with_views("SELECT * FROM dec", "dec"))
+def pipeline_decisions(t):
+    """One decision per user message."""
+    return t.decisions
+
+
+@query("pipeline_events", with_views("SELECT * FROM pev", "pev"))
+def pipeline_events(t):
+    """Analytics events emitted by the decisions."""
+    return P.events_from(t.decisions)
+
+
+@query("pipeline_violations", with_views("SELECT * FROM pviol", "pviol"))
+def pipeline_violations(t):
+    """P3 / S4."""
+    return P.pipeline_violations(t.chat_messages)
+
+
+@query("pipeline_escalations", with_views("SELECT * FROM pesc", "pesc"))
+def pipeline_escalations(t):
+    """P4 / S6."""
+    return P.pipeline_escalations(t.chat_messages)
+
+
+@query("messages_with_replies", with_views("""
+    SELECT id * 2 AS id, conversation_id, 'user' AS role, query AS content, CAST(NULL AS VARCHAR) AS agent_type,
+           created_at, turn, 0 AS seq FROM dec
+    UNION ALL
+    SELECT id * 2 + 1, conversation_id, 'assistant', response, agent_type, created_at, turn, 1 FROM dec""", "dec"))
+def messages_with_replies(t):
+    """The stored conversation, user turn then reply."""
+    return P.messages_with_replies(t.decisions)
+
+
+_HEADERS = ("hdr", """
+    SELECT conversation_id AS id, min(user_id) AS user_id, 'orchestrator' AS initial_agent,
+           arg_min(substring(query, 1, 80), turn) AS title, 'active' AS status, min(created_at) AS created_at
+    FROM gq GROUP BY conversation_id""")
+
+
+@query("conversation_headers", with_views("SELECT * FROM hdr", "gq", extra=[_HEADERS]))
+def conversation_headers(t):
+    """Conversation header from its first user query."""
+    return P.conversation_headers(t.chat_messages)
+
+
+_STATE = ("st", """
+    SELECT conversation_id, arg_max(agent_type, turn) AS agent_type, max(created_at) AS updated_at,
+           count(*) AS n_decisions
+    FROM dec GROUP BY conversation_id""")
+
+
+@query("conversation_state", with_views("SELECT * FROM st", "dec", extra=[_STATE]))
+def conversation_state(t):
+    """Latest agent and update time per conversation."""
+    return P.conversation_state(t.decisions)
+
+
+@query("recent_conversations", with_views("""
+    SELECT *, rank <= 5 AS shown FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id DESC) AS rank FROM cv)
+    WHERE rank <= 20""", "gq", "dec", extra=[_HEADERS, _STATE, ("cv", """
+    SELECT h.id, h.user_id, COALESCE(s.agent_type, h.initial_agent) AS agent_type, h.title, h.status,
+           h.created_at, COALESCE(s.updated_at, h.created_at) AS updated_at
+    FROM hdr h LEFT JOIN st s ON s.conversation_id = h.id""")]))
+def recent_conversations(t):
+    """Each user's 20 latest conversations, top 5 flagged shown."""
+    conv = P.conversations_table(t.chat_messages, t.decisions)
+    return D.recent_conversations(conv, 20, 5)

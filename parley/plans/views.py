@@ -63,3 +63,27 @@ class Tables:
         """guardrail_violations = G5 over the user turns."""
         from parley.operators.guardrails import violations_table
         return violations_table(self.chat_queries)
+
+    @cached_property
+    def user_queries(self) -> DataFrame:
+        """User turns with ``query`` (stripped, non-empty) and ``_t`` (its
+        lower-cased, stripped form, the text every rule reads)."""
+        from pyspark.sql import functions as F
+
+        from parley.functions.text import norm, strip_ws
+        q = self.chat_queries.select("id", "conversation_id", "turn", "user_id", "created_at",
+                                     strip_ws(F.col("content")).alias("query"))
+        return q.where(F.length("query") > 0).withColumn("_t", norm(F.col("query")))
+
+    @cached_property
+    def model_labels(self) -> DataFrame:
+        return driver.model_labels(self.spark, self.sf_dir)
+
+    @cached_property
+    def provider_answers(self) -> DataFrame:
+        return driver.provider_answers(self.spark, self.sf_dir)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        from parley.plans.pipeline import classify_messages
+        return classify_messages(self.chat_messages)

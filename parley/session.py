@@ -59,3 +59,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared
+    ``spark.checkpoint.dir`` (survives executor loss; never a local one)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
