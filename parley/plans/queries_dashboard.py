@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.plans import dashboard as D
-from parley.plans import sql_rules  # noqa: F401  (registers the viol view)
+from parley.plans import sql_pipeline, sql_rules  # noqa: F401  (register oracle views)
 from parley.plans.catalog import query
 from parley.plans.sql import with_views
 
@@ -139,3 +139,25 @@ def tickets_visible(t):
 def courses_sorted(t):
     """O4."""
     return D.courses_sorted(t.courses)
+
+
+@query("pipeline_dashboard", with_views(f"""
+    SELECT q AS total_queries, n_esc AS total_escalations, rate AS escalation_rate,
+           COALESCE(CAST(round_even(avg_rt, 0) AS BIGINT), 0) AS avg_response_time_ms,
+           n_viol AS total_violations, open_t AS open_tickets, students AS total_students,
+           resolved_t AS resolved_tickets, {_SAT} AS satisfaction_score
+    FROM prated""", "pev", "pesc", "pviol", "tkt", "usr", extra=[("pbase", """
+    SELECT (SELECT count(*) FROM pev WHERE event_type = 'query') AS q,
+           (SELECT count(*) FROM pesc) AS n_esc,
+           (SELECT count(*) FROM pev WHERE event_type = 'escalation') AS esc_ev,
+           (SELECT avg(response_time_ms) FROM pev WHERE response_time_ms IS NOT NULL) AS avg_rt,
+           (SELECT count(*) FROM pviol) AS n_viol,
+           (SELECT count(*) FROM tkt WHERE status != 'resolved') AS open_t,
+           (SELECT count(*) FROM usr WHERE role = 'student') AS students,
+           (SELECT count(*) FROM tkt WHERE status = 'resolved') AS resolved_t"""),
+    ("prated", "SELECT *, round_even(esc_ev / greatest(q, 1) * 100, 1) AS rate FROM pbase")]))
+def pipeline_dashboard(t):
+    """Flagship: dashboard (A13) over the tables the pipeline derives
+    from the messages (P1 -> P2/P3/P4), plus tickets and users."""
+    from parley.plans.flagship import pipeline_dashboard as flow
+    return flow(t)

@@ -87,7 +87,9 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS id, c_name AS username, sha256(c_name) AS password_hash, c_name AS display_name,
                lower(replace(c_name, '#', '.')) || '@example.edu' AS email,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'faculty' WHEN 'MACHINERY' THEN 'admin' ELSE 'student' END AS role,
-               '[]' AS enrolled_courses, {EPOCH} AS created_at, CAST(NULL AS TIMESTAMP) AS last_login
+               CASE WHEN c_nationkey % 2 = 0 THEN '["N' || CAST(c_nationkey AS VARCHAR) || '"]' ELSE '[]' END
+                   AS enrolled_courses,
+               {EPOCH} AS created_at, CAST(NULL AS TIMESTAMP) AS last_login
         FROM customer""",
     "tkt": f"""
         SELECT o_orderkey AS id, o_custkey AS user_id,
@@ -113,6 +115,38 @@ VIEWS: dict[str, str] = {
         FROM part""",
 }
 
+VIEWS["tkt_req"] = f"""
+        SELECT o_orderkey AS request_id, o_custkey AS user_id,
+               CASE WHEN o_orderkey % 7 != 0 THEN {arr(driver.TICKET_CATEGORIES)}[(o_orderkey % 5) + 1] END AS category,
+               CASE WHEN o_orderkey % 13 = 0 THEN '   ' ELSE '  Order ' || CAST(o_orderkey AS VARCHAR) || ' issue ' END
+                   AS subject,
+               CASE WHEN o_orderkey % 3 != 0 THEN ' status ' || o_orderstatus || chr(10) END AS description,
+               o_orderdate AS created_at
+        FROM orders"""
+VIEWS["esc_req"] = f"""
+        SELECT event_id AS request_id, user_id,
+               CASE WHEN event_id % 5 != 0 THEN user_id END AS conversation_id,
+               CASE WHEN event_id % 3 != 0 THEN {arr(driver.ESCALATION_REASONS)}[(event_id % 4) + 1] END AS reason,
+               CASE WHEN event_id % 2 != 0 THEN props END AS summary,
+               ts AS created_at
+        FROM events WHERE event_type = 'purchase'"""
+VIEWS["marks"] = """
+        SELECT event_id AS request_id, 'start' AS mark, ts AS at FROM events WHERE event_id % 17 != 1
+        UNION ALL
+        SELECT event_id, 'stop', ts + to_milliseconds(CAST(trunc(value * 10) AS BIGINT)) FROM events
+        WHERE event_id % 10 != 0"""
+VIEWS["reg_req"] = """
+        SELECT c_custkey AS request_id, '  ' || c_name || ' ' AS username, repeat('x', 3 + c_custkey % 6) AS password,
+               CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS display_name, '' AS email, 0 AS copy
+        FROM customer
+        UNION ALL
+        SELECT c_custkey, '  ' || c_name || ' ', repeat('x', 3 + c_custkey % 6),
+               CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END, '', 1
+        FROM customer WHERE c_custkey % 7 = 0"""
+VIEWS["reg_existing"] = """
+        SELECT c_custkey AS id, c_name AS username FROM customer
+        WHERE c_custkey < (SELECT (max(c_custkey) + 1) / 2 FROM customer)"""
+
 # view dependencies (a query lists what it reads; the closure is emitted)
 DEPENDS = {"chat_msg": ["msg"], "chat_q": ["chat_msg"], "reply_msg": ["msg"]}
 

@@ -4,7 +4,7 @@ The test data is a generic star schema plus a ``conversations`` table of
 invented prose.  These views map it onto the application's tables so that
 every query reads the given tables (and grows with them).  Each mapping
 is a narrow projection or a filter: no shuffle, no join.  The same
-mappings are written independently in SQL in :mod:`parley.plans.oracle`.
+mappings are written independently in SQL in :mod:`parley.plans.sql`.
 """
 
 from __future__ import annotations
@@ -193,7 +193,9 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("display_name"),
         F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.edu")).alias("email"),
         F.when(seg == "BUILDING", "faculty").when(seg == "MACHINERY", "admin").otherwise("student").alias("role"),
-        F.lit("[]").alias("enrolled_courses"),
+        F.when(F.pmod(F.col("c_nationkey"), F.lit(2)) == 0,
+               F.concat(F.lit('["N'), F.col("c_nationkey").cast("string"), F.lit('"]'))).otherwise(F.lit("[]"))
+        .alias("enrolled_courses"),
         F.lit(EPOCH).cast("timestamp_ntz").alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("last_login"),
     )
@@ -278,11 +280,40 @@ def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def existing_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """users whose id is below half of the customer key range (S12 input)."""
+    """users whose key is below half of the customer key range (S12 input);
+    the bound is a scalar subquery, not a driver round-trip."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    # the key range is known from parquet statistics-backed min/max; keep it
-    # declarative with a scalar subquery instead of a driver round-trip
-    c.createOrReplaceTempView("_parley_customer_keys")
-    return spark.sql(
-        "SELECT c_custkey AS id, c_name AS username FROM _parley_customer_keys "
-        "WHERE c_custkey < (SELECT (max(c_custkey) + 1) / 2 FROM _parley_customer_keys)")
+    half = c.select((F.max("c_custkey") + 1) / 2).scalar()
+    return c.where(F.col("c_custkey") < half).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+
+
+# -- ticket and escalation requests (S8, S7) ----------------------------------
+
+def ticket_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw ticket-form submissions: missing category, blank subjects,
+    untrimmed text."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("request_id"), F.col("o_custkey").alias("user_id"),
+        F.when(F.pmod(k, F.lit(7)) != 0, _pick(TICKET_CATEGORIES, F.pmod(k, F.lit(5)))).alias("category"),
+        F.when(F.pmod(k, F.lit(13)) == 0, F.lit("   "))
+        .otherwise(F.concat(F.lit("  Order "), k.cast("string"), F.lit(" issue "))).alias("subject"),
+        F.when(F.pmod(k, F.lit(3)) != 0, F.concat(F.lit(" status "), F.col("o_orderstatus"), F.lit("\n")))
+        .alias("description"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual escalation submissions (purchase events): some without a
+    conversation, a reason or a summary."""
+    e = read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    k = F.col("event_id")
+    return e.select(
+        k.alias("request_id"), "user_id",
+        F.when(F.pmod(k, F.lit(5)) != 0, F.col("user_id")).alias("conversation_id"),
+        F.when(F.pmod(k, F.lit(3)) != 0, _pick(ESCALATION_REASONS, F.pmod(k, F.lit(4)))).alias("reason"),
+        F.when(F.pmod(k, F.lit(2)) != 0, F.col("props")).alias("summary"),
+        F.col("ts").alias("created_at"),
+    )
