@@ -91,7 +91,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``created_at`` = epoch + conv_id hours + turn minutes (ordering = turn).
     """
-    c = read(spark, sf_dir, "conversations")
+    return map_messages(read(spark, sf_dir, "conversations"))
+
+
+def map_messages(c: DataFrame) -> DataFrame:
+    """The messages projection of a (batch or streaming) conversations table."""
     return c.select(
         message_id(F.col("conv_id"), F.col("turn")).alias("id"),
         F.col("conv_id").alias("conversation_id"),
@@ -115,7 +119,10 @@ def splice_reply(content: Column, conv: Column, turn: Column) -> Column:
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """messages with a test phrase in front of every user turn."""
-    m = messages(spark, sf_dir)
+    return map_chat(messages(spark, sf_dir))
+
+
+def map_chat(m: DataFrame) -> DataFrame:
     return m.withColumn(
         "content",
         F.when(F.col("role") == "user", splice_user(F.col("content"), F.col("conversation_id"), F.col("turn")))
@@ -165,7 +172,11 @@ AGENTS_BY_USER = [None, "course", "assignment", "technical", "escalation"]
 
 
 def analytics_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return map_events(read(spark, sf_dir, "events"))
+
+
+def map_events(e: DataFrame) -> DataFrame:
+    """The analytics_events projection of a (batch or streaming) events table."""
     et = F.col("event_type")
     mapped = None
     for k, v in EVENT_TYPE.items():
@@ -255,13 +266,18 @@ def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """start/stop marks per request; some stops and some starts are missing."""
-    e = read(spark, sf_dir, "events")
+    start, stop = map_marks(read(spark, sf_dir, "events"))
+    return start.unionByName(stop)
+
+
+def map_marks(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(start marks, stop marks) of a (batch or streaming) events table."""
     start = e.where(F.pmod("event_id", F.lit(17)) != 1).select(
         F.col("event_id").alias("request_id"), F.lit("start").alias("mark"), F.col("ts").alias("at"))
     stop = e.where(F.pmod("event_id", F.lit(10)) != 0).select(
         F.col("event_id").alias("request_id"), F.lit("stop").alias("mark"),
         (F.col("ts") + F.make_dt_interval(secs=((F.col("value") * 10).cast("long") / 1000).cast("decimal(18,6)"))).alias("at"))
-    return start.unionByName(stop)
+    return start, stop
 
 
 def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
