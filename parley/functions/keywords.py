@@ -1,0 +1,142 @@
+"""Keyword matching engine: which catalog words occur in a text.
+
+Every keyword rule of the catalog is substring containment on the
+lower-cased text, and there are ~200 distinct words (intent keywords,
+topic keywords, escalation / grading / frustration phrases, quick keys,
+and the leading literal words that gate each regex rule).  As Spark
+``contains`` calls that is ~160 scans of each message; measured on this
+build (Spark 4.1, 82k messages, 8 cores) 99 ``contains`` took 6.3 s while
+one Aho-Corasick pass for all 174 words took 0.5 s.
+
+So the matching itself is one Arrow-batched pandas UDF returning the
+sorted ids of the words present (``array<int>``); everything built on it
+-- weighted scores, arg-max with tie order, first-match rules, regex
+gates -- stays as Spark expressions over that small array.  Without
+``pyahocorasick`` on a worker the UDF falls back to Python substring tests
+(still one pass per batch).  ``engine="expr"`` keeps the all-JVM form.
+"""
+
+from __future__ import annotations
+
+import functools
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parley.functions.rules import DEFAULT_RULES, RuleSet
+
+
+@functools.lru_cache(maxsize=16)
+def catalog(rules: RuleSet = DEFAULT_RULES) -> tuple[str, ...]:
+    """All literal words any keyword rule or regex gate may ask about."""
+    from parley.functions.text import anchors
+    words: set[str] = set()
+    for _, kws in rules.intent_keywords + rules.course_topics + rules.hint_topics:
+        words.update(kws)
+    words.update(rules.escalation_phrases, rules.grading_phrases, rules.frustration_words, rules.quick_keys)
+    for _, _, pats in rules.checks:
+        for p in pats:
+            words.update(anchors(p) or [])
+    for p in rules.output_moderation:
+        words.update(anchors(p) or [])
+    return tuple(sorted(words))
+
+
+_AUTOMATA: dict[tuple[str, ...], object] = {}
+
+
+def _matcher(words: tuple[str, ...]):
+    m = _AUTOMATA.get(words)
+    if m is None:
+        try:
+            import ahocorasick
+            a = ahocorasick.Automaton()
+            for i, w in enumerate(words):
+                a.add_word(w, i)
+            a.make_automaton()
+
+            def m(text: str) -> list[int]:
+                return sorted({i for _, i in a.iter(text)})
+        except ImportError:  # plain substring tests, same result
+            def m(text: str) -> list[int]:
+                return [i for i, w in enumerate(words) if w in text]
+        _AUTOMATA[words] = m
+    return m
+
+
+def hits_udf(words: tuple[str, ...]):
+    """pandas UDF: text -> sorted ids of the catalog words it contains."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def keyword_hits(texts: pd.Series) -> pd.Series:
+        find = _matcher(words)
+        return texts.map(lambda t: None if t is None else find(t))
+
+    return keyword_hits
+
+
+@dataclass(frozen=True)
+class Matcher:
+    """A text column plus the ids of the catalog words it contains.
+
+    Passed wherever a lower-cased text column is expected; the keyword
+    helpers of :mod:`parley.functions.text` answer containment from the
+    id array and regex helpers read ``text``.
+    """
+
+    text: Column
+    hits: Column
+    words: tuple[str, ...]
+
+    def ids(self, words) -> list[int]:
+        index = {w: i for i, w in enumerate(self.words)}
+        missing = [w for w in words if w not in index]
+        if missing:
+            raise KeyError(f"words not in the keyword catalog: {missing[:5]}")
+        return [index[w] for w in words]
+
+    def any_of(self, words) -> Column:
+        ids = sorted(set(self.ids(words)))
+        return F.coalesce(F.arrays_overlap(self.hits, F.array(*[F.lit(i) for i in ids])), F.lit(False))
+
+    def has(self, word: str) -> Column:
+        return F.coalesce(F.array_contains(self.hits, F.lit(self.ids([word])[0])), F.lit(False))
+
+    def score(self, words, weight) -> Column:
+        """Sum of ``weight(w)`` over the listed words present."""
+        by_w: dict[int, list[int]] = {}
+        for w in words:
+            by_w.setdefault(int(weight(w)), []).extend(self.ids([w]))
+        out = F.lit(0)
+        for wt, ids in sorted(by_w.items()):
+            n = F.size(F.array_intersect(self.hits, F.array(*[F.lit(i) for i in sorted(set(ids))])))
+            out = out + (n if wt == 1 else n * wt)
+        return F.coalesce(out, F.lit(0))
+
+
+ENGINE = {"name": None}
+
+
+def default_engine() -> str:
+    """``automaton`` (one matching pass per text, Arrow-batched) unless set
+    otherwise with :func:`set_engine` or ``PARLEY_KEYWORD_ENGINE``."""
+    import os
+    return ENGINE["name"] or os.environ.get("PARLEY_KEYWORD_ENGINE", "automaton")
+
+
+def set_engine(name: str | None) -> None:
+    if name not in (None, "automaton", "expr"):
+        raise ValueError(name)
+    ENGINE["name"] = name
+
+
+def with_hits(df, text: str = "_t", out: str = "_hits", rules: RuleSet = DEFAULT_RULES):
+    """Add the id array of catalog words contained in column ``text``."""
+    return df.withColumn(out, hits_udf(catalog(rules))(F.col(text)))
+
+
+def matcher(text: str = "_t", hits: str = "_hits", rules: RuleSet = DEFAULT_RULES) -> Matcher:
+    return Matcher(F.col(text), F.col(hits), catalog(rules))

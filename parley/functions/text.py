@@ -9,9 +9,10 @@ Rules are written in Python ``re`` syntax and applied to lower-cased,
 stripped text.  Java regex differs in three places, so :func:`java_regex`
 rewrites a rule before it reaches Spark:
 
-* ``\\b`` -> explicit look-arounds on ``[\\p{L}\\p{N}_]`` (a Python word
-  character is any Unicode letter or number, or ``_``);
-* ``\\s`` -> ``[\\s\\x{1c}-\\x{1f}]`` under ``(?U)`` (Python's whitespace set);
+* ``\\b`` -> a look-around on ``[\\p{L}\\p{N}_]`` (a Python word character
+  is any Unicode letter or number, or ``_``); one-sided where the
+  neighbouring token is a word;
+* ``\\s`` -> Python's whitespace set spelled out, ``\\d`` -> ``\\p{Nd}``;
 * ``.`` stops only at ``\\n`` -> flag ``(?d)``.
 """
 
@@ -25,7 +26,22 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
 _BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-_WS = r"[\s\x{1c}-\x{1f}]"
+_BEFORE_WORD = rf"(?<!{WORD})"
+_AFTER_WORD = rf"(?!{WORD})"
+# Python's whitespace set: \t-\r, \x1c-\x1f, space, \x85 and the Unicode
+# separators (Zs, Zl, Zp)
+_WS_CLASS = r"\t-\r\x{1c}-\x{1f} \x{85}\p{Z}"
+_WS = f"[{_WS_CLASS}]"
+_META = set("\\()[].*+?{}|^$")
+
+
+def _word_edge(prev: str, nxt: str) -> str:
+    """``\b`` next to a word token: the one-sided test is exact and cheaper."""
+    if nxt == "(" or nxt.isalnum():
+        return _BEFORE_WORD
+    if prev == ")" or prev.isalnum():
+        return _AFTER_WORD
+    return _BOUNDARY
 
 
 def java_regex(pattern: str) -> str:
@@ -38,9 +54,11 @@ def java_regex(pattern: str) -> str:
         if ch == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
             if nxt == "b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(_word_edge(pattern[i - 1] if i else "", pattern[i + 2] if i + 2 < len(pattern) else ""))
             elif nxt == "s":
-                out.append(r"\s\x{1c}-\x{1f}" if in_class else _WS)
+                out.append(_WS_CLASS if in_class else _WS)
+            elif nxt == "d":
+                out.append(r"\p{Nd}")
             else:
                 out.append(ch + nxt)
             i += 2
@@ -51,21 +69,66 @@ def java_regex(pattern: str) -> str:
             in_class = False
         out.append(ch)
         i += 1
-    return "(?dU)" + "".join(out)
+    return "(?d)" + "".join(out)
+
+
+def anchors(pattern: str) -> list[str] | None:
+    """Literal words one of which every match of ``pattern`` starts with.
+
+    The leading token (after ``\b``) is a literal or a group of literal
+    alternatives; the literal prefix of each alternative is a necessary
+    substring.  ``None`` when no such prefix exists (always run the rule).
+    """
+    p = pattern[2:] if pattern.startswith(r"\b") else pattern
+    if p.startswith("("):
+        depth, j = 0, 0
+        for j, ch in enumerate(p):
+            depth += ch == "("
+            depth -= ch == ")"
+            if depth == 0:
+                break
+        alts = p[1:j].split("|") if "(" not in p[1:j] else None
+        if alts is None:
+            return None
+    else:
+        alts = [p]
+    out = []
+    for a in alts:
+        k = 0
+        while k < len(a) and a[k] not in _META:
+            k += 1
+        if k == 0 or (k < len(a) and a[k] in "*?{"):
+            return None  # empty prefix, or the last char is optional
+        out.append(a[:k])
+    return out
 
 
 def col_(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column from a name, a Column, or a keyword Matcher (its text)."""
+    if isinstance(c, str):
+        return F.col(c)
+    return c.text if _is_matcher(c) else c
+
+
+def _is_matcher(c) -> bool:
+    # a Column answers any attribute (as a struct field), so test the type
+    return type(c).__name__ == "Matcher"
 
 
 # -- X1, X2: case and whitespace --------------------------------------------
 
+# the same set as characters, for btrim
+WHITESPACE = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680,
+                                      *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
 
-    ``trim`` only removes ASCII spaces, so use an anchored regex.
+    ``trim`` only removes ASCII spaces; ``btrim`` with the full whitespace
+    set is exact (and cheaper than an anchored regex).
     """
-    return F.regexp_replace(col_(c), rf"(?U)^{_WS}+|{_WS}+\z", "")
+    return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
 def norm(c) -> Column:
@@ -79,27 +142,54 @@ def is_blank(c) -> Column:
 
 # -- X3: regex search with first-match-wins ----------------------------------
 
+def _gate(c, pattern: str) -> Column | None:
+    words = anchors(pattern)
+    return None if words is None else contains_any(c, sorted(set(words)))
+
+
 def rlike_any(c, patterns: Sequence[str]) -> Column:
-    """True when any rule matches (one alternation: a single scan per row)."""
-    alt = "|".join(f"(?:{java_regex(p)[5:]})" for p in patterns)
-    return col_(c).rlike("(?dU)" + alt)
+    """True when any rule matches.
+
+    Rules whose leading literal words are absent are skipped with cheap
+    ``contains`` tests; the rest run as one alternation (a single scan).
+    """
+    m, c = c, col_(c)
+    gated, free = [], []
+    for p in patterns:
+        (free if anchors(p) is None else gated).append(p)
+    terms = []
+    for p in gated:
+        terms.append(_gate(m, p) & c.rlike(java_regex(p)))
+    if free:
+        terms.append(c.rlike("(?d)" + "|".join(f"(?:{java_regex(p)[4:]})" for p in free)))
+    out = terms[0]
+    for t in terms[1:]:
+        out = out | t
+    return out
 
 
 def first_match(c, patterns: Sequence[str]) -> Column:
     """Matched text of the first rule (in list order) that matches, else NULL.
 
-    One alternation ``rlike`` guards the per-rule extraction, so a clean
-    row pays for a single regex scan; ``coalesce`` evaluates the rules
-    lazily in order (no rule matches the empty string, so '' = no match).
+    Each rule is tried only when its leading literal words occur (cheap
+    ``contains``); ``coalesce`` evaluates the rules lazily in order, and no
+    rule matches the empty string, so '' means no match.
     """
-    c = col_(c)
-    found = F.coalesce(*[F.nullif(F.regexp_extract(c, java_regex(p), 0), F.lit("")) for p in patterns])
-    return F.when(rlike_any(c, patterns), found)
+    mt, c = c, col_(c)
+    found = []
+    for p in patterns:
+        m = F.nullif(F.regexp_extract(c, java_regex(p), 0), F.lit(""))
+        g = _gate(mt, p)
+        found.append(m if g is None else F.when(g, m))
+    return F.coalesce(*found) if len(found) > 1 else found[0]
 
 
 # -- X4, A14-A16: keyword containment and scores ----------------------------
 
 def contains_any(c, words: Iterable[str]) -> Column:
+    """True when the text contains any of ``words`` (substring)."""
+    if _is_matcher(c):
+        return c.any_of(list(words))
     c = col_(c)
     out = None
     for w in words:
@@ -110,6 +200,8 @@ def contains_any(c, words: Iterable[str]) -> Column:
 
 def keyword_score(c, keywords: Iterable[str], weight) -> Column:
     """Sum of ``weight(kw)`` over keywords contained in ``c`` (substring)."""
+    if _is_matcher(c):
+        return c.score(list(keywords), weight)
     c = col_(c)
     terms = [F.when(c.contains(k), F.lit(int(weight(k)))).otherwise(F.lit(0)) for k in keywords]
     out = terms[0]

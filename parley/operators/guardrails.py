@@ -9,6 +9,8 @@ later ones (``CASE`` is lazy, in order).
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -61,29 +63,48 @@ def violation_message(vtype: Column) -> Column:
     return replies.lookup(replies.VIOLATION_MESSAGES, vtype)
 
 
-def with_violation(df: DataFrame, text: str = "content", rules: RuleSet = DEFAULT_RULES,
-                   keep_text: bool = False) -> DataFrame:
-    """Add violation_type / matched_pattern / severity.
+def _context_key():
+    from pyspark import SparkContext
+    return id(SparkContext._active_spark_context)
 
-    The lower-cased, stripped text is computed once into ``_t``; each rule
-    family is its own guarded ``CASE`` column (keeps generated methods
-    small), evaluated only when the earlier families found nothing.
-    """
-    out = df.withColumn("_t", norm(F.col(text)))
-    fams = family_matches(F.col("_t"), rules)
-    for name, _, m in fams:
-        out = out.withColumn(f"_m_{name}", m)
+
+@functools.lru_cache(maxsize=64)
+def _violation_columns(rules: RuleSet, text: str, ctx: int, engine: str = "expr"):
+    """Rule columns over the normalised-text column ``text`` (built once per
+    rule set and Spark context: they are plain unresolved expressions)."""
+    from parley.functions.keywords import matcher
+    t = matcher(text, "_hits", rules) if engine == "automaton" else F.col(text)
+    fams = [(name, sev, first_match(t, pats)) for name, sev, pats in rules.checks]
+    matches = [m.alias(f"_m_{name}") for name, _, m in fams]
     vtype = sev = None
     for name, severity, _ in fams:
         hit = F.col(f"_m_{name}").isNotNull()
         vtype = F.when(hit, F.lit(name)) if vtype is None else vtype.when(hit, F.lit(name))
         sev = F.when(hit, F.lit(severity)) if sev is None else sev.when(hit, F.lit(severity))
-    out = out.select(
-        "*", vtype.alias("violation_type"),
-        F.coalesce(*[F.col(f"_m_{n}") for n, _, _ in fams]).alias("matched_pattern"),
-        sev.alias("severity"))
-    drop = [f"_m_{n}" for n, _, _ in fams] + ([] if keep_text else ["_t"])
-    return out.drop(*drop)
+    result = [vtype.alias("violation_type"),
+              F.coalesce(*[F.col(f"_m_{n}") for n, _, _ in fams]).alias("matched_pattern"),
+              sev.alias("severity")]
+    return matches, result, [f"_m_{n}" for n, _, _ in fams]
+
+
+def with_violation(df: DataFrame, text: str = "content", rules: RuleSet = DEFAULT_RULES,
+                   keep_text: bool = False, engine: str | None = None) -> DataFrame:
+    """Add violation_type / matched_pattern / severity.
+
+    The lower-cased, stripped text is computed once into ``_t``; each rule
+    family is its own ``CASE`` column (keeps generated methods small, and a
+    rule's regex runs only when its leading words occur); the first family
+    in catalog order that matched decides the type.
+    """
+    from parley.functions.keywords import default_engine, with_hits
+    engine = engine or default_engine()
+    matches, result, tmp = _violation_columns(rules, "_t", _context_key(), engine)
+    out = df.select("*", norm(F.col(text)).alias("_t"))
+    if engine == "automaton" and "_hits" not in df.columns:
+        out = with_hits(out, "_t", "_hits", rules)
+    out = out.select("*", *matches)
+    out = out.select("*", *result).drop(*tmp)
+    return out if keep_text else out.drop("_t", "_hits")
 
 
 def violations_table(queries: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
@@ -116,6 +137,64 @@ def moderate_fixed(mapping: dict[str, str], rules: RuleSet = DEFAULT_RULES) -> d
     return {k: (replies.MODERATED_REPLY if any(p.search(v.lower()) for p in pats) else v) for k, v in mapping.items()}
 
 
+_SYNTAX = set("()|+*?{}[]^$")
+
+
+def _chars_in_match(pattern: str) -> set[str] | None:
+    """Characters a match of ``pattern`` can contain (None = any)."""
+    if "." in pattern.replace("\\.", "") or "[^" in pattern or any(e in pattern for e in ("\\S", "\\W", "\\D")):
+        return None
+    out, i = set(), 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            nxt = pattern[i + 1]
+            if nxt == "s":
+                out.add(" ")  # stands for all whitespace
+            elif nxt in "dbw":
+                return None if nxt == "w" else out | set("0123456789") if nxt == "d" else out
+            else:
+                out.add(nxt)
+            i += 2
+            continue
+        if pattern[i] not in _SYNTAX:
+            out.add(pattern[i])
+        i += 1
+    return out
+
+
+def _edge_is_barrier(ch: str, patterns) -> bool:
+    if not ch or ch.isspace():
+        return False
+    for p in patterns:
+        chars = _chars_in_match(p)
+        if chars is None or ch in chars or ch.lower() in chars:
+            return False
+    return True
+
+
+def moderate_template(template: str, slot: str, value: Column, rules: RuleSet = DEFAULT_RULES,
+                      text_lower=None) -> Column:
+    """G6 of ``template`` filled with ``value`` at ``{slot}``.
+
+    When the fixed parts cannot match and the characters at both edges
+    of the slot cannot occur in any match (checked here, at plan time),
+    every match lies inside the slot, so only the slot text is scanned.
+    ``text_lower`` (a keyword Matcher of the text the slot was cut from)
+    gates the scan by the rules' leading words.
+    """
+    reply = replies.fill(template, **{slot: value})
+    pre, _, post = template.partition("{" + slot + "}")
+    pats = [re.compile(p) for p in rules.output_moderation]
+    fixed_clean = not any(p.search(pre.lower()) or p.search(post.lower()) for p in pats)
+    if not (fixed_clean and _edge_is_barrier(pre[-1:], rules.output_moderation)
+            and _edge_is_barrier(post[:1], rules.output_moderation)):
+        return moderate_output(reply, rules)[0]
+    slot_text = F.lower(value)
+    probe = dataclasses.replace(text_lower, text=slot_text) if type(text_lower).__name__ == "Matcher" else slot_text
+    hit = F.coalesce(rlike_any(probe, rules.output_moderation), F.lit(False))
+    return F.when(hit, F.lit(replies.MODERATED_REPLY)).otherwise(reply)
+
+
 def moderate_output(reply, rules: RuleSet = DEFAULT_RULES) -> tuple[Column, Column]:
     """(final reply, filtered flag).  Rules run on the lower-cased reply,
     not stripped; a hit replaces the whole reply with the fixed text."""

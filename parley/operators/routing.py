@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import replies
 from parley.functions.rules import AGENT_FOR_INTENT, AGENT_LABELS, DEFAULT_RULES, RuleSet
-from parley.functions.text import (argmax_label, col_, intent_weight, keyword_score, left,
+from parley.functions.text import (argmax_label, col_, contains_any, intent_weight, keyword_score, left,
                                    model_label_clean, query_cleanup)
 
 
@@ -59,7 +59,7 @@ def quick_key(text_lower, rules: RuleSet = DEFAULT_RULES) -> Column:
     """First contained troubleshooting key."""
     out = None
     for k in rules.quick_keys:
-        c = col_(text_lower).contains(k)
+        c = contains_any(text_lower, [k])
         out = F.when(c, F.lit(k)) if out is None else out.when(c, F.lit(k))
     return out
 
@@ -83,27 +83,27 @@ def _moderated(mapping):
     return moderate_fixed(mapping)
 
 
-def _templated(template: str, query) -> Column:
-    from parley.operators.guardrails import moderate_output
-    return moderate_output(replies.fill(template, query=left(query, 100)))[0]
+def _templated(template: str, query, text_lower=None) -> Column:
+    from parley.operators.guardrails import moderate_template
+    return moderate_template(template, "query", left(query, 100), text_lower=text_lower)
 
 
-def course_reply(query, topic) -> Column:
+def course_reply(query, topic, text_lower=None) -> Column:
     """Knowledge-base body for the topic, else the generic study reply."""
     return F.coalesce(replies.lookup(_moderated(replies.KNOWLEDGE_BASE), col_(topic)),
-                      _templated(replies.COURSE_GENERIC, query))
+                      _templated(replies.COURSE_GENERIC, query, text_lower))
 
 
-def assignment_reply(query, topic) -> Column:
+def assignment_reply(query, topic, text_lower=None) -> Column:
     """Hint reply for the topic, else the generic step-by-step reply."""
     return F.coalesce(replies.lookup(_moderated(replies.HINT_REPLIES), col_(topic)),
-                      _templated(replies.ASSIGNMENT_GENERIC, query))
+                      _templated(replies.ASSIGNMENT_GENERIC, query, text_lower))
 
 
-def technical_reply(query, key) -> Column:
+def technical_reply(query, key, text_lower=None) -> Column:
     """Quick fix for the first matched key, else generic troubleshooting."""
     return F.coalesce(replies.lookup(_moderated(replies.QUICK_SOLUTIONS), col_(key)),
-                      _templated(replies.TECHNICAL_GENERIC, query))
+                      _templated(replies.TECHNICAL_GENERIC, query, text_lower))
 
 
 def agent_reply(agent, query, text_lower, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -115,9 +115,9 @@ def agent_reply(agent, query, text_lower, rules: RuleSet = DEFAULT_RULES) -> Col
     ones (carrying the query) are moderated per row.
     """
     a = col_(agent)
-    return (F.when(a == "course", course_reply(query, course_topic(text_lower, rules)))
-            .when(a == "assignment", assignment_reply(query, hint_topic(text_lower, rules)))
-            .when(a == "technical", technical_reply(query, quick_key(text_lower, rules)))
+    return (F.when(a == "course", course_reply(query, course_topic(text_lower, rules), text_lower))
+            .when(a == "assignment", assignment_reply(query, hint_topic(text_lower, rules), text_lower))
+            .when(a == "technical", technical_reply(query, quick_key(text_lower, rules), text_lower))
             .otherwise(F.lit(replies.AGENT_ERROR_REPLY)))
 
 
@@ -134,7 +134,7 @@ def answer_failover(agent, query, text_lower, answer_a, answer_b, search, rules:
     The chosen answer is moderated (G6) per row.
     """
     from parley.operators.guardrails import moderate_output
-    a, tl = col_(agent), col_(text_lower)
+    a, tl = col_(agent), text_lower
     answers = a.isin("course", "assignment", "technical")
     ma = F.when(answers, col_(answer_a))
     mb = F.when(answers, col_(answer_b))

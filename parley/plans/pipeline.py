@@ -21,6 +21,8 @@ predicate or read materialised decisions (:func:`materialize`).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -72,29 +74,42 @@ def prepare(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str =
     return q.join(context_features(messages, rules, strategy), KEY, "left")
 
 
-def decide(prepared: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """P1 on prepared rows: the decision columns."""
-    d = with_violation(prepared, "query", rules, keep_text=True)
+@functools.lru_cache(maxsize=64)
+def _decision_columns(rules: RuleSet, ctx: int, engine: str):
+    """The decision expressions over fixed column names, built once per rule
+    set and Spark context (thousands of Column objects otherwise rebuilt
+    through the JVM gateway on every plan)."""
+    from parley.functions.keywords import matcher
+    t = matcher("_t", "_hits", rules) if engine == "automaton" else F.col("_t")
     blocked = F.col("violation_type").isNotNull()
-    d = d.withColumn("escalation_reason",
-                     escalation_reason(F.col("_t"), F.col("n_prior"), F.col("n_frustrated"), blocked, rules))
-    d = d.withColumn("intent", F.when(~blocked, keyword_intent(F.col("_t"), rules)))
+    stage1 = [escalation_reason(t, F.col("n_prior"), F.col("n_frustrated"), blocked, rules).alias("escalation_reason"),
+              F.when(~blocked, keyword_intent(t, rules)).alias("intent")]
     escalated = F.col("escalation_reason").isNotNull()
-    d = d.withColumn("agent_type", F.when(blocked, F.lit("orchestrator")).when(escalated, F.lit("escalation"))
-                     .otherwise(agent_for_intent(F.col("intent"))))
+    stage2 = [F.when(blocked, F.lit("orchestrator")).when(escalated, F.lit("escalation"))
+              .otherwise(agent_for_intent(F.col("intent"))).alias("agent_type")]
     reply = (F.when(blocked, violation_message(F.col("violation_type")))
              .when(escalated, escalation_reply(F.col("escalation_reason")))
-             .otherwise(agent_reply(F.col("agent_type"), F.col("query"), F.col("_t"), rules)))
-    d = d.withColumn("response", reply)
-    return d.select(
+             .otherwise(agent_reply(F.col("agent_type"), F.col("query"), t, rules)))
+    stage3 = [
         "id", *KEY, "user_id", "created_at", "query",
         short_id("conversation_id", "turn").alias("request_id"),
         blocked.alias("guardrail_triggered"), "violation_type", "matched_pattern", "severity",
-        "intent", escalated.alias("escalated"), "escalation_reason", "agent_type", "response",
-        ((~blocked) & (~escalated) & (F.col("response") == F.lit(replies.MODERATED_REPLY))).alias("output_filtered"),
+        "intent", escalated.alias("escalated"), "escalation_reason", "agent_type", reply.alias("response"),
+        ((~blocked) & (~escalated) & (reply == F.lit(replies.MODERATED_REPLY))).alias("output_filtered"),
         (F.unix_millis(F.col("reply_at").cast("timestamp")) - F.unix_millis(F.col("created_at").cast("timestamp")))
         .alias("response_time_ms"),
-    )
+    ]
+    return stage1, stage2, stage3
+
+
+def decide(prepared: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """P1 on prepared rows: the decision columns (three projections)."""
+    from parley.operators.guardrails import _context_key
+    from parley.functions.keywords import default_engine
+    engine = default_engine()
+    s1, s2, s3 = _decision_columns(rules, _context_key(), engine)
+    d = with_violation(prepared, "query", rules, keep_text=True, engine=engine)
+    return d.select("*", *s1).select("*", *s2).select(*s3)
 
 
 def classify_messages(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
