@@ -48,7 +48,11 @@ def _shift(df: DataFrame, k: int, *cols: Column) -> DataFrame:
 
 def frustration(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
     """W1 inputs per (conversation_id, turn): ``n_prior`` messages in the
-    frame and ``n_frustrated`` frustrated user messages among them."""
+    frame and ``n_frustrated`` frustrated user messages among them.
+
+    The shift plan also yields groups for up to ``k`` turns past the end of
+    each conversation; callers join the result back to their messages (a
+    turn without a group has an empty frame)."""
     k = rules.frustration_frame
     if strategy == "window":
         w = W.partitionBy("conversation_id").orderBy("turn").rowsBetween(-k, -1)
