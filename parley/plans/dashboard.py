@@ -152,7 +152,7 @@ def recent_escalations(escalations: DataFrame, users: DataFrame, n: int = 20) ->
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..n within each group (partial group limit before shuffle)."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).where(F.col(rank_col) <= n)
 
 
 def recent_conversations(conversations: DataFrame, n: int = 20, shown: int = 5) -> DataFrame:

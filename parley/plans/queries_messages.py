@@ -218,7 +218,8 @@ def model_context(t):
     """Last 6 prior messages of every message, one row per item."""
     c = C.model_context(t.chat_messages)
     return c.select("conversation_id", "turn", F.posexplode("context").alias("pos", "item")).select(
-        "conversation_id", "turn", "pos", F.col("item.role").alias("role"), F.col("item.content").alias("content"))
+        "conversation_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("item.role").alias("role"),
+        F.col("item.content").alias("content"))
 
 
 @query("handoff_summary", with_views("""
@@ -233,7 +234,7 @@ def handoff_summary(t):
     h = C.handoff_summary(q, t.chat_messages)
     return h.select("conversation_id", "turn", "student_query", "conversation_length",
                     F.posexplode_outer("recent_messages").alias("pos", "item")).select(
-        "conversation_id", "turn", "student_query", "conversation_length", "pos",
+        "conversation_id", "turn", "student_query", "conversation_length", F.col("pos").cast("long").alias("pos"),
         F.col("item.role").alias("role"), F.col("item.content").alias("content"))
 
 

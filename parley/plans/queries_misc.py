@@ -38,9 +38,9 @@ def project_columns(t):
 
 @query("json_columns", with_views("""
     SELECT id, CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS k,
-           to_json([event_type, agent_type]) AS pair_json,
-           to_json(MAP {'event': event_type}) AS map_json,
-           to_json({'id': id, 'event_type': event_type}) AS row_json
+           CAST(to_json([event_type, agent_type]) AS VARCHAR) AS pair_json,
+           CAST(to_json(MAP {'event': event_type}) AS VARCHAR) AS map_json,
+           CAST(to_json({'id': id, 'event_type': event_type}) AS VARCHAR) AS row_json
     FROM ev""", "ev"))
 def json_columns(t):
     """X11 text->map, X12 array->text, X13 map->text, S15 row->JSON document."""

@@ -67,7 +67,7 @@ FRUSTRATED = f"CASE WHEN role = 'user' AND {contains_any('lower(content)', R.fru
 register_view("ctx", f"""
     SELECT conversation_id, turn,
            count(*) OVER w4 AS n_prior,
-           COALESCE(sum({FRUSTRATED}) OVER w4, 0) AS n_frustrated,
+           CAST(COALESCE(sum({FRUSTRATED}) OVER w4, 0) AS BIGINT) AS n_frustrated,
            CASE WHEN lead(role) OVER w = 'assistant' THEN lead(created_at) OVER w END AS reply_at
     FROM chat_msg
     WINDOW w4 AS (PARTITION BY conversation_id ORDER BY turn ROWS BETWEEN {K} PRECEDING AND 1 PRECEDING),
