@@ -191,3 +191,26 @@ def ticket_visibility(tickets: DataFrame, users: DataFrame) -> DataFrame:
         F.when(admin, n_all).otherwise(F.coalesce(F.col("n"), F.lit(0))).alias("visible_tickets"),
         F.when(admin, newest_all).otherwise(F.col("newest")).alias("newest_ticket_at"),
     )
+
+
+def dashboard_record(events: DataFrame, escalations: DataFrame, violations: DataFrame,
+                     tickets: DataFrame, users: DataFrame) -> DataFrame:
+    """The whole dashboard as one row (9 scalars, the per-agent map,
+    the 20 newest events, the 10 newest violations and the 7-day trend).
+
+    Every nested value is bounded (one entry per agent, 20 / 10 / 7 rows)
+    and comes from a scalar subquery over its own plan, so no unbounded
+    group is collected and no frames are cross-joined.
+    """
+    snap = snapshot_scalars(events, escalations, violations, tickets, users)
+    agents = agent_map(events).select("queries_by_agent").scalar()
+    ev = newest(events, 20).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("created_at").alias("created_at"), "id", "event_type", "user_id", "agent_type",
+        "response_time_ms")), asc=False).alias("v")).select("v").scalar()
+    vi = newest(violations, 10).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("created_at").alias("created_at"), "id", "user_id", "violation_type", "original_query",
+        "action_taken", "severity")), asc=False).alias("v")).select("v").scalar()
+    tr = response_trend(events).agg(F.sort_array(F.collect_list(F.struct("date", "avg_time", "count")),
+                                                 asc=False).alias("v")).select("v").scalar()
+    return snap.select("*", F.coalesce(agents, F.create_map().cast("map<string,bigint>")).alias("queries_by_agent"),
+                       ev.alias("recent_events"), vi.alias("recent_violations"), tr.alias("response_time_trend"))

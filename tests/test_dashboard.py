@@ -42,3 +42,15 @@ def test_top_n_per_group_is_partial(spark):
     assert got == sorted(want)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_dashboard_record(spark):
+    from tests.conftest import SF001
+    from parley.plans.views import Tables
+    t = Tables(spark, SF001)
+    r = D.dashboard_record(t.events, t.escalations, t.violations, t.tickets, t.users).collect()[0]
+    assert len(r) == 13
+    assert len(r.recent_events) == 20 and len(r.recent_violations) == 10 and len(r.response_time_trend) == 7
+    assert r.recent_events[0].created_at >= r.recent_events[-1].created_at
+    assert sum(r.queries_by_agent.values()) == t.events.where(
+        "event_type = 'query' AND agent_type IS NOT NULL").count()
