@@ -28,6 +28,13 @@ from pyspark.sql import types as T
 
 from parley.functions.rules import DEFAULT_RULES, RuleSet
 
+# Functions of this module run inside Python workers; ship them by value so
+# executors need no copy of this package on their path.
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 
 @functools.lru_cache(maxsize=16)
 def catalog(rules: RuleSet = DEFAULT_RULES) -> tuple[str, ...]:

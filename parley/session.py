@@ -38,6 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = b.config("spark.executorEnv.PYTHONWARNINGS", "ignore::FutureWarning")
     b = b.config("spark.driver.memory", os.environ.get("PARLEY_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.functions.rules import DEFAULT_RULES, RuleSet
-from parley.functions.text import norm
+from parley.functions.text import strip_ws
 from parley.operators import context as C
 from parley.operators import routing as RT
 from parley.operators.guardrails import with_violation
@@ -35,6 +35,13 @@ from parley.plans import pipeline as P
 from parley.session import scratch_path
 from parley.sources import driver
 
+# Functions of this module run inside Python workers; ship them by value so
+# executors need no copy of this package on their path.
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 # -- sources and runner -----------------------------------------------------------
 
 
@@ -74,7 +81,7 @@ def classify_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> Data
     """ST1: the per-message rules that need no context, on a message stream."""
     q = messages.where(F.col("role") == "user").select(
         "id", "conversation_id", "turn", "user_id", "created_at",
-        F.regexp_replace("content", r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "").alias("query"))
+        strip_ws(F.col("content")).alias("query"))
     q = q.where(F.length("query") > 0)
     v = with_violation(q, "query", rules, keep_text=True)
     blocked = F.col("violation_type").isNotNull()
@@ -183,7 +190,7 @@ def decisions_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> Dat
     """
     f = frustration_stream(messages, rules).where(F.col("role") == "user")
     q = f.select("id", "conversation_id", "turn", "user_id", "created_at",
-                 F.regexp_replace("content", r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "").alias("query"),
+                 strip_ws(F.col("content")).alias("query"),
                  "n_prior", "n_frustrated", F.lit(None).cast("timestamp_ntz").alias("reply_at"))
     return P.decide(q.where(F.length("query") > 0), rules)
 
