@@ -117,7 +117,34 @@ def handoff_summary(queries: DataFrame, messages: DataFrame, reason: Column | No
     )
 
 
-def message_turns(messages: DataFrame) -> DataFrame:
-    """Dense turn number (0-based) from time order, id as tiebreak."""
-    w = W.partitionBy("conversation_id").orderBy("created_at", "id")
-    return messages.withColumn("turn", (F.row_number().over(w) - 1).cast("long"))
+def message_turns(messages: DataFrame, strategy: str = "window", partitions: int | None = None) -> DataFrame:
+    """Dense turn number (0-based) from time order, id as tiebreak.
+
+    ``strategy="window"``: ``row_number()`` over the conversation -- one
+    task per conversation.
+
+    ``strategy="range"`` (skew-safe): range-partition and sort by
+    (conversation, time, id), so a conversation holding a third of all rows
+    spans many tasks; number rows within each task, materialise that with a
+    reliable checkpoint (fixes the partition ids), then add per-(task,
+    conversation) offsets taken from a summary with one row per task and
+    conversation (a window over at most ``partitions`` rows per
+    conversation) and join it back on (task, conversation).
+    """
+    if strategy == "window":
+        w = W.partitionBy("conversation_id").orderBy("created_at", "id")
+        return messages.withColumn("turn", (F.row_number().over(w) - 1).cast("long"))
+    from parley.session import materialize
+    spark = messages.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["conversation_id", "created_at", "id"]
+    s = (messages.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    s = materialize(s)
+    summ = s.groupBy("_pid", "conversation_id").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("conversation_id").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    summ = summ.select("_pid", "conversation_id", "_first",
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    out = s.join(summ, ["_pid", "conversation_id"])
+    return out.withColumn("turn", (F.col("_offset") + F.col("_mid") - F.col("_first")).cast("long")).drop(
+        "_pid", "_mid", "_first", "_offset")

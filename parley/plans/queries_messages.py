@@ -247,6 +247,15 @@ def message_turns(t):
     return C.message_turns(m).select("id", "conversation_id", "turn")
 
 
+@query("message_turns_range", with_views("""
+    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1 AS turn
+    FROM msg""", "msg"))
+def message_turns_range(t):
+    """W4, skew-safe plan: range partitioning splits a hot conversation."""
+    m = t.messages.drop("turn")
+    return C.message_turns(m, "range").select("id", "conversation_id", "turn")
+
+
 @query("escalation_decision", with_views(
     "SELECT id, escalated, escalation_reason, guardrail_triggered FROM dec", "dec"))
 def escalation_decision(t):

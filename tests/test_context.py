@@ -58,3 +58,18 @@ def test_message_turns(spark):
         "id", "conversation_id", F.col("ts").cast("timestamp_ntz").alias("created_at"))
     got = {r.id: r.turn for r in C.message_turns(df).collect()}
     assert got == {1: 0, 2: 1, 3: 2, 4: 0}
+
+
+def test_message_turns_range_equals_window_on_hot_conversation(spark):
+    """One conversation holds half of all rows; the range plan spreads it
+    over several tasks and must still number it exactly like the window."""
+    from tests.conftest import SF01
+    from parley.sources import driver
+    m = driver.messages(spark, SF01).drop("turn")
+    hot = m.withColumn("conversation_id", F.when(F.col("conversation_id") % 2 == 0, F.lit(0))
+                       .otherwise(F.col("conversation_id")))
+    a = C.message_turns(hot, "window").select("id", "conversation_id", "turn")
+    b = C.message_turns(hot, "range", partitions=8).select("id", "conversation_id", "turn")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert b.where("conversation_id = 0").agg(F.max("turn")).collect()[0][0] == \
+        hot.where("conversation_id = 0").count() - 1
