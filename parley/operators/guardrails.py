@@ -107,6 +107,11 @@ def with_violation(df: DataFrame, text: str = "content", rules: RuleSet = DEFAUL
     return out if keep_text else out.drop("_t", "_hits")
 
 
+@functools.lru_cache(maxsize=64)
+def _any_rule_on_query(rules: RuleSet, ctx: int) -> Column:
+    return rlike_any(norm(F.col("query")), all_input_rules(rules))
+
+
 def violations_table(queries: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """guardrail_violations rows for every blocked user message.
 
@@ -117,7 +122,7 @@ def violations_table(queries: DataFrame, rules: RuleSet = DEFAULT_RULES) -> Data
     # cheap equivalent of "has a violation": one alternation over all input
     # rules; filtering on the derived columns would be pushed below the
     # projection and re-evaluate every rule in the filter
-    q = q.where((F.length("query") > 0) & rlike_any(norm(F.col("query")), all_input_rules(rules)))
+    q = q.where((F.length("query") > 0) & _any_rule_on_query(rules, _context_key()))
     v = with_violation(q, "query", rules)
     return v.select(
         "id", "user_id", "violation_type",

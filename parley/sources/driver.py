@@ -67,8 +67,24 @@ EPOCH = "2024-01-01 00:00:00"
 # ---------------------------------------------------------------------------
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The parquet table, reusing the resolved relation for the same session
+    and file version (skips re-listing and footer reads when many queries
+    read the same tables; the DataFrame itself stays lazy)."""
+    import os
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        version = os.stat(path).st_mtime_ns
+    except OSError:  # not a local path (object store): no reuse
+        return spark.read.parquet(path)
+    key = (id(spark), path, version)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def _pick(values: list, idx: Column) -> Column:
