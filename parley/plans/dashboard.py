@@ -181,8 +181,8 @@ def ticket_visibility(tickets: DataFrame, users: DataFrame) -> DataFrame:
     """
     own = tickets.groupBy(F.col("user_id").alias("o_user")).agg(
         F.count(F.lit(1)).alias("n"), F.max("created_at").alias("newest"))
-    n_all = tickets.select(F.count(F.lit(1))).scalar()
-    newest_all = tickets.select(F.max("created_at")).scalar()
+    everything = tickets.select(F.struct(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("newest"))).scalar()
+    n_all, newest_all = everything["n"], everything["newest"]
     u = users.select(F.col("id").alias("user_id"), "role")
     j = u.join(own, u["user_id"] == own["o_user"], "left")
     admin = F.col("role") == "admin"
