@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import replies
 from parley.functions.rules import DEFAULT_RULES as R
-from parley.functions.text import first_match, left, norm, strip_ws
+from parley.functions.text import first_match
 from parley.operators import context as C
 from parley.operators import guardrails as G
 from parley.operators import routing as RT
