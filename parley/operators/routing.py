@@ -124,16 +124,17 @@ def agent_reply(agent, query, text_lower, rules: RuleSet = DEFAULT_RULES) -> Col
 # -- I3 ---------------------------------------------------------------------------------------
 
 def answer_failover(agent, query, text_lower, answer_a, answer_b, search, rules: RuleSet = DEFAULT_RULES):
-    """I3 + G6: (final answer, source step, filtered flag).
+    """(first available answer, source step), before output moderation.
 
     Order: model A, model B (any answering agent), then the agent's own
     fallbacks: course -> web search, knowledge base, generic text;
     assignment -> web search, hints, generic; technical -> quick fix,
     generic.  The escalation agent has no answer generator (apology text).
     The encyclopedia step is an external service, treated as unavailable.
-    The chosen answer is moderated (G6) per row.
+    Callers project the answer into a column and moderate that column
+    (:func:`parley.operators.guardrails.moderate_output`), so the large
+    answer expression is evaluated once.
     """
-    from parley.operators.guardrails import moderate_output
     a, tl = col_(agent), text_lower
     answers = a.isin("course", "assignment", "technical")
     ma = F.when(answers, col_(answer_a))
@@ -143,15 +144,17 @@ def answer_failover(agent, query, text_lower, answer_a, answer_b, search, rules:
     kb = (F.when(a == "course", replies.lookup(replies.KNOWLEDGE_BASE, course_topic(tl, rules)))
           .when(a == "assignment", replies.lookup(replies.HINT_REPLIES, hint_topic(tl, rules)))
           .when(a == "technical", replies.lookup(replies.QUICK_SOLUTIONS, quick_key(tl, rules))))
+    has_kb = (F.when(a == "course", course_topic(tl, rules).isNotNull())
+              .when(a == "assignment", hint_topic(tl, rules).isNotNull())
+              .when(a == "technical", quick_key(tl, rules).isNotNull()).otherwise(F.lit(False)))
     generic = (F.when(a == "course", replies.fill(replies.COURSE_GENERIC, query=left(query, 100)))
                .when(a == "assignment", replies.fill(replies.ASSIGNMENT_GENERIC, query=left(query, 100)))
                .when(a == "technical", replies.fill(replies.TECHNICAL_GENERIC, query=left(query, 100))))
     answer = F.coalesce(ma, mb, srch, kb, generic, F.lit(replies.AGENT_ERROR_REPLY))
     source = (F.when(ma.isNotNull(), "model_a").when(mb.isNotNull(), "model_b")
-              .when(srch.isNotNull(), "search").when(kb.isNotNull(), "knowledge_base")
-              .when(generic.isNotNull(), "generic").otherwise("error"))
-    final, filtered = moderate_output(answer, rules)
-    return final, source, filtered
+              .when(answers & (a != "technical") & col_(search).isNotNull(), "search").when(has_kb, "knowledge_base")
+              .when(answers, "generic").otherwise("error"))
+    return answer, source
 
 
 def search_query(query, rules: RuleSet = DEFAULT_RULES) -> Column:

@@ -66,16 +66,24 @@ def context_features(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strate
     )
 
 
+ANSWERS = ["answer_a", "answer_b", "search_answer"]
+
+
 def prepare(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
-    """User turns (stripped, non-empty) joined with their context features."""
+    """User turns (stripped, non-empty) joined with their context features.
+
+    Candidate answers (``answer_a``, ``answer_b``, ``search_answer``) are
+    carried along when the messages have them (see :func:`decide`).
+    """
+    extra = [c for c in ANSWERS if c in messages.columns]
     q = messages.where(F.col("role") == "user").select(
-        "id", *KEY, "user_id", "created_at", strip_ws(F.col("content")).alias("query"))
+        "id", *KEY, "user_id", "created_at", strip_ws(F.col("content")).alias("query"), *extra)
     q = q.where(F.length("query") > 0)
     return q.join(context_features(messages, rules, strategy), KEY, "left")
 
 
 @functools.lru_cache(maxsize=64)
-def _decision_columns(rules: RuleSet, ctx: int, engine: str):
+def _decision_columns(rules: RuleSet, ctx: int, engine: str, with_answers: bool = False):
     """The decision expressions over fixed column names, built once per rule
     set and Spark context (thousands of Column objects otherwise rebuilt
     through the JVM gateway on every plan)."""
@@ -87,15 +95,24 @@ def _decision_columns(rules: RuleSet, ctx: int, engine: str):
     escalated = F.col("escalation_reason").isNotNull()
     stage2 = [F.when(blocked, F.lit("orchestrator")).when(escalated, F.lit("escalation"))
               .otherwise(agent_for_intent(F.col("intent"))).alias("agent_type")]
+    if with_answers:
+        # Model answers, web search, knowledge base, generic text; the
+        # raw answer gets its own projection and G6 reads that column
+        from parley.operators.guardrails import moderate_output
+        from parley.operators.routing import answer_failover
+        raw = answer_failover(F.col("agent_type"), F.col("query"), t, *[F.col(c) for c in ANSWERS], rules)[0]
+        stage2 = stage2 + [F.when(~blocked & ~escalated, raw).alias("_routed")]
+        routed = moderate_output(F.col("_routed"), rules)[0]
+    else:
+        routed = agent_reply(F.col("agent_type"), F.col("query"), t, rules)
     reply = (F.when(blocked, violation_message(F.col("violation_type")))
              .when(escalated, escalation_reply(F.col("escalation_reason")))
-             .otherwise(agent_reply(F.col("agent_type"), F.col("query"), t, rules)))
+             .otherwise(routed))
     stage3 = [
         "id", *KEY, "user_id", "created_at", "query",
         short_id("conversation_id", "turn").alias("request_id"),
         blocked.alias("guardrail_triggered"), "violation_type", "matched_pattern", "severity",
         "intent", escalated.alias("escalated"), "escalation_reason", "agent_type", reply.alias("response"),
-        ((~blocked) & (~escalated) & (reply == F.lit(replies.MODERATED_REPLY))).alias("output_filtered"),
         (F.unix_millis(F.col("reply_at").cast("timestamp")) - F.unix_millis(F.col("created_at").cast("timestamp")))
         .alias("response_time_ms"),
     ]
@@ -103,13 +120,25 @@ def _decision_columns(rules: RuleSet, ctx: int, engine: str):
 
 
 def decide(prepared: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """P1 on prepared rows: the decision columns (three projections)."""
+    """P1 on prepared rows: the decision columns (three projections).
+
+    Without candidate answers the routed agent's reply is its fallback
+    chain (knowledge base / hints / quick fixes / generic text); with the
+    ``answer_a``, ``answer_b``, ``search_answer`` columns present it is the
+    I3 failover over them.
+    """
     from parley.operators.guardrails import _context_key
     from parley.functions.keywords import default_engine
     engine = default_engine()
-    s1, s2, s3 = _decision_columns(rules, _context_key(), engine)
+    with_answers = all(c in prepared.columns for c in ANSWERS)
+    s1, s2, s3 = _decision_columns(rules, _context_key(), engine, with_answers)
     d = with_violation(prepared, "query", rules, keep_text=True, engine=engine)
-    return d.select("*", *s1).select("*", *s2).select(*s3)
+    d = d.select("*", *s1).select("*", *s2).select(*s3)
+    # the moderation flag reads the response column: one evaluation of the reply
+    filtered = (~F.col("guardrail_triggered")) & (~F.col("escalated")) & \
+        (F.col("response") == F.lit(replies.MODERATED_REPLY))
+    cols = [c for c in d.columns if c != "response_time_ms"]
+    return d.select(*cols, filtered.alias("output_filtered"), "response_time_ms")
 
 
 def classify_messages(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:

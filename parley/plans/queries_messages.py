@@ -138,9 +138,11 @@ def answer_failover(t):
     """I3 + G6: first available answer of the routed agent and its source."""
     a = t.provider_answers.select("id", "answer_a", "answer_b", "search_answer")
     u = t.user_queries.join(a, "id").withColumn("agent", RT.agent_for_intent(RT.keyword_intent(F.col("_t"))))
-    ans, src, filt = RT.answer_failover(F.col("agent"), F.col("query"), F.col("_t"), F.col("answer_a"),
-                                        F.col("answer_b"), F.col("search_answer"))
-    return u.select("id", "agent", ans.alias("answer"), src.alias("source"), filt.alias("output_filtered"))
+    ans, src = RT.answer_failover(F.col("agent"), F.col("query"), F.col("_t"), F.col("answer_a"),
+                                  F.col("answer_b"), F.col("search_answer"))
+    u = u.select("id", "agent", ans.alias("_answer"), src.alias("source"))
+    final, filt = G.moderate_output(F.col("_answer"))
+    return u.select("id", "agent", final.alias("answer"), "source", filt.alias("output_filtered"))
 
 
 # -- T1, T2, T3, R1, X9 ----------------------------------------------------------------------

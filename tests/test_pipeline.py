@@ -59,3 +59,20 @@ def test_regex_parity_with_python(spark):
         for i, p in enumerate(pats):
             m = re.search(p, r.t)
             assert r[f"p{i}"] == (m.group() if m else None), (p, r.t[:80])
+
+
+def test_decisions_with_model_answers(spark):
+    """With candidate answers present, routed replies follow the I3 chain.
+
+    Rows are collected before comparing: a filter over derived columns of
+    two lazy plans would be pushed into one huge predicate.
+    """
+    import __spark_entry__ as E
+    m = driver.chat_messages(spark, SF01)
+    answers = driver.provider_answers(spark, SF01).select("id", *P.ANSWERS)
+    got = {r.id: r for r in P.classify_messages(m.join(answers, "id", "left")).collect()}
+    want = {r.id: r.answer for r in E.queries()["answer_failover"](spark, SF01).collect()}
+    plain = {r.id: r for r in P.classify_messages(m).collect()}
+    routed = [i for i, r in got.items() if not r.escalated]
+    assert routed and all(got[i].response == want[i] for i in routed)
+    assert all(got[i] == plain[i] for i, r in got.items() if r.escalated)
