@@ -106,8 +106,11 @@ FRUSTRATION_STATE = T.StructType([T.StructField("turns", T.ArrayType(T.LongType(
                                   T.StructField("flags", T.ArrayType(T.IntegerType()))])
 
 
-def _frustration_state_fn(k: int):
+def _frustration_state_fn(k: int, idle_ms: int | None = None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # idle conversation: drop its buffer, emit nothing
+            state.remove()
+            return
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["turn", "id"], kind="stable")
         turns, flags = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
         prev_turns = pd.Series(turns, dtype="int64")
@@ -118,27 +121,43 @@ def _frustration_state_fn(k: int):
         pos = pd.Series(range(len(f)))
         prior_n = pos.clip(upper=k).astype("int64")
         nb = len(prev_turns)
-        out = batch.drop(columns=["f"]).reset_index(drop=True)
+        out = batch.drop(columns=["f", "_event_time"], errors="ignore").reset_index(drop=True)
         out["n_prior"] = prior_n.iloc[nb:].reset_index(drop=True)
         out["n_frustrated"] = prior_frus.iloc[nb:].reset_index(drop=True)
         all_turns = pd.concat([prev_turns, batch["turn"].astype("int64")], ignore_index=True)
         state.update(([int(x) for x in all_turns.iloc[-k:]], [int(x) for x in f.iloc[-k:]]))
+        if idle_ms is not None:
+            last = pd.to_datetime(batch["created_at"]).max()
+            state.setTimeoutTimestamp(int(last.value // 1_000_000) + idle_ms)
         yield out
     return fn
 
 
-def frustration_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+def frustration_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES,
+                       idle_timeout_ms: int | None = None) -> DataFrame:
     """ST2: W1 inputs per message from per-conversation state.
 
     The state of a conversation is its last ``k`` (turn, frustrated) pairs:
     bounded whatever the conversation length.  Messages of a conversation
     must arrive in turn order across micro-batches (within a batch they are
-    sorted); no timeout, so the context of idle conversations is kept.
+    sorted).  By default there is no timeout, so the context of idle
+    conversations is kept (exact, equal to batch); ``idle_timeout_ms``
+    evicts a conversation once the event-time watermark passes its last
+    message plus that gap, bounding state by the number of active
+    conversations at the price of forgetting their context.  Event time
+    (not processing time) keeps ``availableNow`` runs finite and replays
+    deterministic.  At scale use the RocksDB state store provider.
     """
     k = rules.frustration_frame
     m = messages.select(*[n for n, _ in PASS], C.frustrated_flag(rules).alias("f"))
+    timeout = GroupStateTimeout.NoTimeout
+    if idle_timeout_ms is not None:
+        # the watermark column stays in the input (a timeout needs it); the
+        # state function leaves it out of its output
+        timeout = GroupStateTimeout.EventTimeTimeout
+        m = m.withColumn("_event_time", event_time()).withWatermark("_event_time", f"{idle_timeout_ms} milliseconds")
     return m.groupBy("conversation_id").applyInPandasWithState(
-        _frustration_state_fn(k), FRUSTRATION_OUT, FRUSTRATION_STATE, "append", GroupStateTimeout.NoTimeout)
+        _frustration_state_fn(k, idle_timeout_ms), FRUSTRATION_OUT, FRUSTRATION_STATE, "append", timeout)
 
 
 # -- ST3 ----------------------------------------------------------------------------
