@@ -52,3 +52,24 @@ def test_markdown_and_labels(spark):
                                   ("2024-01-01 00:00:00",)], "ts string").select(
         X.age_label(F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")))
     assert [r[0] for r in ages.collect()] == ["just now", "1h ago", "1d ago", "9d ago"]
+
+
+def test_with_defaults_fills_like_an_insert(spark):
+    from parley.sources.schemas import with_defaults
+    df = spark.createDataFrame([(1, 7, "technical", "subj", None)],
+                               "id long, user_id long, category string, subject string, status string")
+    r = with_defaults(df, "support_tickets").collect()[0]
+    assert (r.status, r.priority, r.description, r.resolved_at) == ("open", "medium", None, None)
+    assert r.created_at is not None
+    assert [f.name for f in with_defaults(df, "support_tickets").schema.fields][-2:] == ["created_at", "resolved_at"]
+
+
+def test_request_latency_pairs(spark):
+    from parley.operators.latency import request_latency
+    marks = spark.createDataFrame([
+        (1, "start", "2024-01-01 00:00:00.000"), (1, "stop", "2024-01-01 00:00:01.250"),
+        (2, "stop", "2024-01-01 00:00:05.000"),                       # stop without a start
+        (3, "start", "2024-01-01 00:00:09.000"),                      # open timer: no row
+    ], "request_id long, mark string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = {r.request_id: r.elapsed_ms for r in request_latency(marks).collect()}
+    assert got == {1: 1250, 2: None}
