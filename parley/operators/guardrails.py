@@ -1,10 +1,11 @@
 """Input guardrails and output moderation.
 
-Every check is a ``CASE`` over regex predicates on the lower-cased,
-stripped text: no Python, no join.  One alternation ``rlike`` per family
-guards the per-rule ``regexp_extract`` so a clean row pays a single scan
-per family, and a row blocked by an earlier family never evaluates the
-later ones (``CASE`` is lazy, in order).
+Every check is a column expression over the lower-cased, stripped text:
+no Python, no join.  A family is a ``coalesce`` of per-rule extractions in
+rule order, and each rule's regex runs only when one of its leading literal
+words occurs (cheap ``contains`` gate), so a clean row usually runs no
+regex at all.  The first family in catalog order that matched decides the
+violation.
 """
 
 from __future__ import annotations
@@ -29,18 +30,6 @@ def check(text_norm, family: str, rules: RuleSet = DEFAULT_RULES) -> Column:
     return first_match(text_norm, pats)
 
 
-def family_matches(t: Column, rules: RuleSet = DEFAULT_RULES) -> list[tuple[str, str, Column]]:
-    """(family, severity, matched text) per check on normalised text ``t``;
-    a family is only evaluated when every earlier one found nothing."""
-    out, clean = [], None
-    for name, severity, pats in rules.checks:
-        m = first_match(t, pats)
-        out.append((name, severity, m if clean is None else F.when(clean, m)))
-        prev = F.col(f"_m_{name}").isNull()
-        clean = prev if clean is None else (clean & prev)
-    return out
-
-
 def first_violation(text, rules: RuleSet = DEFAULT_RULES) -> Column:
     """G5 as one expression: struct(type, matched_pattern, severity) of the
     first failing check in catalog order, NULL when the text is clean.
@@ -119,8 +108,8 @@ def violations_table(queries: DataFrame, rules: RuleSet = DEFAULT_RULES) -> Data
     is the stripped text cut to 500 characters; action is ``blocked``.
     """
     q = queries.select("id", "user_id", strip_ws(F.col("content")).alias("query"), "created_at")
-    # cheap equivalent of "has a violation": one alternation over all input
-    # rules; filtering on the derived columns would be pushed below the
+    # cheap equivalent of "has a violation" on the base column (anchor-gated
+    # rules); filtering on the derived columns would be pushed below the
     # projection and re-evaluate every rule in the filter
     q = q.where((F.length("query") > 0) & _any_rule_on_query(rules, _context_key()))
     v = with_violation(q, "query", rules)
