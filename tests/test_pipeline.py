@@ -76,3 +76,18 @@ def test_decisions_with_model_answers(spark):
     routed = [i for i, r in got.items() if not r.escalated]
     assert routed and all(got[i].response == want[i] for i in routed)
     assert all(got[i] == plain[i] for i, r in got.items() if r.escalated)
+
+
+def test_context_shuffle_is_keyed_by_turn(spark):
+    """The classification plan shuffles on (conversation_id, turn), never on
+    the conversation alone, so a hot conversation is spread over tasks."""
+    import re
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the plan at scale
+    try:
+        plan = P.classify_messages(driver.chat_messages(spark, SF001))._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert keys and all("turn" in k for k in keys), keys
+    assert "Window" not in plan
