@@ -65,3 +65,33 @@ def test_tables_stream_idempotent_retry(spark, scratch):
     w(d, 0)
     w(d, 0)
     assert spark.read.parquet(f"{scratch}/t/decisions").count() == d.count()
+
+
+def test_daily_stream_drops_late_rows(spark, scratch):
+    """ST3 watermark: a row behind the watermark of an earlier batch is
+    dropped; a closed day is emitted once; an open day is held back.
+
+    Spark judges lateness against the previous batch's watermark, so the
+    late row comes two batches after the rows that moved the watermark.
+    """
+    import datetime as dt
+    import glob
+    import os
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    d = dt.datetime
+    batches = [
+        [(1, d(2024, 1, 1, 10), 1, "click", 10.0, "{}"), (2, d(2024, 1, 1, 11), 1, "click", 30.0, "{}"),
+         (3, d(2024, 1, 3, 12), 1, "click", 50.0, "{}")],
+        [(4, d(2024, 1, 3, 13), 1, "click", 70.0, "{}")],
+        [(5, d(2024, 1, 1, 12), 1, "click", 99.0, "{}"),            # behind the watermark: dropped
+         (6, d(2024, 1, 3, 14), 1, "click", 90.0, "{}")],
+    ]
+    src = f"{scratch}/events"
+    os.makedirs(f"{src}/in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/p{i}")
+        os.link(glob.glob(f"{src}/p{i}/*.parquet")[0], f"{src}/in/{i}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/in")
+    out = S.run_to_table(S.daily_stream(driver.map_events(stream), "1 hour"), "late").collect()
+    rows = {(r["date"].isoformat(), r["agent_type"]): (r["count"], r["avg_time"]) for r in out}
+    assert rows == {("2024-01-01", "course"): (2, 200.0)}
