@@ -54,3 +54,17 @@ def test_dashboard_record(spark):
     assert r.recent_events[0].created_at >= r.recent_events[-1].created_at
     assert sum(r.queries_by_agent.values()) == t.events.where(
         "event_type = 'query' AND agent_type IS NOT NULL").count()
+
+
+def test_seed_messages_classify(spark):
+    """The seed conversations through W4 + P1: both questions route cleanly."""
+    from parley.operators.context import message_turns
+    from parley.plans.pipeline import classify_messages
+    s = seed(spark)
+    m = message_turns(s["messages"]).join(s["conversations"].select(
+        F.col("id").alias("conversation_id"), "user_id"), "conversation_id")
+    d = {r.conversation_id: r for r in classify_messages(m).collect()}
+    assert d[1].intent == "course" and d[1].agent_type == "course" and not d[1].escalated
+    assert d[1].response.startswith("📚 **Recursion")          # knowledge-base topic
+    assert d[2].intent == "assignment" and d[2].violation_type is None
+    assert d[1].response_time_ms == 60000                      # reply one minute later
