@@ -33,7 +33,7 @@ from parley.functions.text import contains_any, left, norm, rlike_any, short_id,
 from parley.operators import context as C
 from parley.operators.escalation import escalation_reason, escalation_reply
 from parley.operators.guardrails import all_input_rules, violation_message, with_violation
-from parley.operators.routing import agent_for_intent, agent_reply, keyword_intent
+from parley.operators.routing import agent_for_intent, agent_reply, keyword_intent, model_intent
 
 KEY = ["conversation_id", "turn"]
 
@@ -72,10 +72,11 @@ ANSWERS = ["answer_a", "answer_b", "search_answer"]
 def prepare(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
     """User turns (stripped, non-empty) joined with their context features.
 
-    Candidate answers (``answer_a``, ``answer_b``, ``search_answer``) are
-    carried along when the messages have them (see :func:`decide`).
+    Candidate answers (``answer_a``, ``answer_b``, ``search_answer``) and a
+    model's intent label (``model_label``) are carried along when the
+    messages have them (see :func:`decide`).
     """
-    extra = [c for c in ANSWERS if c in messages.columns]
+    extra = [c for c in ANSWERS + ["model_label"] if c in messages.columns]
     q = messages.where(F.col("role") == "user").select(
         "id", *KEY, "user_id", "created_at", strip_ws(F.col("content")).alias("query"), *extra)
     q = q.where(F.length("query") > 0)
@@ -83,7 +84,8 @@ def prepare(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str =
 
 
 @functools.lru_cache(maxsize=64)
-def _decision_columns(rules: RuleSet, ctx: int, engine: str, with_answers: bool = False):
+def _decision_columns(rules: RuleSet, ctx: int, engine: str, with_answers: bool = False,
+                      with_label: bool = False):
     """The decision expressions over fixed column names, built once per rule
     set and Spark context (thousands of Column objects otherwise rebuilt
     through the JVM gateway on every plan)."""
@@ -91,7 +93,8 @@ def _decision_columns(rules: RuleSet, ctx: int, engine: str, with_answers: bool
     t = matcher("_t", "_hits", rules) if engine == "automaton" else F.col("_t")
     blocked = F.col("violation_type").isNotNull()
     stage1 = [escalation_reason(t, F.col("n_prior"), F.col("n_frustrated"), blocked, rules).alias("escalation_reason"),
-              F.when(~blocked, keyword_intent(t, rules)).alias("intent")]
+              F.when(~blocked, model_intent(F.col("model_label"), t, rules) if with_label
+                     else keyword_intent(t, rules)).alias("intent")]
     escalated = F.col("escalation_reason").isNotNull()
     stage2 = [F.when(blocked, F.lit("orchestrator")).when(escalated, F.lit("escalation"))
               .otherwise(agent_for_intent(F.col("intent"))).alias("agent_type")]
@@ -125,13 +128,15 @@ def decide(prepared: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     Without candidate answers the routed agent's reply is its fallback
     chain (knowledge base / hints / quick fixes / generic text); with the
     ``answer_a``, ``answer_b``, ``search_answer`` columns present it is the
-    I3 failover over them.
+    I3 failover over them.  With a ``model_label`` column the intent is I2
+    (the model's label when it is a known one, else the keyword intent).
     """
     from parley.operators.guardrails import _context_key
     from parley.functions.keywords import default_engine
     engine = default_engine()
     with_answers = all(c in prepared.columns for c in ANSWERS)
-    s1, s2, s3 = _decision_columns(rules, _context_key(), engine, with_answers)
+    with_label = "model_label" in prepared.columns
+    s1, s2, s3 = _decision_columns(rules, _context_key(), engine, with_answers, with_label)
     d = with_violation(prepared, "query", rules, keep_text=True, engine=engine)
     d = d.select("*", *s1).select("*", *s2).select(*s3)
     # the moderation flag reads the response column: one evaluation of the reply

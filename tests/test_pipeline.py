@@ -91,3 +91,16 @@ def test_context_shuffle_is_keyed_by_turn(spark):
     keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     assert keys and all("turn" in k for k in keys), keys
     assert "Window" not in plan
+
+
+def test_decisions_with_model_labels(spark):
+    """With a model_label column, unblocked messages take the I2 intent."""
+    import __spark_entry__ as E
+    m = driver.chat_messages(spark, SF01)
+    labels = driver.model_labels(spark, SF01).select("id", "model_label")
+    got = {r.id: r for r in P.classify_messages(m.join(labels, "id", "left")).collect()}
+    want = {r.id: r.intent for r in E.queries()["intent_model_label"](spark, SF01).collect()}
+    unblocked = [i for i, r in got.items() if not r.guardrail_triggered]
+    assert unblocked and all(got[i].intent == want[i] for i in unblocked)
+    assert any(got[i].intent != r.intent for i, r in
+               {r.id: r for r in P.classify_messages(m).collect()}.items() if i in unblocked)
