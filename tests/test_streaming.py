@@ -95,3 +95,30 @@ def test_daily_stream_drops_late_rows(spark, scratch):
     out = S.run_to_table(S.daily_stream(driver.map_events(stream), "1 hour"), "late").collect()
     rows = {(r["date"].isoformat(), r["agent_type"]): (r["count"], r["avg_time"]) for r in out}
     assert rows == {("2024-01-01", "course"): (2, 200.0)}
+
+
+def test_latency_stream_outer_emits_unmatched_stop(spark, scratch):
+    """ST4 left outer: matched pairs at once; a stop without a start (its
+    event id has no start mark) comes out with NULL elapsed once later data
+    moves the watermark past it."""
+    import datetime as dt
+    import glob
+    import os
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    d = dt.datetime
+    batches = [
+        [(2, d(2024, 1, 1, 10), 1, "view", 12.5, "{}"),     # start and stop 125 ms apart
+         (18, d(2024, 1, 1, 10), 1, "view", 20.0, "{}")],   # 18 % 17 == 1: no start mark
+        [(3, d(2024, 1, 1, 12), 1, "view", 1.0, "{}")],     # moves the watermark two hours on
+        [(4, d(2024, 1, 1, 13), 1, "view", 1.0, "{}")],
+    ]
+    src = f"{scratch}/events"
+    os.makedirs(f"{src}/in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/p{i}")
+        os.link(glob.glob(f"{src}/p{i}/*.parquet")[0], f"{src}/in/{i}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/in")
+    out = S.run_to_table(S.latency_stream(stream, how="left_outer"), "lat_outer").collect()
+    got = {r.request_id: r.elapsed_ms for r in out}
+    assert got[2] == 125 and got[3] == 10
+    assert 18 in got and got[18] is None
