@@ -73,3 +73,16 @@ def test_request_latency_pairs(spark):
     ], "request_id long, mark string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
     got = {r.request_id: r.elapsed_ms for r in request_latency(marks).collect()}
     assert got == {1: 1250, 2: None}
+
+
+def test_views_push_filters_and_prune_columns(spark):
+    """Mapped views stay narrow: filters reach the Parquet scan and only the
+    used columns are read."""
+    from tests.conftest import SF001
+    from parley.plans.views import Tables
+    t = Tables(spark, SF001)
+    plan = t.escalations.select("id", "reason")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,error)" in plan
+    assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
+    plan = t.chat_queries.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(role,user)" in plan and "text" not in plan.split("ReadSchema:")[1].split(">")[0]
