@@ -58,6 +58,17 @@ def output_moderation(t):
     return t.assistant_replies.select("id", hit.alias("output_filtered"), final.alias("response"))
 
 
+@query("document_moderation", with_views(f"""
+    SELECT doc_id, {SR.any_match('lower(content)', R.output_moderation)} AS output_filtered,
+           {SP.moderated('content')} AS response
+    FROM doc_reply""", "doc_reply"))
+def document_moderation(t):
+    """G6 over the documents table taken as long replies (whole texts)."""
+    final, hit = G.moderate_output(F.col("content"))
+    return driver.document_replies(t.spark, t.sf_dir).select("doc_id", hit.alias("output_filtered"),
+                                                             final.alias("response"))
+
+
 # -- I1, I2, I3 ----------------------------------------------------------------------------
 
 @query("intent_keywords", with_views(f"""

@@ -115,6 +115,9 @@ VIEWS: dict[str, str] = {
         FROM part""",
 }
 
+VIEWS["doc_reply"] = f"""
+        SELECT doc_id, {arr(driver.REPLY_PHRASES)}[(doc_id % {len(driver.REPLY_PHRASES)}) + 1] || ' ' || text AS content
+        FROM documents"""
 VIEWS["tkt_req"] = f"""
         SELECT o_orderkey AS request_id, o_custkey AS user_id,
                CASE WHEN o_orderkey % 7 != 0 THEN {arr(driver.TICKET_CATEGORIES)}[(o_orderkey % 5) + 1] END AS category,

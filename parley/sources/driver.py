@@ -156,6 +156,13 @@ def assistant_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("content", splice_reply(F.col("content"), F.col("conversation_id"), F.col("turn")))
 
 
+def document_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as long model replies (whole texts), a reply phrase in front."""
+    d = read(spark, sf_dir, "documents")
+    idx = F.pmod(F.col("doc_id"), F.lit(len(REPLY_PHRASES)))
+    return d.select("doc_id", F.concat(_pick(REPLY_PHRASES, idx), F.lit(" "), F.col("text")).alias("content"))
+
+
 def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chat_queries plus a raw ``model_label`` (I2 input)."""
     q = chat_queries(spark, sf_dir)
