@@ -42,11 +42,64 @@ def _java(p: str) -> str:
     return "(?d)" + p
 
 
+def _line_facts(ln: Column):
+    """(first <li>, start of the last </li>, has a segment, segment ends the line)."""
+    first = F.instr(ln, "<li>")
+    back = F.instr(F.reverse(ln), ">il/<")
+    start = F.length(ln) - back - 3
+    seg = F.coalesce((first > 0) & (back > 0) & (start >= first + 4), F.lit(False))
+    at_end = F.coalesce(seg & (start + 4 == F.length(ln)), F.lit(False))
+    return first, start, seg, at_end
+
+
+def _wrap_lists(x: Column) -> Column:
+    """The list-grouping rule ``((<li>.*</li>\n?)+) -> <ul>$1</ul>`` without
+    regex repetition.
+
+    Java's regex engine recurses once per repetition of a group, so a reply
+    with tens of thousands of list items overflows the stack (measured:
+    20,000 items fail the task).  The same result, line by line: a line
+    holds a segment from its first ``<li>`` to its last ``</li>``; a segment
+    continues the previous line's run when the line starts with ``<li>`` and
+    the previous segment ends its line (that newline belongs to the run).
+    ``<ul>`` opens before a segment that does not continue a run; ``</ul>``
+    closes right after a segment that does not end its line (or ends the
+    text), else at the start of the next line when that line does not
+    continue the run.  Each line only needs the previous line, so the lambda
+    runs over ``arrays_zip(previous, current, is_last)`` (linear).
+    """
+    lines = F.split(x, "\n", -1)
+    n = F.size(lines)
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, 1, n - 1))
+    last = F.concat(F.array_repeat(F.lit(False), n - 1), F.array(F.lit(True)))
+    # the lambda reads only its own element: an outer expression referenced
+    # inside it would be re-evaluated per element (quadratic on long texts)
+    triples = F.arrays_zip(prev.alias("p"), lines.alias("c"), last.alias("is_last"))
+
+    def rewrite(e):
+        ln, pl = e["c"], e["p"]
+        first, start, seg, at_end = _line_facts(ln)
+        _, _, seg_p, at_end_p = _line_facts(pl)
+        cont = seg & (first == 1) & seg_p & at_end_p
+        close_prev = seg_p & at_end_p & ~cont
+        close_here = seg & (~at_end | e["is_last"])
+        closed = F.when(close_here, F.concat(ln.substr(F.lit(1), start + 4), F.lit("</ul>"),
+                                             ln.substr(start + 5, F.length(ln)))).otherwise(ln)
+        opened = F.when(seg & ~cont, F.concat(closed.substr(F.lit(1), first - 1), F.lit("<ul>"),
+                                              closed.substr(first, F.length(closed)))).otherwise(closed)
+        return F.concat(F.when(close_prev, F.lit("</ul>")).otherwise(F.lit("")), opened)
+
+    return F.array_join(F.transform(triples, rewrite), "\n")
+
+
 def markdown_html(text) -> Column:
     """X24 + X25: escape, then the markdown rules in order."""
     x = html_escape(text)
     for pat, rep in MARKDOWN_RULES:
-        x = F.regexp_replace(x, _java(pat), rep)
+        if rep == "<ul>$1</ul>":
+            x = _wrap_lists(x)  # same result without regex repetition (see above)
+        else:
+            x = F.regexp_replace(x, _java(pat), rep)
     return F.when(col_(text).isNull() | (col_(text) == ""), F.lit("")).otherwise(x)
 
 

@@ -86,3 +86,20 @@ def test_views_push_filters_and_prune_columns(spark):
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
     plan = t.chat_queries.select("id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,user)" in plan and "text" not in plan.split("ReadSchema:")[1].split(">")[0]
+
+
+def test_list_grouping_matches_regex_and_survives_long_lists(spark):
+    """Markdown list grouping equals the regex rule, and a reply with 20,000
+    list items no longer overflows the Java regex stack."""
+    import re
+    from parley.functions.present import _wrap_lists
+
+    def ref(t):
+        return re.sub(r"((<li>[^\n\r  ]*</li>\n?)+)", r"<ul>\1</ul>", t)
+    cases = ["<li>a</li>\n<li>b</li>\nx", "x <li>a</li> y\n<li>b</li>", "<li>a</li>\n<li>b</li>\n",
+             "a\n<li>b</li>\n\n<li>c</li> tail\n<li>d", "<li></li><li>x</li>\n<li>y</li>z\n<li>w</li>\n",
+             "<li>a\n</li>", "<li>a</li>\n<li>b</li> t\n<li>c</li>", "", "<li>x</li>\r\n<li>y</li>"]
+    got = spark.createDataFrame([(c,) for c in cases], "t string").select(_wrap_lists(F.col("t"))).collect()
+    assert [g[0] for g in got] == [ref(c) for c in cases]
+    long = spark.createDataFrame([("- item\n" * 20000,)], "t string")
+    assert long.select(F.length(X.markdown_html("t"))).collect()[0][0] == 340009
