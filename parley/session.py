@@ -35,6 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.executorEnv.PYTHONWARNINGS", "ignore::FutureWarning")
     b = b.config("spark.driver.memory", os.environ.get("PARLEY_DRIVER_MEMORY", "8g"))
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -42,18 +43,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of the session.
 
-    Only when the session names none (local tests) do we create one under
-    the local temp folder; on a cluster the setting must point at shared
-    storage and is read, never overridden.
+    A folder that the caller set (``setCheckpointDir`` or the
+    ``spark.checkpoint.dir`` setting) is used as it is.  Where there is none,
+    a local session gets a temporary one; a cluster must name a folder that
+    all executors share, so that is an error.
     """
+    sc = spark.sparkContext
+    held = sc.getCheckpointDir()
+    if held:
+        return held
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="parley-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
