@@ -221,27 +221,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """doc_id, th (a hash of the text), fp and root per document, where root
-    names the component by one of its fingerprints."""
+def _grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(documents, fingerprints): doc_id, th (a hash of the text) and fp per
+    document; component_id and first - the document that stays - per fp.
+
+    Components are formed over distinct fingerprints; a large group of copies
+    meets its row by a plain join, which Spark splits when it is skewed.
+    """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     fps = materialize(fingerprints(keyed, shingle, ("doc_id", "th")))
-    roots = components(links(fps.select("fp").distinct(), radius))
-    return fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(order).alias("first")))
+    roots = components(links(nodes.select("fp"), radius))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    return fps, named.select("fp", "root").join(groups, "root").drop("root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = _grouped(docs, shingle, radius)
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, groups = _grouped(docs, shingle, radius)
+    return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id
     (null last; rows that share it: the smallest text hash)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f")
-    keep = _grouped(docs, shingle, radius).groupBy("root").agg(first).select(F.col("f.doc_id").alias("k"), F.col("f.th").alias("kh"))
+    _, groups = _grouped(docs, shingle, radius)
+    keep = groups.select(F.col("first.doc_id").alias("k"), F.col("first.th").alias("kh")).distinct()
     row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     kept = row.join(keep, F.col("i").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")), "left_semi")
     return kept.dropDuplicates(["i", "h"]).select("row.*")
