@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parley.llm import decontaminate, hdlang, imatch, kneser_ney, mixing, pii, simhash, substring, toxicity, trie_lm
+from parley.llm import decontaminate, hdlang, imatch, kneser_ney, mixing, pii, simhash, sql, substring, toxicity, trie_lm
 from parley.llm.common import read
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def op6_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_rate=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,10 @@ QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op6_nearest_examples, op7_entropy_balancing, op8_suffix_automaton, op9_hyperdimensional_language, op10_feistel_pseudonyms,
 )} | {"pipeline": corpus_pipeline.run}
 
-ORACLE: dict[str, str] = {}
-
 
 def queries() -> dict[str, Builder]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(sql.ORACLE)
