@@ -3,21 +3,18 @@
 Every feature looks at a bounded number of *prior* messages of the same
 conversation (the current message is not part of its own context).
 
-Two equivalent plans are offered:
-
-``strategy="shift"`` (default, skew-safe)
-    Each message is copied to the ``k`` later turns it is context for
-    (``explode(sequence(turn+1, turn+k))``), then grouped on
-    ``(conversation_id, turn)``.  The shuffle key includes the turn, so a
-    conversation holding a third of all rows is spread over all tasks, the
-    aggregate is partial (map-side combine), and each group holds at most
-    ``k`` rows.  Requires dense turns (0, 1, 2, ...), which
-    :func:`message_turns` produces from timestamps.
-
-``strategy="window"``
-    ``ROWS BETWEEN k PRECEDING AND 1 PRECEDING`` over
-    ``partitionBy(conversation_id)``.  One shuffle, but one task per
-    conversation: fine without hot conversations.
+Plan (``strategy="block"``, the default): a conversation is cut into blocks of
+``BLOCK`` turns and the last rows of each block are copied into the next, so
+the frame is a bounded window inside ``(conversation_id, block)``.  That is one
+exchange which carries each text 1 + k/BLOCK times, a conversation that holds a
+third of all rows is spread over all tasks, and no window is larger than a
+block.
+
+Blocks rely on dense turns (0, 1, 2, ...).  A gap or a repeated turn is an
+error at run time, never a short frame; :func:`dense_turns` numbers such input
+first.  ``strategy="window"`` (``ROWS BETWEEN k PRECEDING`` over the whole
+conversation, one task per conversation) takes any turns and is what the tests
+compare with.
 """
 
 from __future__ import annotations
@@ -28,8 +25,10 @@ from pyspark.sql.window import Window as W
 
 from parley.functions.rules import DEFAULT_RULES, HANDOFF_FRAME, MODEL_CONTEXT_FRAME, RuleSet
 from parley.functions.text import contains_any, left
+from parley.operators.ranking import number_rows
 
 KEY = ["conversation_id", "turn"]
+BLOCK = 256
 
 
 def frustrated_flag(rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -37,30 +36,49 @@ def frustrated_flag(rules: RuleSet = DEFAULT_RULES) -> Column:
     return ((F.col("role") == "user") & contains_any(F.lower(F.col("content")), rules.frustration_words)).cast("int")
 
 
-def _shift(df: DataFrame, k: int, *cols: Column) -> DataFrame:
-    """Copy each row to the ``k`` turns after it (d = distance back)."""
-    return df.select(
-        "conversation_id",
-        F.explode(F.sequence(F.lit(1), F.lit(k))).alias("d"),
-        F.col("turn").alias("src_turn"), *cols,
-    ).withColumn("turn", F.col("src_turn") + F.col("d"))
+def over_prior(messages: DataFrame, k: int, features: dict[str, Column], ahead: dict[str, Column] | None = None,
+               strategy: str = "block") -> DataFrame:
+    """``messages`` with ``features`` (aggregates over the ``k`` prior messages)
+    and ``ahead`` (columns of the next message).
 
-
-def frustration(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
-    """W1 inputs per (conversation_id, turn): ``n_prior`` messages in the
-    frame and ``n_frustrated`` frustrated user messages among them.
-
-    The shift plan also yields groups for up to ``k`` turns past the end of
-    each conversation; callers join the result back to their messages (a
-    turn without a group has an empty frame)."""
-    k = rules.frustration_frame
+    ``features`` values are unapplied aggregate columns; ``ahead`` values are
+    columns of the next row.
+    """
+    ahead = ahead or {}
     if strategy == "window":
-        w = W.partitionBy("conversation_id").orderBy("turn").rowsBetween(-k, -1)
-        f = messages.select(*KEY, frustrated_flag(rules).alias("f"))
-        return f.select(*KEY, F.count("f").over(w).alias("n_prior"),
-                        F.coalesce(F.sum("f").over(w), F.lit(0)).cast("long").alias("n_frustrated"))
-    s = _shift(messages, k, frustrated_flag(rules).alias("f"))
-    return s.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_prior"), F.sum("f").cast("long").alias("n_frustrated"))
+        w = W.partitionBy("conversation_id").orderBy("turn")
+        return messages.select("*", *[f.over(w.rowsBetween(-k, -1)).alias(n) for n, f in features.items()],
+                               *[F.lead(c).over(w).alias(n) for n, c in ahead.items()])
+    if not 0 < k < BLOCK:
+        raise ValueError(f"frames of 1 to {BLOCK - 1} messages")
+    cols, turn = messages.columns, F.col("turn")
+    block, place = F.floor(turn / BLOCK), F.pmod(turn, F.lit(BLOCK))
+    copy = lambda shift: F.struct((block + shift).alias("block"), F.lit(shift).alias("shift"))
+    into = F.array_compact(F.array(copy(0), F.when(place >= BLOCK - k, copy(1)),
+                                   F.when((place == 0) & (block > 0), copy(-1)) if ahead else F.lit(None)))
+    rows = messages.select("*", F.explode(into).alias("_at")).select(*cols, "_at.block", "_at.shift")
+    w = W.partitionBy("conversation_id", "block").orderBy("turn")
+    before = F.lag("turn").over(w)
+    dense = F.when(turn == 0, before.isNull()).otherwise(F.coalesce(before == turn - 1, F.lit(False)))
+    rows = rows.select("*", dense.alias("_dense"), *[f.over(w.rowsBetween(-k, -1)).alias(n) for n, f in features.items()],
+                       *[F.lead(c).over(w).alias(n) for n, c in ahead.items()])
+    gap = F.raise_error(F.concat(F.lit("turns are not dense (use dense_turns): conversation "),
+                                 F.col("conversation_id").cast("string"), F.lit(" turn "), turn.cast("string")))
+    added = [F.when(F.col("_dense"), F.col(n)).otherwise(gap).alias(n) for n in (*features, *ahead)]
+    return rows.where("shift = 0").select(*cols, *added)
+
+
+def frustration_features(rules: RuleSet = DEFAULT_RULES) -> dict[str, Column]:
+    """W1 inputs over a frame, of rows that carry the flag ``_f``."""
+    return {"n_prior": F.count("_f"), "n_frustrated": F.sum("_f")}
+
+
+def frustration(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "block") -> DataFrame:
+    """W1 inputs per (conversation_id, turn): ``n_prior`` messages in the
+    frame and ``n_frustrated`` frustrated user messages among them."""
+    f = over_prior(messages.select(*KEY, frustrated_flag(rules).alias("_f")), rules.frustration_frame,
+                   frustration_features(rules), strategy=strategy)
+    return f.select(*KEY, "n_prior", F.coalesce("n_frustrated", F.lit(0)).cast("long").alias("n_frustrated"))
 
 
 def is_repeated_frustration(n_prior: Column, n_frustrated: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -69,82 +87,55 @@ def is_repeated_frustration(n_prior: Column, n_frustrated: Column, rules: RuleSe
         (F.coalesce(n_frustrated, F.lit(0)) >= rules.frustration_min)
 
 
-def _ordered(items: Column) -> Column:
-    """array<struct<src_turn, role, content>> -> oldest-first (role, content)."""
-    srt = F.array_sort(items, lambda a, b: F.when(a["src_turn"] < b["src_turn"], -1)
-                       .when(a["src_turn"] > b["src_turn"], 1).otherwise(0))
-    return F.transform(srt, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+def recent_context(messages: DataFrame, k: int, content: Column, role: Column | None = None,
+                   strategy: str = "block") -> DataFrame:
+    """``messages`` with ``context``: the last ``k`` prior messages, oldest
+    first, as ``array<struct<role, content>>`` (empty for a first message)."""
+    item = F.struct((role if role is not None else F.col("role")).alias("role"), content.alias("content"))
+    return over_prior(messages.withColumn("_item", item), k, {"context": F.collect_list("_item")},
+                      strategy=strategy).drop("_item")
 
 
-def recent_context(messages: DataFrame, k: int, content: Column, role: Column | None = None,
-                   strategy: str = "shift") -> DataFrame:
-    """Last ``k`` prior messages per (conversation_id, turn), oldest first,
-    as ``array<struct<role, content>>`` plus the frame size."""
-    role = role if role is not None else F.col("role")
-    if strategy == "window":
-        w = W.partitionBy("conversation_id").orderBy("turn").rowsBetween(-k, -1)
-        item = F.struct(role.alias("role"), content.alias("content"))
-        return messages.select(*KEY, F.collect_list(item).over(w).alias("context"))
-    s = _shift(messages, k, role.alias("role"), content.alias("content"))
-    agg = s.groupBy(*KEY).agg(F.collect_list(F.struct("src_turn", "role", "content")).alias("items"))
-    # shifted copies also land on turns past the end of a conversation:
-    # keep the groups of existing messages (the aggregate is already
-    # partitioned on the key, so only the key side is shuffled)
-    agg = agg.join(messages.select(*KEY), KEY, "left_semi")
-    return agg.select(*KEY, _ordered(F.col("items")).alias("context"))
-
-
-def model_context(messages: DataFrame, strategy: str = "shift") -> DataFrame:
+def model_context(messages: DataFrame, strategy: str = "block") -> DataFrame:
     """Last 6 prior messages for a model call; roles user / model."""
     role = F.when(F.col("role") == "user", "user").otherwise("model")
-    return recent_context(messages, MODEL_CONTEXT_FRAME, F.col("content"), role, strategy)
+    m = messages.select(*KEY, "role", "content")
+    return recent_context(m, MODEL_CONTEXT_FRAME, F.col("content"), role, strategy).select(*KEY, "context")
 
 
-def handoff_summary(queries: DataFrame, messages: DataFrame, reason: Column | None = None,
-                    strategy: str = "shift") -> DataFrame:
+def handoff_summary(messages: DataFrame, query: Column, reason: Column | None = None,
+                    strategy: str = "block") -> DataFrame:
     """Per user message the hand-off record: reason, the
     query, how many messages preceded it and the last 5 (content cut to
     200 characters), oldest first."""
     ctx = recent_context(messages, HANDOFF_FRAME, left(F.col("content"), 200), None, strategy)
-    q = queries.join(ctx, KEY, "left")
-    empty = F.array().cast("array<struct<role:string,content:string>>")
-    return q.select(
+    ctx = ctx.where(F.col("role") == "user").withColumn("student_query", query).where(F.length("student_query") > 0)
+    return ctx.select(
         *KEY,
         (reason if reason is not None else F.lit(None).cast("string")).alias("escalation_reason"),
-        F.col("content").alias("student_query"),
+        "student_query",
+        # Dense turns, checked above, count the messages before this one
         F.col("turn").cast("long").alias("conversation_length"),
-        F.coalesce(F.col("context"), empty).alias("recent_messages"),
+        F.col("context").alias("recent_messages"),
     )
 
 
-def message_turns(messages: DataFrame, strategy: str = "window", partitions: int | None = None) -> DataFrame:
+def message_turns(messages: DataFrame, strategy: str = "range", partitions: int | None = None) -> DataFrame:
     """Dense turn number (0-based) from time order, id as tiebreak.
 
-    ``strategy="window"``: ``row_number()`` over the conversation -- one
-    task per conversation.
-
-    ``strategy="range"`` (skew-safe): range-partition and sort by
-    (conversation, time, id), so a conversation holding a third of all rows
-    spans many tasks; number rows within each task, materialise that with a
-    reliable checkpoint (fixes the partition ids), then add per-(task,
-    conversation) offsets taken from a summary with one row per task and
-    conversation (a window over at most ``partitions`` rows per
-    conversation) and join it back on (task, conversation).
+    ``strategy="range"`` (default): :func:`parley.operators.ranking.number_rows`,
+    which splits a hot conversation over tasks.  ``strategy="window"``:
+    ``row_number()`` over the conversation - one task per conversation.
     """
     if strategy == "window":
         w = W.partitionBy("conversation_id").orderBy("created_at", "id")
         return messages.withColumn("turn", (F.row_number().over(w) - 1).cast("long"))
-    from parley.session import materialize
-    spark = messages.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conversation_id", "created_at", "id"]
-    s = (messages.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    s = materialize(s)
-    summ = s.groupBy("_pid", "conversation_id").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("conversation_id").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    summ = summ.select("_pid", "conversation_id", "_first",
-                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    out = s.join(summ, ["_pid", "conversation_id"])
-    return out.withColumn("turn", (F.col("_offset") + F.col("_mid") - F.col("_first")).cast("long")).drop(
-        "_pid", "_mid", "_first", "_offset")
+    return number_rows(messages, ["conversation_id"], [F.col("created_at"), F.col("id")], "turn", partitions)
+
+
+def dense_turns(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Messages with gaps or odd starts in ``turn``, renumbered 0, 1, 2, ...
+    in turn order (equal turns: by id)."""
+    m = messages.withColumnRenamed("turn", "_old")
+    out = number_rows(m, ["conversation_id"], [F.col("_old"), F.col("id")], "turn", partitions)
+    return out.select(*messages.columns)

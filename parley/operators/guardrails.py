@@ -10,7 +10,6 @@ violation.
 
 from __future__ import annotations
 
-import dataclasses
 import functools
 import re
 
@@ -21,8 +20,6 @@ from parley.functions import replies
 from parley.functions.rules import DEFAULT_RULES, RuleSet
 from parley.functions.text import col_, first_match, left, norm, rlike_any, strip_ws
 
-VIOLATION_TYPE = "struct<type:string,matched_pattern:string,severity:string>"
-
 
 def check(text_norm, family: str, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Matched text of the family's first matching rule, else NULL."""
@@ -30,19 +27,6 @@ def check(text_norm, family: str, rules: RuleSet = DEFAULT_RULES) -> Column:
     return first_match(text_norm, pats)
 
 
-def first_violation(text, rules: RuleSet = DEFAULT_RULES) -> Column:
-    """G5 as one expression: struct(type, matched_pattern, severity) of the
-    first failing check in catalog order, NULL when the text is clean.
-    (:func:`with_violation` is the plan-friendly form.)"""
-    t = norm(text)
-    out = None
-    for name, severity, pats in rules.checks:
-        m = first_match(t, pats)
-        v = F.struct(F.lit(name).alias("type"), m.alias("matched_pattern"), F.lit(severity).alias("severity"))
-        out = F.when(m.isNotNull(), v) if out is None else out.when(m.isNotNull(), v)
-    return out
-
-
 def all_input_rules(rules: RuleSet = DEFAULT_RULES) -> list[str]:
     return [p for _, _, pats in rules.checks for p in pats]
 
@@ -52,17 +36,17 @@ def violation_message(vtype: Column) -> Column:
     return replies.lookup(replies.VIOLATION_MESSAGES, vtype)
 
 
-def _context_key():
+def context_key() -> str:
+    """Cached columns belong to one Spark application (ids are never reused)."""
     from pyspark import SparkContext
-    return id(SparkContext._active_spark_context)
+    return SparkContext._active_spark_context.applicationId
 
 
 @functools.lru_cache(maxsize=64)
-def _violation_columns(rules: RuleSet, text: str, ctx: int, engine: str = "expr"):
+def _violation_columns(rules: RuleSet, text: str, ctx: str):
     """Rule columns over the normalised-text column ``text`` (built once per
-    rule set and Spark context: they are plain unresolved expressions)."""
-    from parley.functions.keywords import matcher
-    t = matcher(text, "_hits", rules) if engine == "automaton" else F.col(text)
+    rule set and Spark application: they are plain unresolved expressions)."""
+    t = F.col(text)
     fams = [(name, sev, first_match(t, pats)) for name, sev, pats in rules.checks]
     matches = [m.alias(f"_m_{name}") for name, _, m in fams]
     vtype = sev = None
@@ -77,7 +61,7 @@ def _violation_columns(rules: RuleSet, text: str, ctx: int, engine: str = "expr"
 
 
 def with_violation(df: DataFrame, text: str = "content", rules: RuleSet = DEFAULT_RULES,
-                   keep_text: bool = False, engine: str | None = None) -> DataFrame:
+                   keep_text: bool = False) -> DataFrame:
     """Add violation_type / matched_pattern / severity.
 
     The lower-cased, stripped text is computed once into ``_t``; each rule
@@ -85,19 +69,14 @@ def with_violation(df: DataFrame, text: str = "content", rules: RuleSet = DEFAUL
     rule's regex runs only when its leading words occur); the first family
     in catalog order that matched decides the type.
     """
-    from parley.functions.keywords import default_engine, with_hits
-    engine = engine or default_engine()
-    matches, result, tmp = _violation_columns(rules, "_t", _context_key(), engine)
-    out = df.select("*", norm(F.col(text)).alias("_t"))
-    if engine == "automaton" and "_hits" not in df.columns:
-        out = with_hits(out, "_t", "_hits", rules)
-    out = out.select("*", *matches)
+    matches, result, tmp = _violation_columns(rules, "_t", context_key())
+    out = df.select("*", norm(F.col(text)).alias("_t")).select("*", *matches)
     out = out.select("*", *result).drop(*tmp)
-    return out if keep_text else out.drop("_t", "_hits")
+    return out if keep_text else out.drop("_t")
 
 
 @functools.lru_cache(maxsize=64)
-def _any_rule_on_query(rules: RuleSet, ctx: int) -> Column:
+def _any_rule_on_query(rules: RuleSet, ctx: str) -> Column:
     return rlike_any(norm(F.col("query")), all_input_rules(rules))
 
 
@@ -111,7 +90,7 @@ def violations_table(queries: DataFrame, rules: RuleSet = DEFAULT_RULES) -> Data
     # cheap equivalent of "has a violation" on the base column (anchor-gated
     # rules); filtering on the derived columns would be pushed below the
     # projection and re-evaluate every rule in the filter
-    q = q.where((F.length("query") > 0) & _any_rule_on_query(rules, _context_key()))
+    q = q.where((F.length("query") > 0) & _any_rule_on_query(rules, context_key()))
     v = with_violation(q, "query", rules)
     return v.select(
         "id", "user_id", "violation_type",
@@ -166,15 +145,12 @@ def _edge_is_barrier(ch: str, patterns) -> bool:
     return True
 
 
-def moderate_template(template: str, slot: str, value: Column, rules: RuleSet = DEFAULT_RULES,
-                      text_lower=None) -> Column:
+def moderate_template(template: str, slot: str, value: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """G6 of ``template`` filled with ``value`` at ``{slot}``.
 
     When the fixed parts cannot match and the characters at both edges
     of the slot cannot occur in any match (checked here, at plan time),
     every match lies inside the slot, so only the slot text is scanned.
-    ``text_lower`` (a keyword Matcher of the text the slot was cut from)
-    gates the scan by the rules' leading words.
     """
     reply = replies.fill(template, **{slot: value})
     pre, _, post = template.partition("{" + slot + "}")
@@ -183,9 +159,7 @@ def moderate_template(template: str, slot: str, value: Column, rules: RuleSet =
     if not (fixed_clean and _edge_is_barrier(pre[-1:], rules.output_moderation)
             and _edge_is_barrier(post[:1], rules.output_moderation)):
         return moderate_output(reply, rules)[0]
-    slot_text = F.lower(value)
-    probe = dataclasses.replace(text_lower, text=slot_text) if type(text_lower).__name__ == "Matcher" else slot_text
-    hit = F.coalesce(rlike_any(probe, rules.output_moderation), F.lit(False))
+    hit = F.coalesce(rlike_any(F.lower(value), rules.output_moderation), F.lit(False))
     return F.when(hit, F.lit(replies.MODERATED_REPLY)).otherwise(reply)
 
 

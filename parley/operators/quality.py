@@ -99,7 +99,7 @@ def ticket_intake(requests: DataFrame) -> DataFrame:
         subject.alias("subject"),
         strip_ws(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
         (F.coalesce(F.length(subject), F.lit(0)) > 0).alias("accepted"),
-        F.lit("open").alias("status"), F.lit("medium").alias("priority"),
+        F.lit("open").alias("status"), F.lit("medium").alias("priority"), "created_at",
     )
 
 
@@ -114,8 +114,3 @@ def manual_escalations(requests: DataFrame) -> DataFrame:
         F.coalesce(F.col("summary"), F.lit("Student requested escalation")).alias("summary"),
         F.lit("high").alias("priority"), F.lit("pending").alias("status"), "created_at",
     )
-
-
-def required(c) -> Column:
-    """present and not blank after stripping."""
-    return F.coalesce(F.length(strip_ws(c)) > 0, F.lit(False))

@@ -83,27 +83,27 @@ def _moderated(mapping):
     return moderate_fixed(mapping)
 
 
-def _templated(template: str, query, text_lower=None) -> Column:
+def _templated(template: str, query) -> Column:
     from parley.operators.guardrails import moderate_template
-    return moderate_template(template, "query", left(query, 100), text_lower=text_lower)
+    return moderate_template(template, "query", left(query, 100))
 
 
-def course_reply(query, topic, text_lower=None) -> Column:
+def course_reply(query, topic) -> Column:
     """Knowledge-base body for the topic, else the generic study reply."""
     return F.coalesce(replies.lookup(_moderated(replies.KNOWLEDGE_BASE), col_(topic)),
-                      _templated(replies.COURSE_GENERIC, query, text_lower))
+                      _templated(replies.COURSE_GENERIC, query))
 
 
-def assignment_reply(query, topic, text_lower=None) -> Column:
+def assignment_reply(query, topic) -> Column:
     """Hint reply for the topic, else the generic step-by-step reply."""
     return F.coalesce(replies.lookup(_moderated(replies.HINT_REPLIES), col_(topic)),
-                      _templated(replies.ASSIGNMENT_GENERIC, query, text_lower))
+                      _templated(replies.ASSIGNMENT_GENERIC, query))
 
 
-def technical_reply(query, key, text_lower=None) -> Column:
+def technical_reply(query, key) -> Column:
     """Quick fix for the first matched key, else generic troubleshooting."""
     return F.coalesce(replies.lookup(_moderated(replies.QUICK_SOLUTIONS), col_(key)),
-                      _templated(replies.TECHNICAL_GENERIC, query, text_lower))
+                      _templated(replies.TECHNICAL_GENERIC, query))
 
 
 def agent_reply(agent, query, text_lower, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -115,46 +115,46 @@ def agent_reply(agent, query, text_lower, rules: RuleSet = DEFAULT_RULES) -> Col
     ones (carrying the query) are moderated per row.
     """
     a = col_(agent)
-    return (F.when(a == "course", course_reply(query, course_topic(text_lower, rules), text_lower))
-            .when(a == "assignment", assignment_reply(query, hint_topic(text_lower, rules), text_lower))
-            .when(a == "technical", technical_reply(query, quick_key(text_lower, rules), text_lower))
+    return (F.when(a == "course", course_reply(query, course_topic(text_lower, rules)))
+            .when(a == "assignment", assignment_reply(query, hint_topic(text_lower, rules)))
+            .when(a == "technical", technical_reply(query, quick_key(text_lower, rules)))
             .otherwise(F.lit(replies.AGENT_ERROR_REPLY)))
 
 
 # -- I3 ---------------------------------------------------------------------------------------
 
-def answer_failover(agent, query, text_lower, answer_a, answer_b, search, rules: RuleSet = DEFAULT_RULES):
+def answer_failover(agent, query, text_lower, answer_a, answer_b, search, rules: RuleSet = DEFAULT_RULES,
+                    wiki: tuple | None = None):
     """(first available answer, source step), before output moderation.
 
     Order: model A, model B (any answering agent), then the agent's own
-    fallbacks: course -> web search, knowledge base, generic text;
-    assignment -> web search, hints, generic; technical -> quick fix,
+    fallbacks: course -> web search, knowledge base, encyclopedia, generic
+    text; assignment -> web search, hints, generic; technical -> quick fix,
     generic.  The escalation agent has no answer generator (apology text).
-    The encyclopedia step is an external service, treated as unavailable.
-    Callers project the answer into a column and moderate that column
-    (:func:`parley.operators.guardrails.moderate_output`), so the large
-    answer expression is evaluated once.
+    An empty search answer is none.  ``wiki`` is (title, extract) of the
+    encyclopedia's best page for :func:`search_query`, NULL where it has none.
+    Each step is a struct of answer and source, so an answer expression is
+    there once; callers project the answer into a column and moderate that.
     """
     a, tl = col_(agent), text_lower
-    answers = a.isin("course", "assignment", "technical")
-    ma = F.when(answers, col_(answer_a))
-    mb = F.when(answers, col_(answer_b))
-    srch = (F.when(a == "course", replies.fill(replies.SEARCH_COURSE, answer=col_(search)))
-            .when(a == "assignment", replies.fill(replies.SEARCH_ASSIGNMENT, answer=col_(search))))
-    kb = (F.when(a == "course", replies.lookup(replies.KNOWLEDGE_BASE, course_topic(tl, rules)))
-          .when(a == "assignment", replies.lookup(replies.HINT_REPLIES, hint_topic(tl, rules)))
-          .when(a == "technical", replies.lookup(replies.QUICK_SOLUTIONS, quick_key(tl, rules))))
-    has_kb = (F.when(a == "course", course_topic(tl, rules).isNotNull())
-              .when(a == "assignment", hint_topic(tl, rules).isNotNull())
-              .when(a == "technical", quick_key(tl, rules).isNotNull()).otherwise(F.lit(False)))
-    generic = (F.when(a == "course", replies.fill(replies.COURSE_GENERIC, query=left(query, 100)))
-               .when(a == "assignment", replies.fill(replies.ASSIGNMENT_GENERIC, query=left(query, 100)))
-               .when(a == "technical", replies.fill(replies.TECHNICAL_GENERIC, query=left(query, 100))))
-    answer = F.coalesce(ma, mb, srch, kb, generic, F.lit(replies.AGENT_ERROR_REPLY))
-    source = (F.when(ma.isNotNull(), "model_a").when(mb.isNotNull(), "model_b")
-              .when(answers & (a != "technical") & col_(search).isNotNull(), "search").when(has_kb, "knowledge_base")
-              .when(answers, "generic").otherwise("error"))
-    return answer, source
+    step = lambda body, source: F.when(body.isNotNull(), F.struct(body.alias("answer"), F.lit(source).alias("source")))
+    found = F.nullif(col_(search), F.lit(""))
+    common = [step(col_(answer_a), "model_a"), step(col_(answer_b), "model_b")]
+    ask = left(query, 100)
+    course = common + [step(replies.fill(replies.SEARCH_COURSE, answer=found), "search"),
+                       step(replies.lookup(replies.KNOWLEDGE_BASE, course_topic(tl, rules)), "knowledge_base")]
+    if wiki is not None:
+        course.append(step(replies.fill(replies.WIKI_COURSE, title=col_(wiki[0]), extract=col_(wiki[1])), "encyclopedia"))
+    course.append(step(replies.fill(replies.COURSE_GENERIC, query=ask), "generic"))
+    assignment = common + [step(replies.fill(replies.SEARCH_ASSIGNMENT, answer=found), "search"),
+                           step(replies.lookup(replies.HINT_REPLIES, hint_topic(tl, rules)), "knowledge_base"),
+                           step(replies.fill(replies.ASSIGNMENT_GENERIC, query=ask), "generic")]
+    technical = common + [step(replies.lookup(replies.QUICK_SOLUTIONS, quick_key(tl, rules)), "knowledge_base"),
+                          step(replies.fill(replies.TECHNICAL_GENERIC, query=ask), "generic")]
+    error = F.struct(F.lit(replies.AGENT_ERROR_REPLY).alias("answer"), F.lit("error").alias("source"))
+    chosen = (F.when(a == "course", F.coalesce(*course, error)).when(a == "assignment", F.coalesce(*assignment, error))
+              .when(a == "technical", F.coalesce(*technical, error)).otherwise(error))
+    return chosen["answer"], chosen["source"]
 
 
 def search_query(query, rules: RuleSet = DEFAULT_RULES) -> Column:

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from parley.operators.ranking import number_rows
+
 
 def _count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
@@ -163,8 +165,31 @@ def recent_conversations(conversations: DataFrame, n: int = 20, shown: int = 5)
 
 
 def visible_tickets(tickets: DataFrame, viewer_id: Column, viewer_role: Column) -> DataFrame:
-    """An admin sees every ticket, anyone else only their own."""
-    return tickets.where((viewer_role == F.lit("admin")) | (F.col("user_id") == viewer_id))
+    """F9/O3 for one viewer, newest first: an admin sees every ticket, anyone
+    else only their own."""
+    seen = tickets.where((viewer_role == F.lit("admin")) | (F.col("user_id") == viewer_id))
+    return seen.orderBy(F.col("created_at").desc(), F.col("id").desc())
+
+
+def ticket_listing(tickets: DataFrame, partitions: int | None = None) -> DataFrame:
+    """F9/O3 for all viewers: every listing there is, newest first.
+
+    ``listing = 'all'`` is the one listing all admins share; ``'own'`` has one
+    listing per user.  ``position`` counts from 0 within a listing; both use
+    :func:`number_rows`, so neither the whole table nor a user with a third of
+    all tickets is sorted in one task.
+    """
+    t = tickets.select("user_id", "id", "category", "subject", "status", "priority", "created_at")
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    everything = number_rows(t, [], order, "position", partitions).withColumn("listing", F.lit("all"))
+    own = number_rows(t, ["user_id"], order, "position", partitions).withColumn("listing", F.lit("own"))
+    return everything.unionByName(own)
+
+
+def oldest_first(df: DataFrame, ts: str = "created_at", key: str = "id") -> DataFrame:
+    """A bounded newest-n feed shown oldest first, with ``position``."""
+    w = W.orderBy(F.col(ts), F.col(key))
+    return df.withColumn("position", (F.row_number().over(w) - 1).cast("long")).orderBy("position")
 
 
 def courses_sorted(courses: DataFrame) -> DataFrame:
@@ -195,8 +220,9 @@ def ticket_visibility(tickets: DataFrame, users: DataFrame) -> DataFrame:
 
 def dashboard_record(events: DataFrame, escalations: DataFrame, violations: DataFrame,
                      tickets: DataFrame, users: DataFrame) -> DataFrame:
-    """The whole dashboard as one row (9 scalars, the per-agent map,
-    the 20 newest events, the 10 newest violations and the 7-day trend).
+    """The whole dashboard as one row of 13 keys (9 scalars, the per-agent
+    map, the 20 newest events, the 10 newest violations and the 7-day trend,
+    oldest day first).
 
     Every nested value is bounded (one entry per agent, 20 / 10 / 7 rows)
     and comes from a scalar subquery over its own plan, so no unbounded
@@ -204,13 +230,31 @@ def dashboard_record(events: DataFrame, escalations: DataFrame, violations: Data
     """
     snap = snapshot_scalars(events, escalations, violations, tickets, users)
     agents = agent_map(events).select("queries_by_agent").scalar()
-    ev = newest(events, 20).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("created_at").alias("created_at"), "id", "event_type", "user_id", "agent_type",
-        "response_time_ms")), asc=False).alias("v")).select("v").scalar()
-    vi = newest(violations, 10).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("created_at").alias("created_at"), "id", "user_id", "violation_type", "original_query",
-        "action_taken", "severity")), asc=False).alias("v")).select("v").scalar()
-    tr = response_trend(events).agg(F.sort_array(F.collect_list(F.struct("date", "avg_time", "count")),
-                                                 asc=False).alias("v")).select("v").scalar()
+    rows = lambda df, cols, asc: df.agg(F.sort_array(F.collect_list(F.struct(*cols)), asc=asc).alias("v")).select("v").scalar()
+    ev = rows(newest(events, 20), ["created_at", "id", "event_type", "user_id", "agent_type", "response_time_ms"], False)
+    vi = rows(newest(violations, 10), ["created_at", "id", "user_id", "violation_type", "original_query", "action_taken", "severity"], False)
+    tr = rows(response_trend(events), ["date", "avg_time", "count"], True)
     return snap.select("*", F.coalesce(agents, F.create_map().cast("map<string,bigint>")).alias("queries_by_agent"),
                        ev.alias("recent_events"), vi.alias("recent_violations"), tr.alias("response_time_trend"))
+
+
+def record_rows(record: DataFrame) -> DataFrame:
+    """The record as (key, position, value) rows, for reports and checks.
+
+    Lists keep their order in ``position``; values are text, numbers with
+    three decimals.
+    """
+    num = lambda c: c.cast("decimal(38,3)").cast("string")
+    ts = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")
+    scalars = [c for c in record.columns if c not in ("queries_by_agent", "recent_events", "recent_violations", "response_time_trend")]
+    one = [F.array(F.struct(F.lit(c).alias("key"), F.lit(0).alias("position"), num(F.col(c)).alias("value"))) for c in scalars]
+    listed = lambda key, column, show: F.transform(column, lambda x, i: F.struct(F.lit(key).alias("key"), i.alias("position"), show(x).alias("value")))
+    agents = F.sort_array(F.map_entries("queries_by_agent"))
+    parts = one + [
+        listed("queries_by_agent", agents, lambda x: F.concat_ws("|", x["key"], num(x["value"]))),
+        listed("recent_events", F.col("recent_events"), lambda x: F.concat_ws("|", ts(x["created_at"]), x["id"].cast("string"), x["event_type"], x["agent_type"])),
+        listed("recent_violations", F.col("recent_violations"), lambda x: F.concat_ws("|", ts(x["created_at"]), x["id"].cast("string"), x["violation_type"], x["severity"])),
+        listed("response_time_trend", F.col("response_time_trend"), lambda x: F.concat_ws("|", x["date"].cast("string"), num(x["avg_time"]), num(x["count"]))),
+    ]
+    rows = record.select(F.explode(F.flatten(F.array(*parts))).alias("r")).select("r.*")
+    return rows.withColumn("position", F.col("position").cast("long"))

@@ -10,13 +10,13 @@ one with their prior context:
 4. routing to an agent and its fallback reply (J7, R1) with output
    moderation (G6).
 
-Plan: the only shuffle is the context aggregate keyed by
-``(conversation_id, turn)`` (see :mod:`parley.operators.context`) and the
-join of it back to the user turns on the same key; everything else is
-narrow column expressions.  Derived tables never filter on a derived rule
-column of a lazy plan (the filter would be pushed below the projection and
-re-run every rule); they either filter on an equivalent base-column
-predicate or read materialised decisions (:func:`materialize`).
+Plan: one exchange, keyed by (conversation_id, block of turns), carries every
+message once (and a block's last rows twice) to its context; everything else is
+narrow column expressions (see :mod:`parley.operators.context`).  Derived
+tables never filter on a derived rule column of a lazy plan (the filter would
+be pushed below the projection and re-run every rule); they either filter on an
+equivalent base-column predicate or read materialised decisions
+(:func:`materialize`).
 """
 
 from __future__ import annotations
@@ -25,72 +25,53 @@ import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from parley.functions import replies
 from parley.functions.rules import DEFAULT_RULES, RuleSet
-from parley.functions.text import contains_any, left, norm, rlike_any, short_id, strip_ws
+from parley.functions.text import left, norm, rlike_any, short_id, strip_ws
 from parley.operators import context as C
 from parley.operators.escalation import escalation_reason, escalation_reply
-from parley.operators.guardrails import all_input_rules, violation_message, with_violation
+from parley.operators.guardrails import all_input_rules, context_key, violation_message, with_violation
 from parley.operators.routing import agent_for_intent, agent_reply, keyword_intent, model_intent
+from parley.session import materialize
 
 KEY = ["conversation_id", "turn"]
 
 
-def context_features(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
-    """Per (conversation_id, turn): W1 inputs and the time of the reply.
-
-    One aggregate for all of it: each message is copied to the ``k`` turns
-    it is context for (d = 1..k) and to the turn before it (d = -1, which
-    supplies that turn's reply time).
-    """
-    k = rules.frustration_frame
-    if strategy == "window":
-        f = C.frustration(messages, rules, "window")
-        w = W.partitionBy("conversation_id").orderBy("turn")
-        nxt = messages.select(*KEY, F.when(F.lead("role").over(w) == "assistant",
-                                           F.lead("created_at").over(w)).alias("reply_at"))
-        return f.join(nxt, KEY)
-    s = messages.select(
-        "conversation_id", "role", "created_at",
-        C.frustrated_flag(rules).alias("f"),
-        F.explode(F.array(*[F.lit(d) for d in [-1] + list(range(1, k + 1))])).alias("d"),
-        "turn",
-    ).withColumn("turn", F.col("turn") + F.col("d"))
-    prior = F.col("d") > 0
-    return s.groupBy(*KEY).agg(
-        F.count(F.when(prior, F.lit(1))).alias("n_prior"),
-        F.coalesce(F.sum(F.when(prior, F.col("f"))), F.lit(0)).cast("long").alias("n_frustrated"),
-        F.max(F.when((F.col("d") == -1) & (F.col("role") == "assistant"), F.col("created_at"))).alias("reply_at"),
-    )
+ANSWERS = ["answer_a", "answer_b", "search_answer"]
+WIKI = ["wiki_title", "wiki_extract"]
+OPTIONAL = ANSWERS + WIKI + ["model_label"]
 
 
-ANSWERS = ["answer_a", "answer_b", "search_answer"]
+def _queries(messages: DataFrame) -> DataFrame:
+    """User turns with the stripped, non-empty ``query``."""
+    extra = [c for c in OPTIONAL + ["n_prior", "n_frustrated", "reply_at"] if c in messages.columns]
+    q = messages.where(F.col("role") == "user").select(
+        "id", *KEY, "user_id", "created_at", strip_ws(F.col("content")).alias("query"), *extra)
+    return q.where(F.length("query") > 0)
 
 
-def prepare(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
-    """User turns (stripped, non-empty) joined with their context features.
+def prepare(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "block") -> DataFrame:
+    """User turns (stripped, non-empty) with their context features: the W1
+    inputs and the time of the reply, from one pass over the messages.
 
-    Candidate answers (``answer_a``, ``answer_b``, ``search_answer``) and a
-    model's intent label (``model_label``) are carried along when the
-    messages have them (see :func:`decide`).
+    Candidate answers (``answer_a``, ``answer_b``, ``search_answer``,
+    ``wiki_title`` / ``wiki_extract``) and a model's intent label (``model_label``) are carried
+    along when the messages have them (see :func:`decide`).
     """
-    extra = [c for c in ANSWERS + ["model_label"] if c in messages.columns]
-    q = messages.where(F.col("role") == "user").select(
-        "id", *KEY, "user_id", "created_at", strip_ws(F.col("content")).alias("query"), *extra)
-    q = q.where(F.length("query") > 0)
-    return q.join(context_features(messages, rules, strategy), KEY, "left")
+    reply = F.when(F.col("role") == "assistant", F.col("created_at"))
+    m = messages.withColumn("_f", C.frustrated_flag(rules)).withColumn("_reply", reply)
+    m = C.over_prior(m, rules.frustration_frame, C.frustration_features(rules), {"reply_at": F.col("_reply")}, strategy)
+    return _queries(m.withColumn("n_frustrated", F.coalesce("n_frustrated", F.lit(0)).cast("long")))
 
 
 @functools.lru_cache(maxsize=64)
-def _decision_columns(rules: RuleSet, ctx: int, engine: str, with_answers: bool = False,
+def _decision_columns(rules: RuleSet, ctx: str, with_answers: bool = False, with_wiki: bool = False,
                       with_label: bool = False):
     """The decision expressions over fixed column names, built once per rule
-    set and Spark context (thousands of Column objects otherwise rebuilt
+    set and Spark application (thousands of Column objects otherwise rebuilt
     through the JVM gateway on every plan)."""
-    from parley.functions.keywords import matcher
-    t = matcher("_t", "_hits", rules) if engine == "automaton" else F.col("_t")
+    t = F.col("_t")
     blocked = F.col("violation_type").isNotNull()
     stage1 = [escalation_reason(t, F.col("n_prior"), F.col("n_frustrated"), blocked, rules).alias("escalation_reason"),
               F.when(~blocked, model_intent(F.col("model_label"), t, rules) if with_label
@@ -99,11 +80,12 @@ def _decision_columns(rules: RuleSet, ctx: int, engine: str, with_answers: bool
     stage2 = [F.when(blocked, F.lit("orchestrator")).when(escalated, F.lit("escalation"))
               .otherwise(agent_for_intent(F.col("intent"))).alias("agent_type")]
     if with_answers:
-        # Model answers, web search, knowledge base, generic text; the
-        # raw answer gets its own projection and G6 reads that column
+        # Model answers, web search, knowledge base, encyclopedia, generic
+        # text; the raw answer gets its own projection and G6 reads that column
         from parley.operators.guardrails import moderate_output
         from parley.operators.routing import answer_failover
-        raw = answer_failover(F.col("agent_type"), F.col("query"), t, *[F.col(c) for c in ANSWERS], rules)[0]
+        wiki = tuple(F.col(c) for c in WIKI) if with_wiki else None
+        raw = answer_failover(F.col("agent_type"), F.col("query"), t, *[F.col(c) for c in ANSWERS], rules, wiki)[0]
         stage2 = stage2 + [F.when(~blocked & ~escalated, raw).alias("_routed")]
         routed = moderate_output(F.col("_routed"), rules)[0]
     else:
@@ -127,17 +109,13 @@ def decide(prepared: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
 
     Without candidate answers the routed agent's reply is its fallback
     chain (knowledge base / hints / quick fixes / generic text); with the
-    ``answer_a``, ``answer_b``, ``search_answer`` columns present it is the
-    I3 failover over them.  With a ``model_label`` column the intent is I2
+    ``answer_a``, ``answer_b``, ``search_answer`` (and ``wiki_*``) columns
+    present it is the I3 failover over them.  With a ``model_label`` column the intent is I2
     (the model's label when it is a known one, else the keyword intent).
     """
-    from parley.operators.guardrails import _context_key
-    from parley.functions.keywords import default_engine
-    engine = default_engine()
-    with_answers = all(c in prepared.columns for c in ANSWERS)
-    with_label = "model_label" in prepared.columns
-    s1, s2, s3 = _decision_columns(rules, _context_key(), engine, with_answers, with_label)
-    d = with_violation(prepared, "query", rules, keep_text=True, engine=engine)
+    has = lambda *cs: all(c in prepared.columns for c in cs)
+    s1, s2, s3 = _decision_columns(rules, context_key(), has(*ANSWERS), has(*WIKI), has("model_label"))
+    d = with_violation(prepared, "query", rules, keep_text=True)
     d = d.select("*", *s1).select("*", *s2).select(*s3)
     # the moderation flag reads the response column: one evaluation of the reply
     filtered = (~F.col("guardrail_triggered")) & (~F.col("escalated")) & \
@@ -146,7 +124,7 @@ def decide(prepared: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     return d.select(*cols, filtered.alias("output_filtered"), "response_time_ms")
 
 
-def classify_messages(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
+def classify_messages(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "block") -> DataFrame:
     """One decision per (non-empty) user message.
 
     ``messages`` columns: id, conversation_id, turn (dense, 0-based),
@@ -162,14 +140,6 @@ def blocked_predicate(rules: RuleSet = DEFAULT_RULES) -> Column:
     return rlike_any(norm(F.col("query")), all_input_rules(rules))
 
 
-def escalated_predicate(rules: RuleSet = DEFAULT_RULES) -> Column:
-    """``escalated`` without building the decision columns."""
-    t = F.lower(F.col("query"))
-    return (contains_any(t, rules.escalation_phrases) | contains_any(t, rules.grading_phrases)
-            | C.is_repeated_frustration(F.col("n_prior"), F.col("n_frustrated"), rules)
-            | blocked_predicate(rules))
-
-
 # -- P2, P3, P4 ------------------------------------------------------------------------
 
 def _meta(key: str, value: Column) -> Column:
@@ -209,6 +179,25 @@ def events_from(decisions: DataFrame) -> DataFrame:
     )
 
 
+def request_events(kind: str, requests: DataFrame) -> DataFrame:
+    """P2 for requests outside the message flow, one event each:
+    ``ticket_created`` (accepted tickets, {"category"}) and manual
+    ``escalation`` (agent escalation, {"reason"})."""
+    key, agent = {"ticket_created": ("category", F.lit(None).cast("string")), "escalation": ("reason", F.lit("escalation"))}[kind]
+    return requests.select(
+        F.col("request_id").alias("source_id"), F.lit(kind).alias("event_type"), "user_id", agent.alias("agent_type"),
+        _meta(key, F.col(key)).alias("metadata"), F.lit(None).cast("long").alias("response_time_ms"), "created_at")
+
+
+def all_events(decisions: DataFrame, tickets: DataFrame, escalations: DataFrame) -> DataFrame:
+    """The analytics events of decisions, accepted tickets and manual
+    escalations.  ``source`` and ``source_id`` name the row they come from."""
+    own = events_from(decisions).withColumnRenamed("id", "source_id").withColumn("source", F.lit("message"))
+    t = request_events("ticket_created", tickets.where("accepted")).withColumn("source", F.lit("ticket"))
+    e = request_events("escalation", escalations).withColumn("source", F.lit("escalation"))
+    return own.unionByName(t).unionByName(e)
+
+
 def violations_from(decisions: DataFrame) -> DataFrame:
     """Violation rows (query cut to 500 characters, action blocked)."""
     return decisions.where(F.col("guardrail_triggered")).select(
@@ -227,16 +216,21 @@ def escalations_from(decisions: DataFrame) -> DataFrame:
         "created_at", F.lit(None).cast("timestamp_ntz").alias("resolved_at"))
 
 
-def pipeline_violations(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
-    """P3 from raw messages: pre-filtered on the base-column predicate."""
-    p = prepare(messages, rules, strategy).where(blocked_predicate(rules))
-    return violations_from(decide(p, rules))
+def pipeline_violations(messages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """P3 from raw messages: a violation needs no context, so no exchange."""
+    q = _queries(messages.select("id", *KEY, "user_id", "role", "content", "created_at"))
+    v = with_violation(q.where(blocked_predicate(rules)), "query", rules)
+    return violations_from(v.withColumn("guardrail_triggered", F.col("violation_type").isNotNull()))
 
 
-def pipeline_escalations(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "shift") -> DataFrame:
-    """P4 from raw messages: pre-filtered on the base-column predicate."""
-    p = prepare(messages, rules, strategy).where(escalated_predicate(rules))
-    return escalations_from(decide(p, rules))
+def pipeline_escalations(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "block") -> DataFrame:
+    """P4 from raw messages: only the rules that an escalation depends on."""
+    p = with_violation(prepare(messages, rules, strategy), "query", rules, keep_text=True)
+    blocked = F.col("violation_type").isNotNull()
+    reason = escalation_reason(F.col("_t"), F.col("n_prior"), F.col("n_frustrated"), blocked, rules)
+    e = materialize(p.select("id", "conversation_id", "user_id", "query", "created_at", blocked.alias("guardrail_triggered"),
+                             reason.alias("escalation_reason"), reason.isNotNull().alias("escalated")))
+    return escalations_from(e)
 
 
 # -- S5, S9, S10 --------------------------------------------------------------------------

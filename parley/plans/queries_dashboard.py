@@ -119,6 +119,70 @@ def recent_violations(t):
     return D.newest(t.violations, 20)
 
 
+@query("recent_violations_asc", with_views("""
+    SELECT *, row_number() OVER (ORDER BY created_at, id) - 1 AS position
+    FROM (SELECT * FROM viol ORDER BY created_at DESC, id DESC LIMIT 10)""", "viol"))
+def recent_violations_asc(t):
+    """O8 + W6: the dashboard's 10 newest violations, oldest first."""
+    return D.oldest_first(D.newest(t.violations, 10))
+
+
+@query("trend_asc", with_views("""
+    SELECT *, row_number() OVER (ORDER BY date) - 1 AS position FROM (
+        SELECT CAST(created_at AS DATE) AS date, avg(response_time_ms) AS avg_time, count(*) AS count,
+               strftime(CAST(created_at AS DATE), '%m-%d') AS label
+        FROM ev WHERE response_time_ms IS NOT NULL
+        GROUP BY CAST(created_at AS DATE) ORDER BY date DESC LIMIT 7)""", "ev"))
+def trend_asc(t):
+    """The latest seven days, oldest first."""
+    return D.oldest_first(D.response_trend(t.events), "date", "date")
+
+
+@query("ticket_listing", with_views("""
+    SELECT user_id, id, category, subject, status, priority, created_at,
+           row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS position, 'all' AS listing FROM tkt
+    UNION ALL
+    SELECT user_id, id, category, subject, status, priority, created_at,
+           row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) - 1, 'own' FROM tkt""", "tkt"))
+def ticket_listing(t):
+    """The tickets each viewer sees, newest first."""
+    return D.ticket_listing(t.tickets)
+
+
+def _text(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(38,3)) AS VARCHAR)"
+
+
+_TS = "strftime(created_at, '%Y-%m-%d %H:%M:%S.%g')"
+
+
+@query("dashboard_record", with_views(f"""
+    SELECT key, CAST(0 AS BIGINT) AS position, value FROM (
+        SELECT unnest(['total_queries', 'total_escalations', 'escalation_rate', 'avg_response_time_ms', 'total_violations',
+                       'open_tickets', 'total_students', 'resolved_tickets', 'satisfaction_score']) AS key,
+               unnest([{_text('q')}, {_text('n_esc')}, {_text('rate')}, {_text('COALESCE(round_even(avg_rt, 0), 0)')}, {_text('n_viol')},
+                       {_text('open_t')}, {_text('students')}, {_text('resolved_t')}, {_text(_SAT)}]) AS value FROM rated)
+    UNION ALL
+    SELECT 'queries_by_agent', row_number() OVER (ORDER BY agent_type) - 1, agent_type || '|' || {_text('count')} FROM qba
+    UNION ALL
+    SELECT 'recent_events', row_number() OVER (ORDER BY created_at DESC, id DESC) - 1,
+           concat_ws('|', {_TS}, CAST(id AS VARCHAR), event_type, agent_type)
+    FROM (SELECT * FROM ev ORDER BY created_at DESC, id DESC LIMIT 20)
+    UNION ALL
+    SELECT 'recent_violations', row_number() OVER (ORDER BY created_at DESC, id DESC) - 1,
+           concat_ws('|', {_TS}, CAST(id AS VARCHAR), violation_type, severity)
+    FROM (SELECT * FROM viol ORDER BY created_at DESC, id DESC LIMIT 10)
+    UNION ALL
+    SELECT 'response_time_trend', row_number() OVER (ORDER BY date) - 1,
+           concat_ws('|', CAST(date AS VARCHAR), {_text('avg_time')}, {_text('count')})
+    FROM (SELECT CAST(created_at AS DATE) AS date, avg(response_time_ms) AS avg_time, count(*) AS count
+          FROM ev WHERE response_time_ms IS NOT NULL GROUP BY CAST(created_at AS DATE) ORDER BY date DESC LIMIT 7)""",
+                                      *_SRC, extra=[_BASE, _RATED, _QBA]))
+def dashboard_record(t):
+    """All 13 keys of the dashboard (one row per scalar or list item)."""
+    return D.record_rows(D.dashboard_record(*_inputs(t)))
+
+
 @query("tickets_visible", with_views("""
     SELECT u.id AS user_id, u.role,
            CASE WHEN u.role = 'admin' THEN (SELECT count(*) FROM tkt) ELSE COALESCE(o.n, 0) END AS visible_tickets,

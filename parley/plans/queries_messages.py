@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from parley.functions import replies
 from parley.functions.rules import DEFAULT_RULES as R
-from parley.functions.text import first_match
+from parley.functions.text import first_match, strip_ws
 from parley.operators import context as C
 from parley.operators import guardrails as G
+from parley.operators import quality as Q
 from parley.operators import routing as RT
 from parley.operators.escalation import escalation_reply
+from parley.operators.ranking import number_rows
 from parley.plans import dashboard as D
 from parley.plans import pipeline as P
 from parley.plans import sql_pipeline as SP
@@ -90,16 +92,16 @@ def _model_label_sql():
                CASE WHEN cleaned IN ({', '.join(lit(l) for l in R.intent_labels)}) THEN cleaned
                     ELSE {SR.intent_pick()} END AS intent
         FROM ml""", "gn", extra=[("ml", f"""
-        SELECT g.id, l.model_label, regexp_replace(lower(l.model_label), '[^a-z]', '', 'g') AS cleaned,
-               {SR.intent_scores('g.t')}
-        FROM gn g JOIN (SELECT id, {labels}[(conversation_id % 4) + 1] AS model_label FROM chat_q) l
-             ON l.id = g.id""")])
+        SELECT id, {labels}[(conversation_id % 4) + 1] AS model_label,
+               regexp_replace(lower({labels}[(conversation_id % 4) + 1]), '[^a-z]', '', 'g') AS cleaned,
+               {SR.intent_scores('t')}
+        FROM gn""")])
 
 
 @query("intent_model_label", _model_label_sql())
 def intent_model_label(t):
     """A model's label after cleanup if known, else the keyword intent."""
-    u = t.user_queries.join(t.model_labels.select("id", "model_label"), "id")
+    u = driver.with_model_label(t.user_queries)
     return u.select("id", "model_label", RT.model_label_clean(F.col("model_label")).alias("cleaned"),
                     RT.model_intent(F.col("model_label"), F.col("_t")).alias("intent"))
 
@@ -109,14 +111,16 @@ def _failover_sql():
     n = len(driver.REPLY_PHRASES)
 
     def ans(k):
-        return f"{ph}[((q.conversation_id * 5 + q.turn + {k}) % {n}) + 1] || ' [{k}]'"
+        return f"{ph}[((conversation_id * 5 + turn + {k}) % {n}) + 1] || ' [{k}]'"
 
     q100 = "substring(query, 1, 100)"
     kb = (f"CASE WHEN agent = 'course' THEN {SR.map_case(SP.course_topic('t'), replies.KNOWLEDGE_BASE)} "
           f"WHEN agent = 'assignment' THEN {SP.hint_reply_sql(SP.hint_topic('t'))} "
           f"WHEN agent = 'technical' THEN {SR.map_case(SR.quick_key('t'), replies.QUICK_SOLUTIONS)} END")
-    srch = (f"CASE WHEN agent = 'course' THEN {SP.template(replies.SEARCH_COURSE, answer='search_answer')} "
+    srch = (f"CASE WHEN search_answer IS NULL OR search_answer = '' THEN NULL "
+            f"WHEN agent = 'course' THEN {SP.template(replies.SEARCH_COURSE, answer='search_answer')} "
             f"WHEN agent = 'assignment' THEN {SP.template(replies.SEARCH_ASSIGNMENT, answer='search_answer')} END")
+    wiki = f"CASE WHEN agent = 'course' THEN {SP.template(replies.WIKI_COURSE, title='wiki_title', extract='wiki_extract')} END"
     generic = (f"CASE agent WHEN 'course' THEN {SP.template(replies.COURSE_GENERIC, query=q100)} "
                f"WHEN 'assignment' THEN {SP.template(replies.ASSIGNMENT_GENERIC, query=q100)} "
                f"WHEN 'technical' THEN {SP.template(replies.TECHNICAL_GENERIC, query=q100)} END")
@@ -126,20 +130,23 @@ def _failover_sql():
                {SR.any_match('lower(answer)', R.output_moderation)} AS output_filtered
         FROM f2""", "gn", extra=[
         ("f0", f"""
-            SELECT g.id, g.query, g.t, q.conversation_id, q.turn,
+            SELECT id, query, t,
                    COALESCE({SR.map_case(SR.intent_pick(), {k: k for k in R.intent_labels})}, 'course') AS agent,
-                   CASE WHEN q.turn % 3 != 0 THEN {ans(0)} END AS answer_a,
-                   CASE WHEN q.conversation_id % 2 != 0 THEN {ans(1)} END AS answer_b,
-                   CASE WHEN q.conversation_id % 3 != 0 THEN {ans(2)} END AS search_answer
-            FROM (SELECT *, {SR.intent_scores('t')} FROM gn) g JOIN chat_q q ON q.id = g.id"""),
+                   CASE WHEN turn % 3 != 0 THEN {ans(0)} END AS answer_a,
+                   CASE WHEN conversation_id % 2 != 0 THEN {ans(1)} END AS answer_b,
+                   CASE WHEN conversation_id % 3 != 0 THEN {ans(2)} WHEN turn % 4 = 0 THEN '' END AS search_answer,
+                   CASE WHEN conversation_id % 4 = 0 THEN 'Page ' || conversation_id END AS wiki_title,
+                   CASE WHEN conversation_id % 8 = 0 THEN 'About turn ' || turn || '.' END AS wiki_extract
+            FROM (SELECT *, {SR.intent_scores('t')} FROM gn)"""),
         ("f1", f"""
             SELECT *, CASE WHEN {answers} THEN answer_a END AS ma, CASE WHEN {answers} THEN answer_b END AS mb,
-                   {srch} AS sr, {kb} AS kb, {generic} AS gen
+                   {srch} AS sr, {kb} AS kb, {wiki} AS wk, {generic} AS gen
             FROM f0"""),
         ("f2", f"""
-            SELECT *, COALESCE(ma, mb, sr, kb, gen, {lit(replies.AGENT_ERROR_REPLY)}) AS answer,
+            SELECT *, COALESCE(ma, mb, sr, kb, wk, gen, {lit(replies.AGENT_ERROR_REPLY)}) AS answer,
                    CASE WHEN ma IS NOT NULL THEN 'model_a' WHEN mb IS NOT NULL THEN 'model_b'
                         WHEN sr IS NOT NULL THEN 'search' WHEN kb IS NOT NULL THEN 'knowledge_base'
+                        WHEN wk IS NOT NULL THEN 'encyclopedia'
                         WHEN gen IS NOT NULL THEN 'generic' ELSE 'error' END AS source
             FROM f1""")])
 
@@ -147,10 +154,9 @@ def _failover_sql():
 @query("answer_failover", _failover_sql())
 def answer_failover(t):
     """I3 + G6: first available answer of the routed agent and its source."""
-    a = t.provider_answers.select("id", "answer_a", "answer_b", "search_answer")
-    u = t.user_queries.join(a, "id").withColumn("agent", RT.agent_for_intent(RT.keyword_intent(F.col("_t"))))
-    ans, src = RT.answer_failover(F.col("agent"), F.col("query"), F.col("_t"), F.col("answer_a"),
-                                  F.col("answer_b"), F.col("search_answer"))
+    u = driver.with_answers(t.user_queries).withColumn("agent", RT.agent_for_intent(RT.keyword_intent(F.col("_t"))))
+    ans, src = RT.answer_failover(F.col("agent"), F.col("query"), F.col("_t"), *[F.col(c) for c in P.ANSWERS],
+                                  wiki=tuple(F.col(c) for c in P.WIKI))
     u = u.select("id", "agent", ans.alias("_answer"), src.alias("source"))
     final, filt = G.moderate_output(F.col("_answer"))
     return u.select("id", "agent", final.alias("answer"), "source", filt.alias("output_filtered"))
@@ -215,11 +221,7 @@ def query_cleanup(t):
 def frustration_window(t):
     """W1 for every message of every conversation."""
     f = C.frustration(t.chat_messages)
-    m = t.chat_messages.select("conversation_id", "turn").join(f, C.KEY, "left")
-    n_prior = F.coalesce(F.col("n_prior"), F.lit(0))
-    n_fr = F.coalesce(F.col("n_frustrated"), F.lit(0)).cast("long")
-    return m.select("conversation_id", "turn", n_prior.alias("n_prior"), n_fr.alias("n_frustrated"),
-                    C.is_repeated_frustration(n_prior, n_fr).alias("repeated_frustration"))
+    return f.select("*", C.is_repeated_frustration(F.col("n_prior"), F.col("n_frustrated")).alias("repeated_frustration"))
 
 
 @query("model_context", with_views(f"""
@@ -243,8 +245,7 @@ def model_context(t):
 def handoff_summary(t):
     """Hand-off record of every user message, one row per
     recent message (a message without context gives one row of NULLs)."""
-    q = t.user_queries.select("conversation_id", "turn", F.col("query").alias("content"))
-    h = C.handoff_summary(q, t.chat_messages)
+    h = C.handoff_summary(t.chat_messages.select(*C.KEY, "role", "content"), strip_ws(F.col("content")))
     return h.select("conversation_id", "turn", "student_query", "conversation_length",
                     F.posexplode_outer("recent_messages").alias("pos", "item")).select(
         "conversation_id", "turn", "student_query", "conversation_length", F.col("pos").cast("long").alias("pos"),
@@ -255,18 +256,27 @@ def handoff_summary(t):
     SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1 AS turn
     FROM msg""", "msg"))
 def message_turns(t):
-    """Turn numbers recomputed from time order (id tiebreak)."""
+    """Turn numbers recomputed from time order (id tiebreak), a hot
+    conversation split over tasks."""
     m = t.messages.drop("turn")
     return C.message_turns(m).select("id", "conversation_id", "turn")
 
 
 @query("message_turns_range", with_views("""
-    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1 AS turn
+    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) - 1 AS turn
     FROM msg""", "msg"))
 def message_turns_range(t):
-    """W4, skew-safe plan: range partitioning splits a hot conversation."""
-    m = t.messages.drop("turn")
-    return C.message_turns(m, "range").select("id", "conversation_id", "turn")
+    """The same numbering newest first (any order, any group)."""
+    m = t.messages.select("id", "conversation_id", F.col("turn").alias("at"))
+    return number_rows(m, ["conversation_id"], [F.col("at").desc()], "turn").select("id", "conversation_id", "turn")
+
+
+@query("dense_turns", with_views("""
+    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) - 1 AS turn
+    FROM msg WHERE turn % 3 != 1""", "msg"))
+def dense_turns(t):
+    """W4 over gaps: conversations that lost messages, numbered densely."""
+    return C.dense_turns(t.messages.where(F.col("turn") % 3 != 1)).select("id", "conversation_id", "turn")
 
 
 @query("escalation_decision", with_views(
@@ -283,9 +293,8 @@ def escalation_decision(t):
     FROM dec WHERE escalated""", "dec"))
 def escalation_reply_q(t):
     """Reply text for every escalated message."""
-    p = P.prepare(t.chat_messages).where(P.escalated_predicate())
-    d = P.decide(p)
-    return d.select("id", "escalation_reason", escalation_reply(F.col("escalation_reason")).alias("reply"))
+    e = P.pipeline_escalations(t.chat_messages)
+    return e.select("id", F.col("reason").alias("escalation_reason"), escalation_reply(F.col("reason")).alias("reply"))
 
 
 # -- P1-P4, S5, S9, S10, O1 -------------------------------------------------------------------------
@@ -302,6 +311,24 @@ def pipeline_events(t):
     return P.events_from(t.decisions)
 
 
+@query("request_events", with_views(f"""
+    SELECT 'ticket' AS source, request_id AS source_id, 'ticket_created' AS event_type, user_id,
+           CAST(NULL AS VARCHAR) AS agent_type, '{{"category":"' || COALESCE(category, 'general') || '"}}' AS metadata, created_at
+    FROM tkt_req WHERE COALESCE(length({SR.strip('subject')}), 0) > 0
+    UNION ALL
+    SELECT 'escalation', request_id, 'escalation', user_id, 'escalation',
+           '{{"reason":"' || COALESCE(reason, 'student_request') || '"}}', created_at
+    FROM esc_req
+    UNION ALL
+    SELECT 'message', id, event_type, user_id, agent_type, metadata, created_at FROM pev""", "tkt_req", "esc_req", "pev"))
+def request_events(t):
+    """All events - decisions, accepted tickets and manual escalations."""
+    tickets = Q.ticket_intake(driver.ticket_requests(t.spark, t.sf_dir))
+    manual = Q.manual_escalations(driver.escalation_requests(t.spark, t.sf_dir))
+    e = P.all_events(t.decisions, tickets, manual)
+    return e.select("source", "source_id", "event_type", "user_id", "agent_type", "metadata", "created_at")
+
+
 @query("pipeline_violations", with_views("SELECT * FROM pviol", "pviol"))
 def pipeline_violations(t):
     """P3 / S4."""

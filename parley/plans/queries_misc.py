@@ -54,33 +54,32 @@ def json_columns(t):
 
 # -- F4-F8, F10 ---------------------------------------------------------------------------
 
-@query("filters_basic", with_views("""
+@query("filters_basic", with_views(f"""
     SELECT (SELECT count(*) FROM ev WHERE event_type = 'query') AS n_query_events,
            (SELECT count(*) FROM tkt WHERE status != 'resolved') AS n_not_resolved,
            (SELECT count(*) FROM ev WHERE response_time_ms IS NOT NULL) AS n_timed,
            (SELECT count(*) FROM ev WHERE event_type = 'query' AND agent_type IS NOT NULL) AS n_routed,
-           (SELECT count(*) FROM usr WHERE role IN ('admin', 'faculty')) AS n_staff,
-           (SELECT count(*) FROM tkt t JOIN usr u ON t.user_id = u.id WHERE u.username = t.subject) AS n_lookup""",
-                                   "ev", "tkt", "usr"))
+           (SELECT count(*) FROM usr WHERE role IN ('admin', 'faculty')) AS n_staff""", "ev", "tkt", "usr"))
 def filters_basic(t):
     """F4 equality, F5 inequality (NULL excluded), F6 NOT NULL, F7 AND,
-    F10 membership; F8 lookup as a join on a value (none match here)."""
-    e = D.metric_inputs(t.events, t.escalations, t.violations, t.tickets, t.users)
-    src = F.col("src")
-    counts = e.agg(
-        F.count(F.when((src == "ev") & (F.col("event_type") == "query"), 1)).alias("n_query_events"),
-        F.count(F.when((src == "tk") & (F.col("status") != "resolved"), 1)).alias("n_not_resolved"),
-        F.count(F.when((src == "ev") & F.col("rt").isNotNull(), 1)).alias("n_timed"),
-        F.count(F.when((src == "ev") & (F.col("event_type") == "query"), 1)).alias("_q"),
-        F.count(F.when((src == "us") & F.col("role").isin("admin", "faculty"), 1)).alias("n_staff"),
-    )
-    routed = t.events.where((F.col("event_type") == "query") & F.col("agent_type").isNotNull()).select(
-        F.count(F.lit(1))).scalar()
-    u = t.users.select(F.col("id").alias("uid"), "username")
-    lookup = t.tickets.join(u, (t.tickets["user_id"] == u["uid"]) & (u["username"] == t.tickets["subject"])).select(
-        F.count(F.lit(1))).scalar()
-    return counts.select("n_query_events", "n_not_resolved", "n_timed", routed.alias("n_routed"), "n_staff",
-                         lookup.alias("n_lookup"))
+    F10 membership: one pass over each of the three tables."""
+    is_query = F.col("event_type") == "query"
+    e = t.events.select(F.count(F.when(is_query, 1)).alias("n_query_events"), F.count("response_time_ms").alias("n_timed"),
+                        F.count(F.when(is_query & F.col("agent_type").isNotNull(), 1)).alias("n_routed"))
+    open_ = t.tickets.select(F.count(F.when(F.col("status") != "resolved", 1))).scalar()
+    staff = t.users.select(F.count(F.when(F.col("role").isin("admin", "faculty"), 1))).scalar()
+    return e.select("n_query_events", open_.alias("n_not_resolved"), "n_timed", "n_routed", staff.alias("n_staff"))
+
+
+@query("user_lookup", with_views("""
+    SELECT l.request_id, l.username, u.id AS user_id, u.role, u.id IS NOT NULL AS found
+    FROM logins l LEFT JOIN usr u ON u.username = l.username""", "logins", "usr"))
+def user_lookup(t):
+    """F8: users looked up by name (NULL and not found for unknown names)."""
+    names = driver.lookup_requests(t.spark, t.sf_dir)
+    u = t.users.select("username", F.col("id").alias("user_id"), "role")
+    return names.join(u, "username", "left").select("request_id", "username", "user_id", "role",
+                                                    F.col("user_id").isNotNull().alias("found"))
 
 
 # -- S7, S8, F11, F13 ---------------------------------------------------------------------------
@@ -92,7 +91,7 @@ def filters_basic(t):
     FROM tkt_req""", "tkt_req"))
 def ticket_intake(t):
     """S8 + F11 + F13: ticket form validation and defaults."""
-    return Q.ticket_intake(driver.ticket_requests(t.spark, t.sf_dir))
+    return Q.ticket_intake(driver.ticket_requests(t.spark, t.sf_dir)).drop("created_at")
 
 
 @query("manual_escalations", with_views("""
@@ -291,23 +290,22 @@ def display_labels(t):
 @query("keyword_rule_join", with_views(f"""
     SELECT id, {SR.intent_pick()} AS intent FROM (SELECT id, {SR.intent_scores('t')} FROM gn)""", "gn"))
 def keyword_rule_join(t):
-    """Keyword intent as a theta join of messages with a rule table.
+    """Keyword intent as a join of every message with a rule table.
 
-    The rule table (label, keyword, weight, ordinal) is the fixed catalog
-    (99 rows, size known at plan time), so it is broadcast and the join
-    is a BroadcastNestedLoopJoin on ``contains``; matches are summed per
-    message and label, then the arg-max with the catalog's tie order.
-    Equals ``intent_keywords``.
+    The rules (label, keyword, weight, ordinal) are the fixed catalog, so they
+    are one literal array in the row: the theta join is a ``filter`` of that
+    array, its matches are summed per label and the arg-max keeps the
+    catalog's tie order.  No join node, no exchange.
     """
-    spark = t.spark
-    rows = [(lbl, kw, intent_weight(kw), i) for i, (lbl, kws) in enumerate(R.intent_keywords) for kw in kws]
-    rules = spark.createDataFrame(rows, "label string, keyword string, weight int, ord int")
-    q = t.user_queries.select("id", "_t")
-    hits = q.join(F.broadcast(rules), F.col("_t").contains(F.col("keyword")))
-    scores = hits.groupBy("id", "label", "ord").agg(F.sum("weight").alias("score"))
-    best = scores.groupBy("id").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "label")).alias("b"))
-    return q.select("id").join(best, "id", "left").select(
-        "id", F.coalesce(F.col("b.label"), F.lit("course")).alias("intent"))
+    rules = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(kw).alias("keyword"), F.lit(intent_weight(kw)).alias("weight"))
+                      for i, (_, kws) in enumerate(R.intent_keywords) for kw in kws])
+    labels = F.array(*[F.lit(lbl) for lbl, _ in R.intent_keywords])
+    hits = F.filter(rules, lambda r: F.contains(F.col("_t"), r["keyword"]))
+    q = t.user_queries.select("id", hits.alias("hits"))
+    score = lambda i: F.aggregate("hits", F.lit(0), lambda s, h: s + F.when(h["ord"] == i, h["weight"]).otherwise(0))
+    best = F.array_max(F.array(*[F.struct(score(i).alias("s"), F.lit(-i).alias("o")) for i in range(len(R.intent_keywords))]))
+    q = q.select("id", best.alias("best"))
+    return q.select("id", F.when(F.col("best.s") > 0, F.element_at(labels, 1 - F.col("best.o"))).otherwise("course").alias("intent"))
 
 
 @query("request_latency", with_views("""

@@ -1,17 +1,17 @@
 """Streaming queries (ST1-ST6): each runs the stream over the whole input
-table to completion (``availableNow``) and returns its sink as a table, so
-it can be compared with the batch oracle."""
+table to completion (``availableNow``) when it is built, and returns the table
+it wrote, so it can be compared with the batch oracle."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.rules import DEFAULT_RULES as R
+from parley.functions import replies
+from parley.functions.rules import AGENT_FOR_INTENT, DEFAULT_RULES as R
 from parley.plans import sql_pipeline as SP
 from parley.plans import sql_rules as SR
 from parley.plans.catalog import query
-from parley.plans.sql import with_views
-from parley.session import scratch_path
+from parley.plans.sql import lit, with_views
 from parley.sources import driver
 from parley.streaming import core as S
 
@@ -21,16 +21,19 @@ def _messages(t):
 
 
 @query("stream_classify", with_views(f"""
-    SELECT id, conversation_id, turn, violation_type, matched_pattern,
-           CASE WHEN violation_type IS NULL THEN {SR.intent_pick()} END AS intent,
+    SELECT *, COALESCE(reply = {lit(replies.MODERATED_REPLY)}, FALSE) AS output_filtered FROM (
+    SELECT id, conversation_id, turn, violation_type, matched_pattern, intent,
            CASE WHEN {SR.contains_any('t', R.escalation_phrases)} THEN 'student_request'
                 WHEN {SR.contains_any('t', R.grading_phrases)} THEN 'grading_dispute'
                 WHEN violation_type IS NOT NULL THEN 'policy_violation' END AS stateless_reason,
            {SP.course_topic('t')} AS course_topic, {SP.hint_topic('t')} AS hint_topic,
-           {SR.quick_key('t')} AS quick_key
-    FROM (SELECT *, {SR.intent_scores('t')} FROM gv)""", "gv"))
+           {SR.quick_key('t')} AS quick_key,
+           CASE WHEN violation_type IS NULL THEN {SP.moderated(SP.agent_reply('agent', 'query', 't'))} END AS reply
+    FROM (SELECT *, COALESCE({SR.map_case('intent', AGENT_FOR_INTENT)}, 'course') AS agent
+          FROM (SELECT *, CASE WHEN violation_type IS NULL THEN {SR.intent_pick()} END AS intent
+                FROM (SELECT *, {SR.intent_scores('t')} FROM gv))))""", "gv"))
 def stream_classify(t):
-    """ST1: stateless rules on the message stream."""
+    """ST1: stateless rules and the moderated reply on the message stream."""
     return S.run_to_table(S.classify_stream(_messages(t)), "classify")
 
 
@@ -39,8 +42,8 @@ def stream_classify(t):
            n_prior >= {R.frustration_frame} AND n_frustrated >= {R.frustration_min} AS repeated_frustration
     FROM ctx""", "ctx"))
 def stream_frustration(t):
-    """ST2: W1 from per-conversation state; equals the batch window."""
-    f = S.run_to_table(S.frustration_stream(_messages(t)), "frustration")
+    """ST2: W1 of a message stream; equals the batch window."""
+    f = S.frustration(_messages(t), S.new_base(t.spark, "frustration"))
     return f.select("conversation_id", "turn", "n_prior", "n_frustrated",
                     ((F.col("n_prior") >= R.frustration_frame) & (F.col("n_frustrated") >= R.frustration_min))
                     .alias("repeated_frustration"))
@@ -49,36 +52,40 @@ def stream_frustration(t):
 @query("stream_daily", with_views("""
     SELECT CAST(created_at AS DATE) AS date, agent_type, avg(response_time_ms) AS avg_time, count(*) AS count
     FROM ev WHERE response_time_ms IS NOT NULL
-      AND CAST(created_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM ev) - INTERVAL 1 HOUR
     GROUP BY CAST(created_at AS DATE), agent_type""", "ev"))
 def stream_daily(t):
-    """ST3: daily windows closed by the watermark (the open last day is
-    still held back when the stream ends)."""
+    """ST3: daily windows, the open last day included."""
     ev = driver.map_events(S.table_stream(t.spark, t.sf_dir, "events"))
-    return S.run_to_table(S.daily_stream(ev, "1 hour"), "daily")
+    return S.daily(ev, S.new_base(t.spark, "daily"), "1 hour")
 
 
 @query("stream_latency", with_views("""
     SELECT s.request_id, b.at AS started_at, s.at AS stopped_at, epoch_ms(s.at) - epoch_ms(b.at) AS elapsed_ms
     FROM (SELECT * FROM marks WHERE mark = 'stop') s
-    JOIN (SELECT * FROM marks WHERE mark = 'start') b
-      ON b.request_id = s.request_id AND b.at <= s.at AND s.at <= b.at + INTERVAL 10 SECOND""", "marks"))
+    LEFT JOIN (SELECT * FROM marks WHERE mark = 'start') b ON b.request_id = s.request_id""", "marks"))
 def stream_latency(t):
-    """ST4: stream-stream join of stop and start marks (matched pairs)."""
-    return S.run_to_table(S.latency_stream(S.table_stream(t.spark, t.sf_dir, "events")), "latency")
+    """ST4: every stop of the mark stream with its start (NULL without one)."""
+    start, stop = driver.map_marks(S.table_stream(t.spark, t.sf_dir, "events"))
+    return S.latency(start.unionByName(stop), S.new_base(t.spark, "latency"))
 
 
-@query("stream_tables", with_views("SELECT * FROM pesc", "pesc"))
-def stream_tables(t):
-    """ST5: the escalations table written by the foreachBatch sink (the
-    decisions, events and violations tables are written beside it)."""
-    import uuid
-    base = scratch_path(t.spark, f"streams/tables-{uuid.uuid4().hex[:12]}")
-    S.tables_stream(_messages(t), base).awaitTermination()
-    return t.spark.read.parquet(f"{base}/escalations").drop("batch_id")
+def _stream_table(name: str, columns: str):
+    def build(t):
+        return S.tables(_messages(t), S.new_base(t.spark, f"tables-{name}"))[name].drop("response_time_ms")
+
+    build.__doc__ = f"ST5: the {name} written by the foreachBatch sink."
+    view = {"decisions": "dec", "events": "pev", "violations": "pviol", "escalations": "pesc"}[name]
+    return build, with_views(f"SELECT {columns} FROM {view}", view)
+
+
+# a reply has not arrived when its message is decided: no response time
+for _name, _columns in [("decisions", "* EXCLUDE (response_time_ms)"), ("events", "* EXCLUDE (response_time_ms)"),
+                        ("violations", "*"), ("escalations", "*")]:
+    _b, _s = _stream_table(_name, _columns)
+    query("stream_tables" if _name == "escalations" else f"stream_{_name}", _s)(_b)
 
 
 @query("stream_dedup", with_views("SELECT * FROM chat_msg", "chat_msg"))
 def stream_dedup(t):
-    """ST6: redelivered messages dropped within the watermark."""
-    return S.run_to_table(S.dedup_stream(S.with_redelivery(_messages(t))), "dedup")
+    """ST6: redelivered messages dropped, no message lost."""
+    return S.dedup(driver.with_redelivery(_messages(t)), S.new_base(t.spark, "dedup"))

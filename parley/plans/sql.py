@@ -60,7 +60,8 @@ EPOCH = f"TIMESTAMP {lit(driver.EPOCH)}"
 
 VIEWS: dict[str, str] = {
     "msg": f"""
-        SELECT conv_id * 100000 + turn AS id, conv_id AS conversation_id, turn, conv_id AS user_id,
+        SELECT CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)), 1, 15) AS BIGINT) AS id,
+               conv_id AS conversation_id, turn, CASE WHEN conv_id % 2 = 0 THEN conv_id // 50 ELSE conv_id END AS user_id,
                role, text AS content, {EPOCH} + to_seconds(conv_id * 3600 + turn * 60) AS created_at
         FROM conversations""",
     "chat_msg": f"""
@@ -146,6 +147,9 @@ VIEWS["reg_req"] = """
         SELECT c_custkey, '  ' || c_name || ' ', repeat('x', 3 + c_custkey % 6),
                CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END, '', 1
         FROM customer WHERE c_custkey % 7 = 0"""
+VIEWS["logins"] = """
+        SELECT c_custkey AS request_id, CASE WHEN c_custkey % 5 = 0 THEN c_name || '?' ELSE c_name END AS username
+        FROM customer"""
 VIEWS["reg_existing"] = """
         SELECT c_custkey AS id, c_name AS username FROM customer
         WHERE c_custkey < (SELECT (max(c_custkey) + 1) / 2 FROM customer)"""

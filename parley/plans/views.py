@@ -75,14 +75,6 @@ class Tables:
                                      strip_ws(F.col("content")).alias("query"))
         return q.where(F.length("query") > 0).withColumn("_t", norm(F.col("query")))
 
-    @cached_property
-    def model_labels(self) -> DataFrame:
-        return driver.model_labels(self.spark, self.sf_dir)
-
-    @cached_property
-    def provider_answers(self) -> DataFrame:
-        return driver.provider_answers(self.spark, self.sf_dir)
-
     @cached_property
     def decisions(self) -> DataFrame:
         from parley.plans.pipeline import classify_messages

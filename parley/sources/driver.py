@@ -67,24 +67,8 @@ EPOCH = "2024-01-01 00:00:00"
 # ---------------------------------------------------------------------------
 
 
-_READS: dict[tuple, DataFrame] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table, reusing the resolved relation for the same session
-    and file version (skips re-listing and footer reads when many queries
-    read the same tables; the DataFrame itself stays lazy)."""
-    import os
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        version = os.stat(path).st_mtime_ns
-    except OSError:  # not a local path (object store): no reuse
-        return spark.read.parquet(path)
-    key = (id(spark), path, version)
-    df = _READS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _pick(values: list, idx: Column) -> Column:
@@ -97,7 +81,17 @@ def _at(seconds: Column) -> Column:
 
 
 def message_id(conv: Column, turn: Column) -> Column:
-    return conv * F.lit(100000) + turn
+    """60 bits of a hash of (conversation, turn): any number of turns fits,
+    and ``2 * id + 1`` (ids of derived rows) is still a long.  Rows are joined
+    on (conversation_id, turn), never on this id."""
+    key = F.concat_ws("|", conv.cast("string"), turn.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def owner(conv: Column) -> Column:
+    """User of a conversation: every second one belongs to a user with many
+    (the even ones of 50), the others to a user of their own."""
+    return F.when(F.pmod(conv, F.lit(2)) == 0, F.floor(conv / 50)).otherwise(conv).cast("long")
 
 
 # -- messages ----------------------------------------------------------------
@@ -116,7 +110,7 @@ def map_messages(c: DataFrame) -> DataFrame:
         message_id(F.col("conv_id"), F.col("turn")).alias("id"),
         F.col("conv_id").alias("conversation_id"),
         "turn",
-        F.col("conv_id").alias("user_id"),
+        owner(F.col("conv_id")).alias("user_id"),
         "role",
         F.col("text").alias("content"),
         _at(F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_at"),
@@ -163,30 +157,38 @@ def document_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.concat(_pick(REPLY_PHRASES, idx), F.lit(" "), F.col("text")).alias("content"))
 
 
-def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chat_queries plus a raw ``model_label`` (I2 input)."""
-    q = chat_queries(spark, sf_dir)
+def with_model_label(q: DataFrame) -> DataFrame:
+    """Messages with a raw ``model_label`` (I2 input)."""
     return q.withColumn("model_label", _pick(MODEL_LABELS, F.pmod(F.col("conversation_id"), F.lit(4))))
 
 
-def provider_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chat_queries plus ranked candidate answers (I3 input).
+def with_answers(q: DataFrame) -> DataFrame:
+    """Messages with ranked candidate answers (I3 input).
 
-    answer_a / answer_b / search carry a reply phrase, NULL by rule so
-    that every failover step is taken somewhere.
+    ``answer_a`` / ``answer_b`` / ``search_answer`` carry a reply phrase and
+    ``wiki_title`` / ``wiki_extract`` a page, NULL (the search answer also
+    empty) by rule so that every failover step is taken somewhere.
     """
-    q = chat_queries(spark, sf_dir)
     conv, turn = F.col("conversation_id"), F.col("turn")
     reply = lambda k: F.concat(_pick(REPLY_PHRASES, F.pmod(conv * 5 + turn + k, F.lit(len(REPLY_PHRASES)))),
                                F.lit(f" [{k}]"))
+    search = F.when(F.pmod(conv, F.lit(3)) != 0, reply(2)).when(F.pmod(turn, F.lit(4)) == 0, F.lit(""))
     return q.select(
         "*",
         F.when(F.pmod(turn, F.lit(3)) != 0, reply(0)).alias("answer_a"),
         F.when(F.pmod(conv, F.lit(2)) != 0, reply(1)).alias("answer_b"),
-        F.when(F.pmod(conv, F.lit(3)) != 0, reply(2)).alias("search_answer"),
+        search.alias("search_answer"),
+        F.when(F.pmod(conv, F.lit(4)) == 0, F.concat(F.lit("Page "), conv.cast("string"))).alias("wiki_title"),
+        F.when(F.pmod(conv, F.lit(8)) == 0, F.concat(F.lit("About turn "), turn.cast("string"), F.lit("."))).alias("wiki_extract"),
     )
 
 
+def with_redelivery(messages: DataFrame) -> DataFrame:
+    """ST6 input: every third message delivered twice."""
+    copies = F.when(F.pmod(F.col("id"), F.lit(3)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return messages.select("*", F.explode(copies).alias("_copy")).drop("_copy")
+
+
 # -- analytics_events --------------------------------------------------------
 
 EVENT_TYPE = {"view": "query", "click": "response", "error": "escalation",
@@ -306,6 +308,13 @@ def map_marks(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return start, stop
 
 
+def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins by name (F8 input): every fifth name is not registered."""
+    c = read(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("request_id"),
+                    F.when(F.pmod("c_custkey", F.lit(5)) == 0, F.concat("c_name", F.lit("?"))).otherwise(F.col("c_name")).alias("username"))
+
+
 def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("c_custkey")

@@ -119,7 +119,3 @@ def with_defaults(df: DataFrame, table: str, now: Column | None = None) -> DataF
             c = dflt
         cols.append(c.alias(f.name))
     return df.select(*cols)
-
-
-def empty(spark, table: str) -> DataFrame:
-    return spark.createDataFrame([], SCHEMAS[table])

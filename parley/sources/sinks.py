@@ -1,8 +1,9 @@
 """Table writers.
 
-Every writer appends whole DataFrames (never rows through the driver),
-partitions event-like tables by day so readers prune by date, and offers
-an idempotent form keyed by a batch id for retried jobs and streams.
+Every writer writes whole DataFrames (never rows through the driver) into a
+folder of its batch, ``<path>/batch_id=<id>``, and replaces that folder when
+the batch is written again: a retried job or stream leaves one copy.  Readers
+see one table with ``batch_id`` as partition column.
 """
 
 from __future__ import annotations
@@ -14,39 +15,35 @@ from parley.functions.text import left
 from parley.sources.schemas import with_defaults
 
 
-def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("append")
+def write_batch(df: DataFrame, path: str, batch_id: int | str, partition_by: list[str] | None = None) -> None:
+    """Idempotent append: the batch's folder is replaced on a retry."""
+    w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent append: the batch's folder is replaced on a retry."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    w.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def log_events(events: DataFrame, path: str) -> None:
+def log_events(events: DataFrame, path: str, batch_id: int | str) -> None:
     """S3: analytics events with defaults, partitioned by event date."""
     e = with_defaults(events, "analytics_events")
-    append(e.withColumn("event_date", F.to_date("created_at")), path, ["event_date"])
+    write_batch(e.withColumn("event_date", F.to_date("created_at")), path, batch_id, ["event_date"])
 
 
-def log_violations(violations: DataFrame, path: str) -> None:
+def log_violations(violations: DataFrame, path: str, batch_id: int | str) -> None:
     """Violations, stored query cut to 500 characters."""
     v = violations.withColumn("original_query", left(F.col("original_query"), 500))
     v = with_defaults(v, "guardrail_violations")
-    append(v.withColumn("event_date", F.to_date("created_at")), path, ["event_date"])
+    write_batch(v.withColumn("event_date", F.to_date("created_at")), path, batch_id, ["event_date"])
 
 
-def store_messages(messages: DataFrame, path: str) -> None:
+def store_messages(messages: DataFrame, path: str, batch_id: int | str) -> None:
     """Stored conversation turns (user turns and replies)."""
-    append(with_defaults(messages, "messages"), path)
+    write_batch(with_defaults(messages, "messages"), path, batch_id)
 
 
-def store_escalations(escalations: DataFrame, path: str) -> None:
+def store_escalations(escalations: DataFrame, path: str, batch_id: int | str) -> None:
     """Escalation rows with defaults."""
-    append(with_defaults(escalations, "escalations"), path)
+    write_batch(with_defaults(escalations, "escalations"), path, batch_id)
 
 
 def load_if_empty(df: DataFrame, path: str) -> None:

@@ -1,74 +1,106 @@
 """Structured Streaming forms of the pipeline (ST1-ST6).
 
-Sources are file streams over the driver tables (``readStream`` with the
-batch schema; ``pathGlobFilter`` picks one table out of a folder).  Every
-stream keeps its state and progress in a checkpoint under the shared
-``spark.checkpoint.dir``, so a restarted query resumes where it stopped;
-sinks are Parquet folders beside it.
-
-ST1  classify_stream      stateless rules per message (G, I, T, stateless E1)
-ST2  frustration_stream   per-conversation state of the last k prior messages
-ST3  daily_stream         event-time tumbling day windows with a watermark
-ST4  latency_stream       stream-stream join of stop and start marks
-ST5  tables_stream        foreachBatch writes decisions / events / violations /
-                          escalations, one folder per batch id (idempotent)
-ST6  dedup_stream         dropDuplicatesWithinWatermark on the message id
+Sources are file streams over the driver tables, single files or folders of
+part files.  Every stream keeps its progress in a checkpoint under the shared
+``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+
+Operators whose answer can change when late rows arrive (ST2-ST5) and the ones
+that need their own past (ST6) run in ``foreachBatch`` on ordinary DataFrames:
+each micro-batch writes its results to ``<table>/batch_id=<n>``, replaced when
+the batch is retried, and a later batch writes a corrected row for the same key
+(:func:`latest` reads the newest).  No row is dropped for being late, no
+group is gathered in a Python worker, and a conversation that holds most of a
+batch is spread over tasks by (conversation, turn).
+
+ST1  classify_stream   stateless rules per message (G, I, T, stateless E1, G6)
+ST2  frustration       W1 of every message, corrected when late turns arrive
+ST3  daily_stream      event-time day windows with a watermark, updated in place
+ST4  latency           every stop mark with its start, corrected likewise
+ST5  tables            decisions / events / violations / escalations
+ST6  dedup             one copy of every message, whenever a copy arrives
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parley.functions.rules import DEFAULT_RULES, RuleSet
 from parley.functions.text import strip_ws
 from parley.operators import context as C
 from parley.operators import routing as RT
+from parley.operators.escalation import escalation_reason
 from parley.operators.guardrails import with_violation
+from parley.operators.latency import elapsed_ms
 from parley.plans import pipeline as P
 from parley.session import scratch_path
-from parley.sources import driver
+from parley.sources.sinks import write_batch
 
-# Functions of this module run inside Python workers; ship them by value so
-# executors need no copy of this package on their path.
-from pyspark import cloudpickle as _cloudpickle  # noqa: E402
-import sys as _sys  # noqa: E402
+# -- sources, sinks and runners ---------------------------------------------------
 
-_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
-# -- sources and runner -----------------------------------------------------------
+def _path_status(spark: SparkSession, path: str):
+    """Hadoop's status of a path on any file system, None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p) if fs.exists(p) else None
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A file stream of one driver table (``<folder>/<name>*.parquet``)."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema if max_files is None else \
-        spark.read.parquet(folder).schema
-    r = spark.readStream.schema(schema)
-    if max_files is None:
-        r = r.option("pathGlobFilter", f"{name}.parquet")
-    else:
+    """A file stream of one driver table: a folder of part files, or the one
+    file ``<folder>/<name>.parquet``."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    if _path_status(spark, path).isDirectory():
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> DataFrame:
-    """Run a streaming DataFrame to completion (``availableNow``) into a
-    Parquet sink under the shared checkpoint folder; return it as a table."""
+def new_base(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a stream's tables under the shared folder."""
+    return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def run_to_table(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Run a stateless streaming DataFrame to completion (``availableNow``)
+    into a Parquet sink under the shared folder; return it as a table."""
     spark = df.sparkSession
-    base = base or scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
-    q = (df.writeStream.format("parquet").outputMode(output_mode)
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    base = base or new_base(spark, name)
+    q = (df.writeStream.format("parquet").outputMode("append")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
+def run_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], base: str, output_mode: str = "append") -> None:
+    """Run ``fn`` on every micro-batch until the input is exhausted."""
+    q = (df.writeStream.foreachBatch(fn).outputMode(output_mode)
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def earlier(like: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """What batches before ``batch_id`` wrote to ``path`` (columns of ``like``)."""
+    spark = like.sparkSession
+    if _path_status(spark, path) is None:
+        return like.limit(0)
+    return spark.read.parquet(path).where(F.col("batch_id") < batch_id).select(*like.columns)
+
+
+def latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The newest row of every key of a table written batch by batch."""
+    t = spark.read.parquet(path)
+    rest = [c for c in t.columns if c not in (*key, "batch_id")]
+    newest = t.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
+    return newest.select(*key, "r.*")
+
+
 def event_time(c: str = "created_at"):
     """Watermarks need ``timestamp`` (not ``timestamp_ntz``): read the wall
     clock as UTC (the session time zone)."""
@@ -78,86 +110,75 @@ def event_time(c: str = "created_at"):
 # -- ST1 ----------------------------------------------------------------------------
 
 def classify_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """ST1: the per-message rules that need no context, on a message stream."""
+    """ST1: the per-message rules that need no context, on a message stream,
+    with the routed agent's moderated reply (G6)."""
     q = messages.where(F.col("role") == "user").select(
         "id", "conversation_id", "turn", "user_id", "created_at",
         strip_ws(F.col("content")).alias("query"))
     q = q.where(F.length("query") > 0)
     v = with_violation(q, "query", rules, keep_text=True)
     blocked = F.col("violation_type").isNotNull()
-    from parley.operators.escalation import escalation_reason
+    v = v.withColumn("intent", F.when(~blocked, RT.keyword_intent(F.col("_t"), rules)))
+    agent = RT.agent_for_intent(F.col("intent"))
+    v = v.withColumn("reply", F.when(~blocked, RT.agent_reply(agent, F.col("query"), F.col("_t"), rules)))
     return v.select(
-        "id", "conversation_id", "turn", "violation_type", "matched_pattern",
-        F.when(~blocked, RT.keyword_intent(F.col("_t"), rules)).alias("intent"),
+        "id", "conversation_id", "turn", "violation_type", "matched_pattern", "intent",
         escalation_reason(F.col("_t"), F.lit(0), F.lit(0), blocked, rules).alias("stateless_reason"),
         RT.course_topic(F.col("_t"), rules).alias("course_topic"),
         RT.hint_topic(F.col("_t"), rules).alias("hint_topic"),
         RT.quick_key(F.col("_t"), rules).alias("quick_key"),
+        "reply", F.coalesce(F.col("reply") == F.lit(P.replies.MODERATED_REPLY), F.lit(False)).alias("output_filtered"),
     )
 
 
 # -- ST2 ----------------------------------------------------------------------------
 
-PASS = [("id", T.LongType()), ("conversation_id", T.LongType()), ("turn", T.LongType()), ("user_id", T.LongType()),
-        ("role", T.StringType()), ("content", T.StringType()), ("created_at", T.TimestampNTZType())]
-FRUSTRATION_OUT = T.StructType([T.StructField(n, t) for n, t in PASS] + [
-    T.StructField("n_prior", T.LongType()), T.StructField("n_frustrated", T.LongType())])
-FRUSTRATION_STATE = T.StructType([T.StructField("turns", T.ArrayType(T.LongType())),
-                                  T.StructField("flags", T.ArrayType(T.IntegerType()))])
-
-
-def _frustration_state_fn(k: int, idle_ms: int | None = None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # idle conversation: drop its buffer, emit nothing
-            state.remove()
-            return
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["turn", "id"], kind="stable")
-        turns, flags = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
-        prev_turns = pd.Series(turns, dtype="int64")
-        # rows = the buffered k prior messages followed by this batch, in turn
-        # order; each row's frame is the k rows before it (vectorised)
-        f = pd.concat([pd.Series(flags, dtype="int64"), batch["f"].astype("int64")], ignore_index=True)
-        prior_frus = f.shift(1).rolling(k, min_periods=1).sum().fillna(0).astype("int64")
-        pos = pd.Series(range(len(f)))
-        prior_n = pos.clip(upper=k).astype("int64")
-        nb = len(prev_turns)
-        out = batch.drop(columns=["f", "_event_time"], errors="ignore").reset_index(drop=True)
-        out["n_prior"] = prior_n.iloc[nb:].reset_index(drop=True)
-        out["n_frustrated"] = prior_frus.iloc[nb:].reset_index(drop=True)
-        all_turns = pd.concat([prev_turns, batch["turn"].astype("int64")], ignore_index=True)
-        state.update(([int(x) for x in all_turns.iloc[-k:]], [int(x) for x in f.iloc[-k:]]))
-        if idle_ms is not None:
-            last = pd.to_datetime(batch["created_at"]).max()
-            state.setTimeoutTimestamp(int(last.value // 1_000_000) + idle_ms)
-        yield out
+def frustration_updates(flags: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """W1 inputs of the turns whose frame changes with the new ``flags``.
+
+    ``flags`` and ``state`` are (conversation_id, turn, f), new and earlier.
+    The turn of a new row and the ``k`` turns after it, where they exist, are
+    computed from the turns before them.  Everything is keyed by (conversation,
+    turn) or a block of turns and carries no text.
+    """
+    near = lambda d, block: F.floor((F.col("turn") + d) / block)
+    blocks = flags.select("conversation_id", F.explode(F.array(near(-k, C.BLOCK), near(2 * k, C.BLOCK))).alias("b")).distinct()
+    state = state.withColumn("b", near(0, C.BLOCK)).join(blocks, ["conversation_id", "b"], "left_semi").drop("b")
+    rows = state.join(flags, C.KEY, "left_anti").unionByName(flags).dropDuplicates(C.KEY)
+    changed = flags.select("conversation_id", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("d"), "turn")
+    changed = changed.select("conversation_id", (F.col("turn") + F.col("d")).alias("turn")).distinct()
+    changed = changed.join(rows.select(*C.KEY), C.KEY, "left_semi")
+    prior = rows.select("conversation_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("d"), "turn", "f")
+    prior = prior.select("conversation_id", (F.col("turn") + F.col("d")).alias("turn"), "f")
+    prior = prior.groupBy(*C.KEY).agg(F.count(F.lit(1)).alias("n_prior"), F.sum("f").cast("long").alias("n_frustrated"))
+    zero = F.lit(0).cast("long")
+    return changed.join(prior, C.KEY, "left").select(
+        *C.KEY, F.coalesce("n_prior", zero).alias("n_prior"), F.coalesce("n_frustrated", zero).alias("n_frustrated"))
+
+
+def _frustration_batch(base: str, rules: RuleSet):
+    """Writes the batch's flags (the state) and the updated W1 inputs."""
+    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        write_batch(batch.select(*C.KEY, C.frustrated_flag(rules).alias("f")).dropDuplicates(C.KEY), f"{base}/flags", batch_id)
+        flags = spark.read.parquet(f"{base}/flags/batch_id={batch_id}")
+        updates = frustration_updates(flags, earlier(flags, f"{base}/flags", batch_id), rules.frustration_frame)
+        write_batch(updates, f"{base}/frustration", batch_id)
+        return spark.read.parquet(f"{base}/frustration/batch_id={batch_id}")
     return fn
 
 
-def frustration_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES,
-                       idle_timeout_ms: int | None = None) -> DataFrame:
-    """ST2: W1 inputs per message from per-conversation state.
-
-    The state of a conversation is its last ``k`` (turn, frustrated) pairs:
-    bounded whatever the conversation length.  Messages of a conversation
-    must arrive in turn order across micro-batches (within a batch they are
-    sorted).  By default there is no timeout, so the context of idle
-    conversations is kept (exact, equal to batch); ``idle_timeout_ms``
-    evicts a conversation once the event-time watermark passes its last
-    message plus that gap, bounding state by the number of active
-    conversations at the price of forgetting their context.  Event time
-    (not processing time) keeps ``availableNow`` runs finite and replays
-    deterministic.  At scale use the RocksDB state store provider.
+def frustration(messages: DataFrame, base: str, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """ST2: W1 inputs of every message of a stream, in any order of arrival.
+
+    The state is one narrow row (conversation, turn, flag) per message; a
+    batch reads the blocks of turns around its own rows.  A late turn corrects
+    the later turns whose frame it falls in.  Runs the stream to the end of
+    its input and returns the current table.
     """
-    k = rules.frustration_frame
-    m = messages.select(*[n for n, _ in PASS], C.frustrated_flag(rules).alias("f"))
-    timeout = GroupStateTimeout.NoTimeout
-    if idle_timeout_ms is not None:
-        # the watermark column stays in the input (a timeout needs it); the
-        # state function leaves it out of its output
-        timeout = GroupStateTimeout.EventTimeTimeout
-        m = m.withColumn("_event_time", event_time()).withWatermark("_event_time", f"{idle_timeout_ms} milliseconds")
-    return m.groupBy("conversation_id").applyInPandasWithState(
-        _frustration_state_fn(k, idle_timeout_ms), FRUSTRATION_OUT, FRUSTRATION_STATE, "append", timeout)
+    step = _frustration_batch(base, rules)
+    run_batches(messages, lambda b, i: (step(b, i), None)[1], base)
+    return latest(messages.sparkSession, f"{base}/frustration", C.KEY)
 
 
 # -- ST3 ----------------------------------------------------------------------------
@@ -165,9 +186,8 @@ def frustration_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES,
 def daily_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """ST3: per day and agent, average and count of timed events.
 
-    Tumbling 1-day windows on event time; rows later than the watermark are
-    dropped; in append mode a day is emitted once the watermark passes its
-    end.
+    Tumbling 1-day windows on event time; a day's state is dropped once the
+    watermark passes its end, and rows later than that are dropped.
     """
     e = events.select("agent_type", "response_time_ms", event_time().alias("event_time"))
     e = e.withWatermark("event_time", delay).where(F.col("response_time_ms").isNotNull())
@@ -176,76 +196,91 @@ def daily_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return g.select(F.to_date(F.col("w.start")).alias("date"), "agent_type", "avg_time", "count")
 
 
+def daily(events: DataFrame, base: str, delay: str = "1 hour") -> DataFrame:
+    """ST3 to a table: days are updated as rows arrive, the open one included."""
+    run_batches(daily_stream(events, delay), lambda b, i: write_batch(b, f"{base}/daily", i), base, "update")
+    return latest(events.sparkSession, f"{base}/daily", ["date", "agent_type"])
+
+
 # -- ST4 ----------------------------------------------------------------------------
 
-def latency_stream(events: DataFrame, max_latency: str = "10 seconds", delay: str = "1 minute",
-                   how: str = "inner") -> DataFrame:
-    """ST4: pair each stop mark with the start of its request.
+def pair_marks(marks: DataFrame, past: DataFrame) -> DataFrame:
+    """The stops to (re)write when ``marks`` arrive after ``past``: new stops,
+    and earlier ones whose start comes now; NULL elapsed without a start."""
+    starts = past.where("mark = 'start'").unionByName(marks.where("mark = 'start'"))
+    late = marks.where("mark = 'start'").select("request_id")
+    stops = marks.where("mark = 'stop'").unionByName(past.where("mark = 'stop'").join(late, "request_id", "left_semi"))
+    stops = stops.groupBy("request_id").agg(F.min("at").alias("stopped_at"))
+    starts = starts.join(stops.select("request_id"), "request_id", "left_semi").groupBy("request_id").agg(F.min("at").alias("started_at"))
+    j = stops.join(starts, "request_id", "left")
+    return j.select("request_id", "started_at", "stopped_at", elapsed_ms(F.col("started_at"), F.col("stopped_at")).alias("elapsed_ms"))
+
+
+def latency(marks: DataFrame, base: str) -> DataFrame:
+    """ST4: every stop mark of a stream (request_id, mark, at) with its start,
+    in any order of arrival; a stop without a start has NULL elapsed."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.select("request_id", "mark", "at"), f"{base}/marks", batch_id)
+        new = batch.sparkSession.read.parquet(f"{base}/marks/batch_id={batch_id}")
+        write_batch(pair_marks(new, earlier(new, f"{base}/marks", batch_id)), f"{base}/latency", batch_id)
 
-    Stream-stream join on request_id with an event-time range (the stop is
-    at most ``max_latency`` after the start) and watermarks on both sides,
-    so join state is bounded.  ``how="left_outer"`` also emits unmatched
-    stops (NULL elapsed) once the watermark rules a start out.
-    """
-    start, stop = driver.map_marks(events)
-    s = start.select(F.col("request_id").alias("start_id"), event_time("at").alias("started_at")) \
-        .withWatermark("started_at", delay)
-    t = stop.select("request_id", event_time("at").alias("stopped_at")).withWatermark("stopped_at", delay)
-    cond = (F.col("start_id") == F.col("request_id")) & (F.col("started_at") <= F.col("stopped_at")) & \
-        (F.col("stopped_at") <= F.col("started_at") + F.expr(f"INTERVAL {max_latency}"))
-    j = t.join(s, cond, how)
-    return j.select("request_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"),
-                    F.col("stopped_at").cast("timestamp_ntz").alias("stopped_at"),
-                    (F.unix_millis("stopped_at") - F.unix_millis("started_at")).alias("elapsed_ms"))
+    run_batches(marks, fn, base)
+    return latest(marks.sparkSession, f"{base}/latency", ["request_id"])
 
 
 # -- ST5 ----------------------------------------------------------------------------
 
-def decisions_stream(messages: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Decisions on a message stream: ST2 context state + the batch rules.
+TABLES = ("decisions", "events", "violations", "escalations")
+_ASKED = ["id", "conversation_id", "turn", "user_id", "created_at", "query"]
 
-    The reply of a message has not arrived when it is decided, so the
-    streaming decision carries no response time.
-    """
-    f = frustration_stream(messages, rules).where(F.col("role") == "user")
-    q = f.select("id", "conversation_id", "turn", "user_id", "created_at",
-                 strip_ws(F.col("content")).alias("query"),
-                 "n_prior", "n_frustrated", F.lit(None).cast("timestamp_ntz").alias("reply_at"))
-    return P.decide(q.where(F.length("query") > 0), rules)
 
+def write_tables(base: str, rules: RuleSet = DEFAULT_RULES):
+    """foreachBatch writer: decides the batch's messages, and anew the earlier
+    ones whose context it changes, and writes the four derived tables.
+
+    Each table of a batch is written to ``<base>/<table>/batch_id=<n>`` and the
+    derived ones read the written decisions, so a retry of the batch leaves
+    exactly one copy and decides nothing twice.
+    """
+    step = _frustration_batch(base, rules)
 
-def write_tables(base: str):
-    """foreachBatch writer: each derived table of a micro-batch goes to
-    ``<base>/<table>/batch_id=<n>``, overwritten on a retry of the same
-    batch, so a replay after a failure leaves exactly one copy."""
     def fn(batch: DataFrame, batch_id: int) -> None:
-        dec = batch.persist()
-        try:
-            out = {"decisions": dec, "events": P.events_from(dec),
-                   "violations": P.violations_from(dec), "escalations": P.escalations_from(dec)}
-            for name, df in out.items():
-                df.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
-        finally:
-            dec.unpersist()
+        spark = batch.sparkSession
+        context = step(batch, batch_id)
+        new = batch.where(F.col("role") == "user").withColumn("query", strip_ws(F.col("content"))).where(F.length("query") > 0)
+        new = new.select(*_ASKED).dropDuplicates(C.KEY)
+        old = earlier(new, f"{base}/decisions", batch_id).join(new, C.KEY, "left_anti").join(context, C.KEY, "left_semi")
+        asked = new.unionByName(old.dropDuplicates(C.KEY)).join(context, C.KEY)
+        # the reply has not arrived when a message is decided: no response time
+        decided = P.decide(asked.withColumn("reply_at", F.lit(None).cast("timestamp_ntz")), rules)
+        write_batch(decided, f"{base}/decisions", batch_id)
+        decisions = spark.read.schema(decided.schema).parquet(f"{base}/decisions/batch_id={batch_id}")
+        write_batch(P.events_from(decisions), f"{base}/events", batch_id)
+        write_batch(P.violations_from(decisions), f"{base}/violations", batch_id)
+        write_batch(P.escalations_from(decisions), f"{base}/escalations", batch_id)
     return fn
 
 
-def tables_stream(messages: DataFrame, base: str, rules: RuleSet = DEFAULT_RULES):
-    """ST5: run the decision stream into four tables (returns the query)."""
-    d = decisions_stream(messages, rules)
-    return (d.writeStream.foreachBatch(write_tables(base)).outputMode("append")
-            .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+def tables(messages: DataFrame, base: str, rules: RuleSet = DEFAULT_RULES) -> dict[str, DataFrame]:
+    """ST5: run the message stream into the four tables; return them as they
+    stand (rows of decisions that a later batch replaced are left out)."""
+    run_batches(messages, write_tables(base, rules), base)
+    spark = messages.sparkSession
+    read = {n: spark.read.parquet(f"{base}/{n}") for n in TABLES}
+    valid = read["decisions"].groupBy(F.col("id").alias("_id")).agg(F.max("batch_id").alias("_batch"))
+    message = {"events": F.shiftright("id", 1)}  # two events per message
+    return {n: t.join(valid, (message.get(n, F.col("id")) == F.col("_id")) & (F.col("batch_id") == F.col("_batch")), "left_semi").drop("batch_id")
+            for n, t in read.items()}
 
 
 # -- ST6 ----------------------------------------------------------------------------
 
-def dedup_stream(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """ST6: drop redelivered messages (same id) within the watermark."""
-    m = messages.withColumn("event_time", event_time())
-    return m.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"]).drop("event_time")
-
+def dedup(messages: DataFrame, base: str) -> DataFrame:
+    """ST6: one copy of every message (conversation, turn), the first to
+    arrive.  A copy is dropped however late it comes, a new message never."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        seen = earlier(batch.select(*C.KEY), f"{base}/messages", batch_id)
+        write_batch(batch.dropDuplicates(C.KEY).join(seen, C.KEY, "left_anti"), f"{base}/messages", batch_id)
 
-def with_redelivery(messages: DataFrame) -> DataFrame:
-    """Test input for ST6: every third message delivered twice."""
-    copies = F.when(F.pmod(F.col("id"), F.lit(3)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return messages.select("*", F.explode(copies).alias("_copy")).drop("_copy")
+    run_batches(messages, fn, base)
+    return messages.sparkSession.read.parquet(f"{base}/messages").drop("batch_id")

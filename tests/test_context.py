@@ -22,7 +22,7 @@ def _conv(spark, pattern, conv=1):
 CASES = [("FaF", False), ("FaFa", True), ("uaFa", False), ("FFuau", False), ("AFAu", False)]
 
 
-@pytest.mark.parametrize("strategy", ["shift", "window"])
+@pytest.mark.parametrize("strategy", ["block", "window"])
 def test_frustration_cases(spark, strategy):
     rows = []
     for k, (pat, _) in enumerate(CASES):
@@ -36,19 +36,51 @@ def test_frustration_cases(spark, strategy):
     assert got == {k + 1: exp for k, (_, exp) in enumerate(CASES)}
 
 
-def test_shift_equals_window_on_data(spark):
+def _same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_block_equals_window_on_data(spark, monkeypatch):
     from tests.conftest import SF01
     from parley.sources import driver
     m = driver.chat_messages(spark, SF01)
-    keys = m.select("conversation_id", "turn")
-    # the shift plan also emits groups for turns past a conversation's end;
-    # callers join back to the messages, so compare on existing keys
-    a = C.frustration(m, strategy="shift").join(keys, C.KEY, "left_semi")
-    b = C.frustration(m, strategy="window").where("n_prior > 0")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    ca = C.model_context(m, "shift").where(F.size("context") > 0)
-    cb = C.model_context(m, "window").where(F.size("context") > 0)
-    assert ca.exceptAll(cb).count() == 0 and cb.exceptAll(ca).count() == 0
+    for size in (7, 256):  # several blocks per conversation, and one
+        monkeypatch.setattr(C, "BLOCK", size)
+        assert _same(C.frustration(m), C.frustration(m, strategy="window"))
+        assert _same(C.model_context(m), C.model_context(m, "window"))
+        h = lambda s: C.handoff_summary(m, F.trim("content"), strategy=s).drop("escalation_reason")
+        assert _same(h("block"), h("window"))
+        ahead = lambda s: C.over_prior(m.select(*C.KEY, "role"), 2, {"n": F.count("role")}, {"next": F.col("role")}, s)
+        assert _same(ahead("block"), ahead("window"))
+
+
+def _hot(spark, n=3000):
+    """One conversation with 9 of 10 rows."""
+    m = spark.range(n).select(
+        F.col("id"), F.when(F.col("id") % 10 == 0, 1 + F.floor(F.col("id") / 1000)).otherwise(0).alias("conversation_id"),
+        F.when(F.col("id") % 10 == 0, F.floor(F.col("id") / 10) % 100).otherwise(F.col("id") - F.floor(F.col("id") / 10) - 1).alias("turn"),
+        F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") % 5 == 0, "so angry").otherwise("fine").alias("content"))
+    return m
+
+
+def test_hot_conversation_is_spread(spark):
+    m = _hot(spark)
+    assert _same(C.frustration(m), C.frustration(m, strategy="window"))
+    blocks = m.where("conversation_id = 0").select(F.floor(F.col("turn") / C.BLOCK).alias("b")).groupBy("b").count()
+    assert blocks.count() > 8 and blocks.agg(F.max("count")).first()[0] <= C.BLOCK
+
+
+def test_gaps_raise_and_dense_turns_mends_them(spark):
+    m = _hot(spark).where("turn % 2 = 0")
+    with pytest.raises(Exception, match="not dense"):
+        C.frustration(m).collect()
+    with pytest.raises(Exception, match="not dense"):
+        C.frustration(m.limit(1).unionByName(m.limit(1))).collect()
+    dense = C.dense_turns(m, partitions=5)
+    w = C.frustration(m, strategy="window").join(m.select(*C.KEY, "id"), C.KEY).drop("turn", "conversation_id")
+    got = C.frustration(dense).join(dense.select(*C.KEY, "id"), C.KEY).drop("turn", "conversation_id")
+    assert _same(got.select("id", "n_prior", "n_frustrated"), w.select("id", "n_prior", "n_frustrated"))
 
 
 def test_message_turns(spark):

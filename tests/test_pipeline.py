@@ -3,23 +3,18 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parley.functions import keywords as K
 from parley.plans import pipeline as P
 from parley.sources import driver
 from tests import bruteforce as BF
 from tests.conftest import SF001, SF01
 
 
-@pytest.mark.parametrize("engine,strategy", [("automaton", "shift"), ("expr", "window")])
-def test_decisions_match_bruteforce(spark, engine, strategy):
-    K.set_engine(engine)
-    try:
-        m = driver.chat_messages(spark, SF01)
-        rows = [tuple(r) for r in m.select("id", "conversation_id", "turn", "role", "content").collect()]
-        want = BF.classify(rows)
-        got = {r.id: r.asDict() for r in P.classify_messages(m, strategy=strategy).collect()}
-    finally:
-        K.set_engine(None)
+@pytest.mark.parametrize("strategy", ["block", "window"])
+def test_decisions_match_bruteforce(spark, strategy):
+    m = driver.chat_messages(spark, SF01)
+    rows = [tuple(r) for r in m.select("id", "conversation_id", "turn", "role", "content").collect()]
+    want = BF.classify(rows)
+    got = {r.id: r.asDict() for r in P.classify_messages(m, strategy=strategy).collect()}
     assert set(got) == set(want)
     keys = ["violation_type", "matched_pattern", "intent", "agent_type", "escalated", "escalation_reason", "response"]
     bad = [i for i in want if any(got[i][k] != want[i][k] for k in keys)]
@@ -69,8 +64,7 @@ def test_decisions_with_model_answers(spark):
     """
     import __spark_entry__ as E
     m = driver.chat_messages(spark, SF01)
-    answers = driver.provider_answers(spark, SF01).select("id", *P.ANSWERS)
-    got = {r.id: r for r in P.classify_messages(m.join(answers, "id", "left")).collect()}
+    got = {r.id: r for r in P.classify_messages(driver.with_answers(m)).collect()}
     want = {r.id: r.answer for r in E.queries()["answer_failover"](spark, SF01).collect()}
     plain = {r.id: r for r in P.classify_messages(m).collect()}
     routed = [i for i, r in got.items() if not r.escalated]
@@ -78,9 +72,9 @@ def test_decisions_with_model_answers(spark):
     assert all(got[i] == plain[i] for i, r in got.items() if r.escalated)
 
 
-def test_context_shuffle_is_keyed_by_turn(spark):
-    """The classification plan shuffles on (conversation_id, turn), never on
-    the conversation alone, so a hot conversation is spread over tasks."""
+def test_one_exchange_keyed_by_block(spark):
+    """Classification has one exchange, on (conversation, block of turns), and
+    no window on the conversation alone."""
     import re
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the plan at scale
     try:
@@ -89,16 +83,35 @@ def test_context_shuffle_is_keyed_by_turn(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
-    assert keys and all("turn" in k for k in keys), keys
-    assert "Window" not in plan
+    assert len(set(keys)) == 1 and "conversation_id" in keys[0] and "block" in keys[0], keys
+    assert "Join" not in plan
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\], \[", plan)
+    assert windows and all("block" in w for w in windows), windows
+
+
+def test_no_join_in_row_queries(spark):
+    """Per-message queries are narrow: no join, no exchange."""
+    import __spark_entry__ as E
+    for name in ("keyword_rule_join", "intent_model_label", "answer_failover", "intent_keywords", "guard_first_violation", "pipeline_violations"):
+        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan, name
+
+
+def test_request_events(spark):
+    from parley.operators import quality as Q
+    d = P.classify_messages(driver.chat_messages(spark, SF001))
+    tickets = Q.ticket_intake(driver.ticket_requests(spark, SF001))
+    manual = Q.manual_escalations(driver.escalation_requests(spark, SF001))
+    n = {r.source: r["count"] for r in P.all_events(d, tickets, manual).groupBy("source").count().collect()}
+    assert n == {"message": 2 * d.count(), "ticket": tickets.where("accepted").count(), "escalation": manual.count()}
+    assert tickets.where("NOT accepted").count() > 0
 
 
 def test_decisions_with_model_labels(spark):
     """With a model_label column, unblocked messages take the I2 intent."""
     import __spark_entry__ as E
     m = driver.chat_messages(spark, SF01)
-    labels = driver.model_labels(spark, SF01).select("id", "model_label")
-    got = {r.id: r for r in P.classify_messages(m.join(labels, "id", "left")).collect()}
+    got = {r.id: r for r in P.classify_messages(driver.with_model_label(m)).collect()}
     want = {r.id: r.intent for r in E.queries()["intent_model_label"](spark, SF01).collect()}
     unblocked = [i for i, r in got.items() if not r.guardrail_triggered]
     assert unblocked and all(got[i].intent == want[i] for i in unblocked)

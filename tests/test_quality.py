@@ -34,7 +34,8 @@ def test_constraints_and_orphans(spark):
 
 def test_sinks_roundtrip(spark, scratch):
     s = seed(spark)
-    sinks.log_violations(s["guardrail_violations"], f"{scratch}/v")
+    sinks.log_violations(s["guardrail_violations"], f"{scratch}/v", 0)
+    sinks.log_violations(s["guardrail_violations"], f"{scratch}/v", 0)  # a retry leaves one copy
     sinks.load_if_empty(s["users"], f"{scratch}/u")
     sinks.load_if_empty(s["users"].limit(1), f"{scratch}/u")  # ignored: already loaded
     assert spark.read.parquet(f"{scratch}/v").count() == 3
