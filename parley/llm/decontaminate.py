@@ -171,20 +171,20 @@ class Matcher:
         return spans, found
 
 
-def item_parts(items: DataFrame, part_words: int) -> list[list[tuple[str | None, bytes]]]:
+def item_parts(items: DataFrame, part_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in parts of at most ``part_words`` words (an item that is
-    longer is a part of its own).  Cut by running size on the driver, which
-    streams the items and never holds more than the parts it hands out."""
-    parts, room = [[]], part_words
+    longer is a part of its own), cut while the items are streamed."""
+    part, room = [], part_words
     for ident, text in items.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL").distinct().toLocalIterator():
         raw = text.encode()
         n = len(item_words(raw))
-        if n > room and parts[-1]:
-            parts.append([])
-            room = part_words
-        parts[-1].append((ident, raw))
+        if part and n > room:
+            yield part
+            part, room = [], part_words
+        part.append((ident, raw))
         room -= n
-    return [p for p in parts if p]
+    if part:
+        yield part
 
 
 class Parts:

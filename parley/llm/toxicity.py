@@ -36,43 +36,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import arrow_map, crc_mod, text_bytes
+from parley.llm.common import arrow_map, crc_mod, materialize, text_bytes
 from parley.llm.decontaminate import item_words
 
 BLOCK = 64
+#: longer words are never terms (they bound what the driver gathers)
+MAX_TERM_BYTES = 256
 
 
-def _sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_examples: int) -> tuple[list[tuple], int, int]:
-    """(doc_id, toxic, text) of the examples, and the labelled documents of
-    either class that may be learnt from."""
+def sample_examples(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_examples: int) -> tuple[DataFrame, dict[int, int]]:
+    """The examples (doc_id, toxic, text), and how many labelled documents of
+    either class may be learnt from."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(crc_mod(F.col("doc_id"), folds) != held_out)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.join(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    chosen = None
-    for c in (0, 1):
-        part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit("example")), "doc_id").limit(max_examples)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return [(r["doc_id"], r["toxic"], (r["text"] or "").encode()) for r in rows], sizes.get(0, 0), sizes.get(1, 0)
-
-
-def choose_terms(examples: list[tuple], max_terms: int) -> list[bytes]:
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = materialize(known.join(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi"))
+    sizes = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    first = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit("example")), "doc_id").limit(max_examples)
+    chosen = F.broadcast(first(0).unionByName(first(1)))  # at most 2 * max_examples ids
+    examples = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return materialize(examples), sizes
+
+
+def choose_terms(examples: DataFrame, max_terms: int) -> list[bytes]:
     """The terms with the largest chi-square, at least two examples each."""
-    seen: dict[bytes, list[int]] = {}
-    size = [sum(1 for e in examples if e[1] == c) for c in (0, 1)]
-    for _, toxic, text in examples:
-        for w in set(item_words(text)):
-            seen.setdefault(w, [0, 0])[toxic] += 1
-    n = sum(size)
-    ranked = []
-    for w, (a0, a1) in seen.items():
-        if a0 + a1 > 1:
-            out0, out1 = size[0] - a0, size[1] - a1
-            below = (a0 + a1) * (out0 + out1) * size[0] * size[1]
-            if below:
-                ranked.append((-n * (a1 * out0 - a0 * out1) ** 2 / below, w))
-    return sorted(w for _, w in sorted(ranked)[:max_terms])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        seen: dict[bytes, list[int]] = {}
+        for toxic, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+            for w in set(item_words(t)):
+                seen.setdefault(w, [0, 0])[toxic] += 1
+        words = [w for w in seen if len(w) <= MAX_TERM_BYTES]
+        counts = [[seen[w][c] for w in words] for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=["w", "n0", "n1"])
+
+    size = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
+    s0, s1 = float(size.get(0, 0)), float(size.get(1, 0))
+    counts = arrow_map(examples.select("toxic", "text"), run, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    n0, n1 = F.col("n0"), F.col("n1")
+    below = (n0 + n1) * (s0 + s1 - n0 - n1) * s0 * s1
+    chi = F.try_divide((s0 + s1) * F.pow(n1 * (s0 - n0) - n0 * (s1 - n1), 2), below)
+    best = counts.where((n0 + n1 > 1) & (below > 0)).orderBy(chi.desc(), "w").limit(max_terms)
+    return sorted(bytes(r["w"]) for r in best.select("w").collect())
+
+
+def example_vectors(examples: DataFrame, terms: dict[bytes, int]) -> list[tuple]:
+    """(doc_id, toxic, term ids, counts) of the examples, by doc_id: at most
+    2 * max_examples rows of at most max_terms entries."""
+    kind = examples.schema["doc_id"].dataType.simpleString()
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(_term_ids(t, terms), return_counts=True) for t in text_bytes(b.column(2))]
+        lists = [pa.array([f[i].tolist() for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "toxic", "ids", "tf"])
+
+    rows = arrow_map(examples.select("doc_id", "toxic", "text"), run, f"doc_id {kind}, toxic int, ids array<long>, tf array<long>").orderBy("doc_id").collect()
+    return [(r["doc_id"], r["toxic"], np.array(r["ids"], np.int64), np.array(r["tf"], np.int64)) for r in rows]
 
 
 def document_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -99,9 +117,8 @@ def _term_ids(text: bytes | None, terms: dict[bytes, int]) -> np.ndarray:
     return ids[ids >= 0]
 
 
-def vector(text: bytes | None, terms: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unit TF-IDF vector of a text: term ids and weights."""
-    ids, tf = np.unique(_term_ids(text, terms), return_counts=True)
+def weigh(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit TF-IDF vector of term counts: term ids and weights."""
     w = (1.0 + np.log(tf)) * idf[ids]
     norm = np.sqrt((w * w).sum())
     return (ids, w / norm) if norm > 0 else (ids[:0], w[:0])
@@ -192,7 +209,7 @@ class Scorer:
         share = [n / h for n, h in zip((n0, n1), held)]
         mean = (n0 + n1) / max(1, len(self.ids))
         self.class_weight = np.where(self.toxic == 1, share[1] / mean, share[0] / mean) if len(self.ids) else np.zeros(0)
-        vectors = [vector(e[2], self.terms, idf) for e in examples]
+        vectors = [weigh(ids, tf, idf) for _, _, ids, tf in examples]
         self.index = BlockMaxIndex(vectors, len(terms))
         self.knots = None
         if self.ids and 0 < n1 and 0 < n0:
@@ -207,7 +224,8 @@ class Scorer:
         """The calibrated score and the evidence (example id, cosine, label)."""
         if self.knots is None:
             return self.prior, []
-        best, cos = self.index.nearest(*vector(text, self.terms, self.idf), self.k)
+        counts = np.unique(_term_ids(text, self.terms), return_counts=True)
+        best, cos = self.index.nearest(*weigh(*counts, self.idf), self.k)
         score = float(np.interp(self.vote(best, cos), *self.knots))
         return min(1.0, max(0.0, score)), [(self.ids[b], float(c), int(self.toxic[b])) for b, c in zip(best[:3], cos[:3])]
 
@@ -217,11 +235,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     examples as ``id:cosine:label``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    examples, n0, n1 = _sample(docs, labels, folds, held_out, max_examples)
+    examples, sizes = sample_examples(docs, labels, folds, held_out, max_examples)
     terms = choose_terms(examples, max_terms)
-    df, n = document_frequencies(docs, {w: i for i, w in enumerate(terms)})
+    place = {w: i for i, w in enumerate(terms)}
+    df, n = document_frequencies(docs, place)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    model = spark.sparkContext.broadcast(Scorer(examples, terms, idf, n0, n1, k))
+    model = spark.sparkContext.broadcast(Scorer(example_vectors(examples, place), terms, idf, sizes[0], sizes[1], k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
