@@ -76,6 +76,12 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (cheap to count: materialised or tiny) with a broadcast hint up
+    to ``rows`` rows, as it is beyond them."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and text bytes of the corpus (two scalars)."""
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()

@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import crc_mod
+from parley.llm.common import broadcast_if_small, crc_mod, materialize
 
 BLANK = 32
+MANY_LANGUAGES = 10_000  # names beyond which their table is not broadcast
 
 
 class Encoder:
@@ -122,8 +123,8 @@ class Encoder:
 def prototypes(train: DataFrame, dims: int, order: int, seed: int, max_train: int) -> list[tuple[str, np.ndarray]]:
     """(lang, unit vector) of the languages of ``train`` (text, lang, doc_id)."""
     sizes = train.groupBy("lang").count()
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max_train)) / F.col("count")).alias("share"))
-    chosen = train.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    share = materialize(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(max_train)) / F.col("count")).alias("share")))
+    chosen = train.join(broadcast_if_small(share, MANY_LANGUAGES), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, total = Encoder(dims, order, seed), {}

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize
+from parley.llm.common import broadcast_if_small, materialize
 
 LEVELS, SLOTS, FIRST_RATE = 6, 16, 64
 #: lexicon rows (term, subset) up to which the lexicon is broadcast
@@ -89,7 +89,6 @@ def fingerprint_edits(docs: DataFrame, min_share: float = 0.001, max_share: floa
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lex = materialize(lexicon(docs, min_share, max_share))
-    small = F.broadcast if lex.count() <= BROADCAST_ROWS else (lambda x: x)
     rows = with_next(docs, ranges).withColumn("edited", edit(F.col("text"), F.col("next_text")))
     plain = lambda c: F.xxhash64(words(F.col(c)))  # noqa: E731  for texts without a component
     about = F.struct("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[plain(c).alias(f"plain{i}") for i, c in enumerate(("text", "edited", "next_text"))])
@@ -101,7 +100,7 @@ def fingerprint_edits(docs: DataFrame, min_share: float = 0.001, max_share: floa
     entries = F.concat(side("text", 0), side("edited", 1), side("next_text", 2), F.array(entry(F.lit(0).cast("long"), 3, about)))
     terms = rows.select("range", "rn", F.explode(entries).alias("e")).select("range", "rn", "e.h", "e.side", "e.about")
     marker = spark.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("k"))
-    hit = terms.join(small(lex.where("h <> 0").unionByName(marker)), "h")
+    hit = terms.join(broadcast_if_small(lex.where("h <> 0").unionByName(marker), BROADCAST_ROWS), "h")
     hashed = lambda i: F.xxhash64(F.sort_array(F.collect_set(F.when(F.col("side") == i, F.col("h")))))
     has = lambda i: F.max(F.when(F.col("side") == i, 1)) == 1
     parts = hit.groupBy("range", "rn", "k").agg(F.first("about", ignorenulls=True).alias("about"), *[F.when(has(i), hashed(i)).alias(f"c{i}") for i in range(3)])

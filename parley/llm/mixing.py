@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, n_words
+from parley.llm.common import broadcast_if_small, materialize, n_words
 
 BINS = 4096
 #: sources up to which the one-row-per-source table is broadcast; above it
@@ -87,7 +87,7 @@ def newton_rates(targets: DataFrame, iterations: int = 60) -> DataFrame:
     return targets.withColumn("rate", F.when((size > 0) & (goal > 0), F.exp(dual)).otherwise(F.lit(0.0)))
 
 
-def _crossing(hist: DataFrame, bin_col: str, want: str) -> DataFrame:
+def _running(hist: DataFrame, bin_col: str) -> DataFrame:
     """Per source, tokens before each bin (``before``), bins in hash order."""
     w = W.partitionBy("skey").orderBy(bin_col).rowsBetween(W.unboundedPreceding, W.currentRow)
     return hist.withColumn("before", F.sum("tokens").over(w) - F.col("tokens"))
@@ -102,16 +102,16 @@ def plan_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_rate:
     rates = materialize(newton_rates(source_targets(sources, weights, share, max_rate), iterations))
     whole = F.floor(F.col("rate") + F.lit(1e-9))
     rates = rates.withColumn("whole", whole.cast("long")).withColumn("want", F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0)))
-    small = F.broadcast if rates.count() <= BROADCAST_SOURCES else (lambda x: x)
     wants = rates.select("skey", "want")
+    small = F.broadcast if rates.count() <= BROADCAST_SOURCES else (lambda x: x)  # one row per source each
     # first histogram: the last bin that begins before the wanted tokens
     h1 = sized.groupBy("skey", _bin1(F.col("u")).alias("bin1")).agg(F.sum("size").alias("tokens"))
-    h1 = _crossing(h1, "bin1", "want").join(small(wants), "skey").where("tokens > 0 AND before < want")
+    h1 = _running(h1, "bin1").join(small(wants), "skey").where("tokens > 0 AND before < want")
     cut1 = h1.groupBy("skey").agg(F.max("bin1").alias("cut1"), F.max_by("before", "bin1").alias("before1"))
     # second histogram, inside that bin: the sub-bins nearest to the target
     inner = sized.join(small(cut1), "skey").where(_bin1(F.col("u")) == F.col("cut1"))
     h2 = inner.groupBy("skey", _bin2(F.col("u")).alias("bin2")).agg(F.sum("size").alias("tokens"), F.first("before1").alias("before1"))
-    h2 = _crossing(h2, "bin2", "want").join(small(wants), "skey")
+    h2 = _running(h2, "bin2").join(small(wants), "skey")
     h2 = h2.where(F.col("before1") + F.col("before") + F.col("tokens") / 2 <= F.col("want"))
     cut2 = h2.groupBy("skey").agg(F.max("bin2").alias("cut2"))
     return (
@@ -129,9 +129,8 @@ def mix_sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def _join_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     plan = materialize(plan)
-    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
     copies = F.col("whole") + F.when(F.shiftright(F.col("u"), 24) < F.col("cut"), 1).otherwise(0)
-    return sized.join(small(plan), "skey").withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    return sized.join(broadcast_if_small(plan, BROADCAST_SOURCES), "skey").withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_rate: float = 2.0, iterations: int = 60, seed: int = 7) -> DataFrame:
