@@ -263,12 +263,20 @@ def message_turns(t):
 
 
 @query("message_turns_range", with_views("""
-    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) - 1 AS turn
+    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1 AS turn
     FROM msg""", "msg"))
 def message_turns_range(t):
-    """The same numbering newest first (any order, any group)."""
-    m = t.messages.select("id", "conversation_id", F.col("turn").alias("at"))
-    return number_rows(m, ["conversation_id"], [F.col("at").desc()], "turn").select("id", "conversation_id", "turn")
+    """W4 with the plan named: range partitioning splits a hot conversation."""
+    return C.message_turns(t.messages.drop("turn"), "range").select("id", "conversation_id", "turn")
+
+
+@query("message_recency", with_views("""
+    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) - 1 AS position
+    FROM msg""", "msg"))
+def message_recency(t):
+    """O2 newest first: the place of every message counted from the latest."""
+    m = t.messages.select("id", "conversation_id", "turn")
+    return number_rows(m, ["conversation_id"], [F.col("turn").desc()], "position").select("id", "conversation_id", "position")
 
 
 @query("dense_turns", with_views("""
