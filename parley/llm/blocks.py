@@ -106,6 +106,24 @@ def even_shards(n: int, bits: int = 64) -> Callable[[np.ndarray], np.ndarray]:
     return lambda keys: ((keys >> np.uint64(bits - 32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def order_pairs(high: np.ndarray, low: np.ndarray, low_bits: int) -> np.ndarray:
+    """The order of (high, low) pairs: one sort of the leading 64 bits, then
+    only runs that are equal in those are sorted by ``low`` (``low_bits`` bits)."""
+    spare = low_bits - (64 - int(high.max()).bit_length()) if len(high) else 0
+    spare = max(0, spare)
+    lead = (high << np.uint64(low_bits - spare)) | (low >> np.uint64(spare))
+    order = np.argsort(lead)
+    lead = lead[order]
+    same = np.flatnonzero(lead[1:] == lead[:-1])
+    if len(same):
+        tied = np.zeros(len(order), bool)
+        tied[same] = tied[same + 1] = True
+        at = np.flatnonzero(tied)
+        members = order[at]
+        order[at] = members[np.lexsort((low[members], lead[at]))]
+    return order
+
+
 def message_table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [()] * len(names)
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})

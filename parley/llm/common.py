@@ -36,22 +36,9 @@ def n_words(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-class WordHash(dict):
-    """word bytes -> XXH64, remembered for the words of a task (a bounded
-    memo: it starts anew when full, results do not depend on it)."""
-
-    def __init__(self, seed: int = 0, full: int = 400_000):
-        super().__init__()
-        self.seed, self.full = seed, full
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.full:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """The XXH64 (seed 0) of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(a: np.ndarray, b: np.ndarray | int, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from parley.llm import blocks
-from parley.llm.common import WordHash, block_count, corpus_size, mix
+from parley.llm.common import block_count, corpus_size, hash_words, mix
 
 SHARD_BITS = 24  # cells of a sketch shard (one byte each while it is summed)
 SKETCH, EXACT = 0, 2  # message kinds: SKETCH + row of the sketch, EXACT
@@ -61,9 +61,7 @@ class Windows:
     """The windows of a block: hashes a and b, document and start of each."""
 
     def __init__(self, rows: pa.Table, span: int):
-        hasher, parts = WordHash(), []
-        for t in blocks.texts_of(rows):
-            parts.append(hasher.array(t.split()))
+        parts = [hash_words(t.split()) for t in blocks.texts_of(rows)]
         self.counts = np.array([len(p) for p in parts], np.int64)
         self.begins = np.cumsum(self.counts) - self.counts
         words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)

@@ -56,6 +56,19 @@ def test_packing_round_trip():
         assert (blocks.unpack(blocks.pack(a)) == a).all() and (blocks.unpack_sorted(blocks.pack_sorted(a)) == a).all()
 
 
+def test_order_of_pairs():
+    rng = np.random.default_rng(2)
+    for bits, top in ((40, 40), (40, 8), (8, 64), (40, 60)):
+        high = rng.integers(0, 2**top, 3000, dtype=np.uint64) if top < 64 else rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+        high = np.concatenate((high, high[:1000], np.full(500, high[0])))
+        low = rng.integers(0, 2**bits, len(high)).astype(np.uint64)
+        low[3000:3500] = low[:500]
+        order = blocks.order_pairs(high, low, bits)
+        want = np.lexsort((low, high))
+        assert (high[order] == high[want]).all() and (low[order] == low[want]).all()
+    assert len(blocks.order_pairs(high[:0], low[:0], 40)) == 0
+
+
 def test_window_hash_depends_on_the_words_only():
     w = np.random.default_rng(1).integers(0, 5, 400).astype(np.uint64)
     for span in (1, 2, 7, 20):
