@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import replies
@@ -19,7 +22,8 @@ from parley.plans import sql_pipeline as SP
 from parley.plans import sql_rules as SR
 from parley.plans.catalog import query
 from parley.plans.sql import lit, with_views
-from parley.sources import driver
+from parley.session import scratch_path
+from parley.sources import driver, sinks
 
 # -- G1-G4: one family each, over every user message -----------------------------
 
@@ -394,3 +398,50 @@ def recent_conversations(t):
     """Each user's 20 latest conversations, top 5 flagged shown."""
     conv = P.conversations_table(t.chat_messages, t.decisions)
     return D.recent_conversations(conv, 20, 5)
+
+
+# -- S3-S6, S13: the writers, read back -----------------------------------------------------------------
+
+def _stored(t, name: str, write) -> DataFrame:
+    """What a writer left after the same batch was written twice."""
+    path = scratch_path(t.spark, f"stored/{name}-{uuid.uuid4().hex[:12]}")
+    for _ in range(2):  # a retried job leaves one copy
+        write(path)
+    return t.spark.read.parquet(path).drop("batch_id", "event_date")
+
+
+@query("stored_events", with_views("SELECT * FROM pev", "pev"))
+def stored_events(t):
+    """S3: logged events, partitioned by batch and day."""
+    return _stored(t, "events", lambda path: sinks.log_events(P.events_from(t.decisions), path, 0))
+
+
+@query("stored_violations", with_views("SELECT * FROM pviol", "pviol"))
+def stored_violations(t):
+    """Logged violations."""
+    return _stored(t, "violations", lambda path: sinks.log_violations(P.pipeline_violations(t.chat_messages), path, 0))
+
+
+@query("stored_messages", with_views("""
+    SELECT id * 2 AS id, conversation_id, 'user' AS role, query AS content, CAST(NULL AS VARCHAR) AS agent_type,
+           '{}' AS metadata, created_at FROM dec
+    UNION ALL
+    SELECT id * 2 + 1, conversation_id, 'assistant', response, agent_type, '{}', created_at FROM dec""", "dec"))
+def stored_messages(t):
+    """Stored conversation turns with their defaults."""
+    return _stored(t, "messages", lambda path: sinks.store_messages(P.messages_with_replies(t.decisions), path, 0))
+
+
+@query("stored_escalations", with_views("SELECT * FROM pesc", "pesc"))
+def stored_escalations(t):
+    """Stored escalations."""
+    return _stored(t, "escalations", lambda path: sinks.store_escalations(P.pipeline_escalations(t.chat_messages), path, 0))
+
+
+@query("loaded_once", with_views("SELECT * FROM crs", "crs"))
+def loaded_once(t):
+    """The second load finds the table stored and changes nothing."""
+    path = scratch_path(t.spark, f"stored/courses-{uuid.uuid4().hex[:12]}")
+    sinks.load_if_empty(t.courses, path)
+    sinks.load_if_empty(t.courses.where("id % 2 = 0"), path)
+    return t.spark.read.parquet(path)
