@@ -293,19 +293,17 @@ def keyword_rule_join(t):
     """Keyword intent as a join of every message with a rule table.
 
     The rules (label, keyword, weight, ordinal) are the fixed catalog, so they
-    are one literal array in the row: the theta join is a ``filter`` of that
-    array, its matches are summed per label and the arg-max keeps the
-    catalog's tie order.  No join node, no exchange.
+    are literal arrays in the row: the theta join is an ``aggregate`` over
+    them that sums the matches per label, and the arg-max keeps the catalog's
+    tie order.  No join node, no exchange.
     """
-    rules = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(kw).alias("keyword"), F.lit(intent_weight(kw)).alias("weight"))
-                      for i, (_, kws) in enumerate(R.intent_keywords) for kw in kws])
-    labels = F.array(*[F.lit(lbl) for lbl, _ in R.intent_keywords])
-    hits = F.filter(rules, lambda r: F.contains(F.col("_t"), r["keyword"]))
-    q = t.user_queries.select("id", hits.alias("hits"))
-    score = lambda i: F.aggregate("hits", F.lit(0), lambda s, h: s + F.when(h["ord"] == i, h["weight"]).otherwise(0))
-    best = F.array_max(F.array(*[F.struct(score(i).alias("s"), F.lit(-i).alias("o")) for i in range(len(R.intent_keywords))]))
-    q = q.select("id", best.alias("best"))
-    return q.select("id", F.when(F.col("best.s") > 0, F.element_at(labels, 1 - F.col("best.o"))).otherwise("course").alias("intent"))
+    rules = lambda kws: F.array(*[F.struct(F.lit(kw).alias("keyword"), F.lit(intent_weight(kw)).alias("weight")) for kw in kws])
+    matched = lambda total, r: total + F.when(F.contains(F.col("_t"), r["keyword"]), r["weight"]).otherwise(0)
+    scored = [F.struct(F.aggregate(rules(kws), F.lit(0), matched).alias("score"), F.lit(-i).alias("o"), F.lit(lbl).alias("label"))
+              for i, (lbl, kws) in enumerate(R.intent_keywords)]
+    # the label of a message without any keyword wins only over scores of 0
+    none = F.struct(F.lit(0).alias("score"), F.lit(1).alias("o"), F.lit("course").alias("label"))
+    return t.user_queries.select("id", F.array_max(F.array(*scored, none))["label"].alias("intent"))
 
 
 @query("request_latency", with_views("""
