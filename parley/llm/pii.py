@@ -11,8 +11,8 @@ function of key, kind, round and the other half:
 * over text: one half's characters are shifted within their class (digits,
   lower case, upper case) - phones, card bodies, e-mail names, secrets;
 * over numbers: ``l += f(r) mod a``, ``r += f(l) mod b`` - addresses
-  (2^16 x 2^16), dates (17 x 4297 days from 1900 to 2099) and social security
-  numbers (898 x 989901).
+  (2^16 x 2^16), dates (from 1900 to 2099, 160 x 180 with a day up to 12 and
+  177 x 250 - 1 with a day over 12) and social security numbers (898 x 989901).
 
 The text is cut at the matches and joined again in the row: no shuffle, no
 Python.  Texts without a digit or ``@`` are not searched at all.
@@ -131,36 +131,63 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
+FIRST_DAY, DAYS, MONTHS = "1900-01-01", 73049, 2400
+LATE = DAYS - 12 * MONTHS  # dates with a day over 12; a prime, so permuted as 177 x 250 - 1
 
 
-def _date_as(m: Column, pattern: str, key: str, undo: bool) -> Column:
-    """The pseudonym of a date written as ``pattern``; null if it is none."""
-    day = F.datediff(F.try_to_timestamp(m, F.lit(pattern)).cast("date"), F.to_date(F.lit(FIRST_DAY)))
-    inside = (day >= 0) & (day < DAYS[0] * DAYS[1])
-    new = feistel_numbers(F.floor(day / DAYS[1]), day % DAYS[1], *DAYS, key, "date", undo)
-    show = lambda x: F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), (x["l"] * DAYS[1] + x["r"]).cast("int")), pattern)
-    return F.when(inside, _let(new, show))
+def _days_before(month: Column) -> Column:
+    """Days from FIRST_DAY to the first of a month numbered from 0."""
+    first = F.to_date(F.lit(FIRST_DAY))
+    return F.datediff(F.add_months(first, month.cast("int")), first)
+
+
+def _early_day(day: Column, key: str, undo: bool) -> Column:
+    """The pseudonym of a day number whose day of the month is 1 to 12."""
+    date = F.date_add(F.to_date(F.lit(FIRST_DAY)), day)
+    rank = ((F.year(date) - 1900) * 12 + F.month(date) - 1) * 12 + F.day(date) - 1
+    new = feistel_numbers(F.floor(rank / 180), rank % 180, 160, 180, key, "early", undo)
+    return _let(_let(new, lambda x: x["l"] * 180 + x["r"]), lambda n: _days_before(F.floor(n / 12)) + n % 12)
+
+
+def _late_day(day: Column, key: str, undo: bool) -> Column:
+    """The pseudonym of a day number whose day of the month is 13 to 31."""
+    date = F.date_add(F.to_date(F.lit(FIRST_DAY)), day)
+    rank = day - 12 * ((F.year(date) - 1900) * 12 + F.month(date))
+    other = lambda n: _let(feistel_numbers(F.floor(n / 250), n % 250, 177, 250, key, "late", undo), lambda x: x["l"] * 250 + x["r"])
+    # the one number that is no date is walked over
+    new = _let(other(rank), lambda n: F.when(n == LATE, other(F.lit(LATE))).otherwise(n))
+
+    def day_of(n):
+        late_before = lambda month: _days_before(month) - 12 * month
+        near = F.floor(n * MONTHS / LATE)  # the month or one beside it
+        month = near - 1 + F.when(late_before(near) <= n, 1).otherwise(0) + F.when(late_before(near + 1) <= n, 1).otherwise(0)
+        return n + 12 * (month + 1)
+
+    return _let(new, day_of)
 
 
 def _date(m: Column, key: str, undo: bool) -> Column:
-    day_first = m.rlike(r"^(1[3-9]|[23][0-9])/")  # else month first
-    new = F.when(m.rlike("^[0-9]{4}-"), _date_as(m, "yyyy-MM-dd", key, undo))
-    new = new.when(m.rlike("^[0-9]{4}/"), _date_as(m, "yyyy/MM/dd", key, undo))
-    new = new.when(m.contains("."), _date_as(m, "dd.MM.yyyy", key, undo))
-    return F.coalesce(new.when(~day_first, _date_as(m, "MM/dd/yyyy", key, undo)).otherwise(_day_month(m, key, undo)), m)
+    """One permutation of day numbers for all forms, so a date has the same
+    pseudonym however it is written.  Days up to 12 and over 12 stay apart:
+    dd/MM/yyyy with a day over 12 is recognisable only by that."""
+    first = F.to_date(F.lit(FIRST_DAY))
+    part = lambda c, at, n: F.substr(c, F.lit(at), F.lit(n))
+    year_first, day_first = m.rlike("^[0-9]{4}"), m.contains(".") | m.rlike(r"^(1[3-9]|[23][0-9])/")  # else month first
+    iso = (
+        F.when(year_first, F.translate(m, "/", "-")).when(day_first, F.concat_ws("-", part(m, 7, 4), part(m, 4, 2), part(m, 1, 2)))
+        .otherwise(F.concat_ws("-", part(m, 7, 4), part(m, 1, 2), part(m, 4, 2)))
+    )
 
+    def show(new):  # an ISO date
+        year, month, day = part(new, 1, 4), part(new, 6, 2), part(new, 9, 2)
+        slashed = F.when(year_first, F.translate(new, "-", "/")).when(day_first, F.concat_ws("/", day, month, year)).otherwise(F.concat_ws("/", month, day, year))
+        return F.when(m.contains("."), F.concat_ws(".", day, month, year)).when(m.contains("-"), new).otherwise(slashed)
 
-def _day_month(m: Column, key: str, undo: bool) -> Column:
-    """dd/MM/yyyy with a day over 12 stays recognisable as such: the day is
-    permuted within 13 to 28 (16 days), month and year within 12 x 200."""
-    part = lambda at, n: F.substr(m, F.lit(at), F.lit(n)).cast("int")
-    day, month, year = part(1, 2), part(4, 2), part(7, 4)
-    valid = day.between(13, 28) & month.between(1, 12) & year.between(1900, 2099)
-    new = feistel_numbers(day - 13, (year - 1900) * 12 + month - 1, 16, 2400, key, "daymonth", undo)
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    show = lambda x: F.concat_ws("/", two(x["l"] + 13), two(x["r"] % 12 + 1), (F.floor(x["r"] / 12) + 1900).cast("string"))
-    return F.when(valid, _let(new, show))
+    def other(day):
+        new = F.when(F.day(F.date_add(first, day)) > 12, _late_day(day, key, undo)).otherwise(_early_day(day, key, undo))
+        return F.when((day >= 0) & (day < DAYS), _let(F.date_add(first, new.cast("int")).cast("string"), show))
+
+    return F.coalesce(_let(F.datediff(iso.try_cast("date"), first), other), m)
 
 
 def _ssn(m: Column, key: str, undo: bool) -> Column:

@@ -64,6 +64,22 @@ def test_permutation_of_all_dates(spark):
     assert out.where("NOT text RLIKE '^[12][0-9]{3}-[01][0-9]-[0-3][0-9]$'").count() == 0
 
 
+def test_every_day_first_date(spark):
+    day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(73049).where(F.day(day) > 12).select(F.col("id").alias("doc_id"), F.date_format(day, "dd/MM/yyyy").alias("text"))
+    out = pseudonymise(days, "k").withColumnRenamed("text", "new").join(days, "doc_id").cache()
+    n = days.count()
+    assert out.select("new").distinct().count() == n == 44249
+    assert out.where("to_date(new, 'dd/MM/yyyy') IS NULL OR day(to_date(new, 'dd/MM/yyyy')) < 13").count() == 0
+    assert out.where("new = text").count() < 20
+    assert pseudonymise(out.select("doc_id", F.col("new").alias("text")), "k", undo=True).join(days, ["doc_id", "text"]).count() == n
+    for text in ("29/12/1999", "30/06/2024", "31/12/1999", "29/02/2000"):
+        (row,) = run(spark, [f"on {text}."], report=True)
+        assert text not in row.text and (row.pii_replaced, row.pii_kinds) == (1, "date")
+    for text in ("29/02/1999", "31/04/2000", "30/02/2000"):
+        assert run(spark, [text])[0].text == text
+
+
 def test_clean_and_odd_texts(spark):
     texts = [None, "", "no data here", "version 1.2 of 2024", "@", "x" * 100000 + " 4795485071042893", "1" * 5000, "a." * 30000 + "@", "é 33.171.134.49, ü"]
     rows = run(spark, texts)
