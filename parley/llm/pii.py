@@ -37,7 +37,10 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+# Cards are looked for in whole runs of digit groups that one blank or hyphen
+# parts; a run ends where one of the other values begins.
+_SEP = rf"(?:-| (?!{IP}|{DATE}|{SSN}|{PHONE}))(?![0-9]{{20}}|[0-9]{{1,19}}[A-Za-z])"
+CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:(?:{_SEP})?[0-9]){{12}})[0-9]{{1,19}}+(?![0-9A-Za-z])(?:{_SEP}[0-9]{{1,19}}+)*+"
 PATTERN = "|".join((EMAIL, SECRET, IP, DATE, SSN, PHONE, CARD))
 
 
@@ -93,6 +96,11 @@ def feistel_text(s: Column, key: str, kind: str, undo: bool) -> Column:
     return F.aggregate(_rounds(undo), start, step, lambda x: F.concat(x["l"], x["r"]))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digit_at(digits: Column, i: Column) -> Column:
     return F.substr(digits, i, F.lit(1)).cast("int")
 
@@ -118,6 +126,78 @@ def _card(m: Column, key: str, undo: bool) -> Column:
     return F.when(luhn_sum(digits, False) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(m)
 
 
+#: cards as they are usually written: one group, groups of four, 4-6-5 or 4-6-4
+LAYOUT = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+MOST_GROUPS, WALK = 19, 1000
+
+
+def _groups(run: Column) -> Column:
+    """The digit groups of a run, each with the separator behind it."""
+    return F.split(run, "(?<=[ -])")
+
+
+def _window(groups: Column, at: Column, n: Column) -> Column:
+    return F.rtrim(F.array_join(F.slice(groups, at, n), ""), F.lit(" -"))
+
+
+def _valid_at(groups: Column, at: Column, layout: bool = False) -> Column:
+    """How many groups from ``at`` on make a card (13 to 19 Luhn digits)."""
+
+    def valid(w):
+        luhn = _let(F.regexp_replace(w, "[ -]", ""), lambda d: F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0))
+        return w.rlike(LAYOUT) & luhn if layout else luhn
+
+    return F.filter(F.sequence(F.lit(1), F.lit(MOST_GROUPS)), lambda n: (at + n - 1 <= F.size(groups)) & _let(_window(groups, at, n), valid))
+
+
+def _card_at(groups: Column, at: Column) -> Column:
+    """The groups of the card that begins at ``at`` (null: none): the shortest
+    usual layout, else the longest that no card of a usual layout overlaps."""
+    usual = lambda n: F.exists(F.sequence(at, at + n - 1), lambda i: (i > at) & (F.size(_valid_at(groups, i, True)) > 0))
+    return F.coalesce(F.array_min(_valid_at(groups, at, True)), F.array_max(F.filter(_valid_at(groups, at), lambda n: ~usual(n))))
+
+
+def _cards(groups: Column, first: Column, last: Column) -> Column:
+    """(at, n) of the cards beginning at the groups ``first`` to ``last``."""
+    none = F.struct(first.alias("free"), F.array().cast("array<struct<at:int,n:int>>").alias("found"))
+
+    def step(x, at):
+        card = lambda n: F.when(n.isNull(), x).otherwise(F.struct((at + n).alias("free"), F.concat(x["found"], F.array(F.struct(at.alias("at"), n.alias("n")))).alias("found")))
+        return F.when(at < x["free"], x).otherwise(_let(_card_at(groups, at), card))
+
+    return F.aggregate(F.sequence(first, last), none, step, lambda x: x["found"])
+
+
+def _run(m: Column, key: str, undo: bool) -> Column:
+    """A run of digit groups with the cards in it permuted.
+
+    A pseudonym that would move the cards (digits beside it make another card
+    with some of its own) is permuted again, so ``undo`` finds the same ones.
+    What begins at a group depends on the next 24 groups only.
+    """
+    one = F.lit(1)
+
+    def permuted(groups, cards, k):
+        at, n = F.get(cards, k - 1)["at"], F.get(cards, k - 1)["n"]
+        back = F.greatest(k - 24, F.lit(0))  # cards before those that are looked at again
+        first = F.when(back == 0, one).otherwise(F.get(cards, back - 1)["at"] + F.get(cards, back - 1)["n"])
+
+        def again(x, _):
+            old = _window(x["groups"], at, n)
+            tail = F.substr(F.array_join(F.slice(x["groups"], at, n), ""), F.length(old) + 1, one)
+            new = F.concat(F.slice(x["groups"], one, at - 1), F.filter(_groups(F.concat(_card(old, key, undo), tail)), lambda g: g != ""), F.slice(x["groups"], at + n, F.size(x["groups"])))
+            same = lambda g: F.struct(g.alias("groups"), (_cards(g, first, at) == F.slice(cards, back + 1, k - back)).alias("done"))
+            return F.when(x["done"], x).otherwise(_let(new, same))
+
+        return F.aggregate(F.sequence(one, F.lit(WALK)), F.struct(groups.alias("groups"), F.lit(False).alias("done")), again, lambda x: x["groups"])
+
+    def all_permuted(groups, cards):
+        order = F.sequence(F.size(cards), one, F.lit(-1)) if undo else F.sequence(one, F.size(cards))
+        return F.when(F.size(cards) == 0, m).otherwise(F.array_join(F.aggregate(order, groups, lambda g, k: permuted(g, cards, k)), ""))
+
+    return _let(_groups(m), lambda groups: _let(_cards(groups, one, F.size(groups)), lambda cards: all_permuted(groups, cards)))
+
+
 def _ip(m: Column, key: str, undo: bool) -> Column:
     octet = lambda i: F.element_at(F.split(m, r"\."), i).cast("int")
     valid = (octet(1) < 256) & (octet(2) < 256) & (octet(3) < 256) & (octet(4) < 256) & ~m.rlike(r"(^|\.)0[0-9]")
@@ -126,11 +206,6 @@ def _ip(m: Column, key: str, undo: bool) -> Column:
     return F.when(valid, _let(new, show)).otherwise(m)
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 FIRST_DAY, DAYS, MONTHS = "1900-01-01", 73049, 2400
 LATE = DAYS - 12 * MONTHS  # dates with a day over 12; a prime, so permuted as 177 x 250 - 1
 
@@ -215,7 +290,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email").when(m.rlike(r"[A-Za-z]"), "secret").when(whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), "ip")
         .when(whole(r"[0-9]{4}[/-][0-9]{2}[/-][0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"), "date").when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), "ssn")
-        .when(whole(r"[0-9](?:[ -]?[0-9]){12,18}"), "card").otherwise("phone")
+        .when(m.rlike(r"^[0-9](?:[ -]?[0-9]){12}"), "card").otherwise("phone")
     )
 
 
@@ -228,7 +303,7 @@ def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
         F.when(kind == "email", email)
         .when(kind == "secret", _after(m, r"^(?:AKIA|[a-z_]+\s*[=:]\s*\"?)", key, "secret", undo))
         .when(kind == "ip", _ip(m, key, undo)).when(kind == "date", _date(m, key, undo)).when(kind == "ssn", _ssn(m, key, undo))
-        .when(kind == "card", _card(m, key, undo)).otherwise(_after(m, r"^(?:\+1[ .-]?)?", key, "phone", undo))
+        .when(kind == "card", _run(m, key, undo)).otherwise(_after(m, r"^(?:\+1[ .-]?)?", key, "phone", undo))
     )
 
 
@@ -242,7 +317,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool =
     """``docs`` with pseudonyms in ``text_col``, all columns as they were.
 
     ``report`` adds ``pii_found`` (candidates), ``pii_replaced`` (valid ones)
-    and ``pii_kinds`` (sorted kinds of those replaced).  ``undo`` with the
+    and ``pii_kinds`` (sorted kinds of those replaced); a run of digit groups
+    is one candidate however many cards it holds.  ``undo`` with the
     same key restores the original text.
     """
     cols = docs.columns

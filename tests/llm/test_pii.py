@@ -80,6 +80,21 @@ def test_every_day_first_date(spark):
         assert run(spark, [text])[0].text == text
 
 
+BESIDE = ["{} 12/27", "{} 123", "2 {}", "12345678 {}", "2024 {} 12/27 123", "{} 123-45-6789", "{} 2024-12-31", "{} 12/31/1999", "{} 10.0.0.1", "{} (217) 555-1105", "{} 99a", "{} " + "3" * 25]
+
+
+def test_cards_beside_other_numbers(spark):
+    cards = SAMPLES["card"] + ["3782 822463 10005", "41111 11111 111111"]
+    texts = [b.format(c) for b in BESIDE for c in cards] + [f"{a} {b}" for a in cards for b in cards] + ["12 34 56 78 90 " * 60]
+    rows = run(spark, texts, report=True)
+    for text, row in zip(texts, rows):
+        assert not any(c in row.text for c in cards) and (row.pii_replaced > 0 and "card" in row.pii_kinds or text.startswith("12 34")), (text, row.text)
+        assert re.sub("[0-9]", "9", row.text) == re.sub("[0-9]", "9", text) or "10.0.0.1" in text
+        for other in ("123-45-6789", "2024-12-31", "12/31/1999", "10.0.0.1", "555-1105"):
+            assert other not in row.text
+    assert [r.text for r in run(spark, [r.text for r in rows], undo=True)] == texts
+
+
 def test_clean_and_odd_texts(spark):
     texts = [None, "", "no data here", "version 1.2 of 2024", "@", "x" * 100000 + " 4795485071042893", "1" * 5000, "a." * 30000 + "@", "é 33.171.134.49, ü"]
     rows = run(spark, texts)
