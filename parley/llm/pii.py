@@ -3,7 +3,9 @@
 Candidates are found by one pattern, validated (Luhn digits of cards, octets
 of addresses, days of dates, ranges of social security numbers) and replaced
 by a keyed permutation within their own format, so equal values have equal
-pseudonyms in every document and only the key leads back.
+pseudonyms in every document, however cards, phones and dates are written, and
+only the key leads back.  (A card is permuted once more where its pseudonym and
+the digits beside it would make another card, see ``_run``.)
 
 Two Feistel networks are used, both of ``ROUNDS`` rounds with a SHA-2 round
 function of key, kind, round and the other half:
@@ -117,13 +119,39 @@ def luhn_sum(digits: Column, double_last: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
+def _bare(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def _with_digits(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced by ``digits`` in turn."""
+
+    def one(i):
+        place = F.length(_bare(F.substr(m, F.lit(1), i)))
+        c = F.substr(m, i, F.lit(1))
+        return F.when(c.between("0", "9"), F.substr(digits, place, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
+
+
 def _card(m: Column, key: str, undo: bool) -> Column:
-    """First digit and separators stay, the body is permuted, the check digit
-    is made anew."""
-    digits = F.regexp_replace(m, "[ -]", "")
-    body = F.concat(F.substr(m, F.lit(1), F.lit(1)), feistel_text(F.substr(m, F.lit(2), F.length(m) - 2), key, "card", undo))
-    check = F.pmod(10 - luhn_sum(F.regexp_replace(body, "[ -]", ""), True) % 10, F.lit(10))
-    return F.when(luhn_sum(digits, False) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(m)
+    """First digit and separators stay, the body's bare digits are permuted,
+    the check digit is made anew."""
+
+    def other(digits):
+        body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel_text(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card", undo))
+        checked = lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, True) % 10, F.lit(10)).cast("string"))
+        return F.when(luhn_sum(digits, False) % 10 == 0, _let(_let(body, checked), lambda new: _with_digits(m, new))).otherwise(m)
+
+    return _let(_bare(m), other)
+
+
+def _phone(m: Column, key: str, undo: bool) -> Column:
+    """The country code and separators stay, the ten bare digits are permuted."""
+    head = F.regexp_extract(m, r"^(?:\+1[ .-]?)?", 0)
+    rest = F.substr(m, F.length(head) + 1, F.length(m))
+    new = _let(_bare(rest), lambda digits: feistel_text(digits, key, "phone", undo))
+    return F.concat(head, _let(new, lambda digits: _with_digits(rest, digits)))
 
 
 #: cards as they are usually written: one group, groups of four, 4-6-5 or 4-6-4
@@ -303,7 +331,7 @@ def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
         F.when(kind == "email", email)
         .when(kind == "secret", _after(m, r"^(?:AKIA|[a-z_]+\s*[=:]\s*\"?)", key, "secret", undo))
         .when(kind == "ip", _ip(m, key, undo)).when(kind == "date", _date(m, key, undo)).when(kind == "ssn", _ssn(m, key, undo))
-        .when(kind == "card", _run(m, key, undo)).otherwise(_after(m, r"^(?:\+1[ .-]?)?", key, "phone", undo))
+        .when(kind == "card", _run(m, key, undo)).otherwise(_phone(m, key, undo))
     )
 
 

@@ -80,6 +80,28 @@ def test_every_day_first_date(spark):
         assert run(spark, [text])[0].text == text
 
 
+def test_one_value_in_several_forms(spark):
+    forms = [
+        ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "41111 11111 111111"],
+        ["(217) 555-1105", "217-555-1105", "217 555 1105", "+1 217.555.1105", "+1 (217) 555-1105"],
+        ["1999-12-27", "1999/12/27", "12/27/1999", "27/12/1999", "27.12.1999"],
+        ["2024-05-31", "31/05/2024", "05/31/2024"], ["2024-05-03", "03.05.2024", "05/03/2024"],
+    ]
+    flat = [v for vs in forms for v in vs]
+    new = dict(zip(flat, (r.text for r in run(spark, flat))))
+    bare = lambda v: re.sub(r"^\+1|[^0-9]", "", v)
+    for vs in forms[:2]:
+        assert len({bare(new[v]) for v in vs}) == 1 and bare(new[vs[0]]) != bare(vs[0])
+
+    def day(form, v):
+        parts = re.split(r"\D", v)
+        order = (0, 1, 2) if form[4] in "-/" else (2, 0, 1) if "/" in form and int(form[:2]) < 13 else (2, 1, 0)
+        return tuple(parts[i] for i in order)
+
+    for vs in forms[2:]:
+        assert {day(v, v) for v in vs} != {day(v, new[v]) for v in vs} and len({day(v, new[v]) for v in vs}) == 1
+
+
 BESIDE = ["{} 12/27", "{} 123", "2 {}", "12345678 {}", "2024 {} 12/27 123", "{} 123-45-6789", "{} 2024-12-31", "{} 12/31/1999", "{} 10.0.0.1", "{} (217) 555-1105", "{} 99a", "{} " + "3" * 25]
 
 
