@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parley.llm import decontaminate, hdlang, imatch, kneser_ney, mixing, pii, simhash, sql, substring, toxicity, trie_lm
+from parley.llm import decontaminate, hdlang, imatch, kneser_ney, line_runs, mixing, pii, simhash, sql, substring, toxicity, trie_lm
 from parley.llm.common import read
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,16 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, corpus_pipeline.pii_key(spark), report=True)
 
 
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_runs.dedup_lines(docs, min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_imatch, op2_count_min_substrings, op3_elias_fano_trie, op4_simhash_bk_trees, op5_kneser_ney,
     op6_nearest_examples, op7_entropy_balancing, op8_suffix_automaton, op9_hyperdimensional_language, op10_feistel_pseudonyms,
+    op13_line_runs,
 )} | {"pipeline": corpus_pipeline.run}
 
 

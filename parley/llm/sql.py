@@ -66,8 +66,20 @@ FROM (SELECT h.doc_id, h.source, h.size, c.whole + CASE WHEN (h.u >> 24) < c.cut
       FROM hashed h JOIN cut c ON c.source IS NOT DISTINCT FROM h.source) h
 JOIN cut c ON c.source IS NOT DISTINCT FROM h.source"""
 
+LINES = f"""
+WITH d AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM x),
+g AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+kept AS (SELECT k.doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text
+         FROM k LEFT JOIN g USING (key) WHERE g.last IS NULL OR g.last = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_lines, CAST(len(d.l) - COALESCE(kept.n, 0) AS BIGINT) AS n_dropped,
+       sha256(COALESCE(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
 ORACLE = {
     "op2_count_min_substrings": SUBSTRINGS,
     "op7_entropy_balancing": MIX,
     "op8_suffix_automaton": CONTAMINATION,
+    "op13_line_runs": LINES,
 }
