@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parley.llm import decontaminate, hdlang, imatch, kneser_ney, line_runs, mixing, pii, simhash, sql, substring, toxicity, trie_lm
+from parley.llm import decontaminate, hdlang, imatch, kneser_ney, line_runs, mixing, pii, prefix_trie, simhash, spelling, sql, substring, toxicity, trie_lm
 from parley.llm.common import read
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,15 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, corpus_pipeline.pii_key(spark), report=True)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, n_turns = prefix_trie.encode(read(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.regraft(own, every=100, most=6), n_turns)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read(spark, sf_dir, "documents"))
+
+
 def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_runs.dedup_lines(docs, min_chars=40, min_docs=5)
@@ -68,7 +77,7 @@ def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_imatch, op2_count_min_substrings, op3_elias_fano_trie, op4_simhash_bk_trees, op5_kneser_ney,
     op6_nearest_examples, op7_entropy_balancing, op8_suffix_automaton, op9_hyperdimensional_language, op10_feistel_pseudonyms,
-    op13_line_runs,
+    op11_prefix_trie, op12_spelling_variants, op13_line_runs,
 )} | {"pipeline": corpus_pipeline.run}
 
 

