@@ -12,9 +12,11 @@ block.
 
 Blocks rely on dense turns (0, 1, 2, ...).  A gap or a repeated turn is an
 error at run time, never a short frame; :func:`dense_turns` numbers such input
-first.  ``strategy="window"`` (``ROWS BETWEEN k PRECEDING`` over the whole
-conversation, one task per conversation) takes any turns and is what the tests
-compare with.
+first.  ``strategy="order"`` takes any turns, gaps and repeats: rows are range
+partitioned by (conversation, turn, id) and numbered across the partitions, and
+the blocks are cut by that number - one more exchange.  ``strategy="window"``
+(``ROWS BETWEEN k PRECEDING`` over the whole conversation, one task per
+conversation) takes any turns too and is what the tests compare with.
 """
 
 from __future__ import annotations
@@ -42,23 +44,31 @@ def over_prior(messages: DataFrame, k: int, features: dict[str, Column], ahead:
     and ``ahead`` (columns of the next message).
 
     ``features`` values are unapplied aggregate columns; ``ahead`` values are
-    columns of the next row.
+    columns of the next row.  Equal turns are in ``id`` order where there is an
+    ``id``.  With ``strategy="order"`` the result has ``position``, the number
+    of messages before a row.
     """
     ahead = ahead or {}
+    by = ["turn", "id"] if "id" in messages.columns else ["turn"]
     if strategy == "window":
-        w = W.partitionBy("conversation_id").orderBy("turn")
+        w = W.partitionBy("conversation_id").orderBy(*by)
         return messages.select("*", *[f.over(w.rowsBetween(-k, -1)).alias(n) for n, f in features.items()],
                                *[F.lead(c).over(w).alias(n) for n, c in ahead.items()])
     if not 0 < k < BLOCK:
         raise ValueError(f"frames of 1 to {BLOCK - 1} messages")
-    cols, turn = messages.columns, F.col("turn")
+    if strategy == "order":
+        messages = number_rows(messages, ["conversation_id"], [F.col(c) for c in by], "position")
+        by = ["position"]
+    else:
+        by = ["turn"]
+    cols, turn = messages.columns, F.col(by[0])
     block, place = F.floor(turn / BLOCK), F.pmod(turn, F.lit(BLOCK))
     copy = lambda shift: F.struct((block + shift).alias("block"), F.lit(shift).alias("shift"))
     into = F.array_compact(F.array(copy(0), F.when(place >= BLOCK - k, copy(1)),
                                    F.when((place == 0) & (block > 0), copy(-1)) if ahead else F.lit(None)))
     rows = messages.select("*", F.explode(into).alias("_at")).select(*cols, "_at.block", "_at.shift")
-    w = W.partitionBy("conversation_id", "block").orderBy("turn")
-    before = F.lag("turn").over(w)
+    w = W.partitionBy("conversation_id", "block").orderBy(*by)
+    before = F.lag(turn).over(w)
     dense = F.when(turn == 0, before.isNull()).otherwise(F.coalesce(before == turn - 1, F.lit(False)))
     rows = rows.select("*", dense.alias("_dense"), *[f.over(w.rowsBetween(-k, -1)).alias(n) for n, f in features.items()],
                        *[F.lead(c).over(w).alias(n) for n, c in ahead.items()])
@@ -73,12 +83,18 @@ def frustration_features(rules: RuleSet = DEFAULT_RULES) -> dict[str, Column]:
     return {"n_prior": F.count("_f"), "n_frustrated": F.sum("_f")}
 
 
+def _row_key(messages: DataFrame, strategy: str) -> list[str]:
+    """What names a row where turns can repeat."""
+    return [*KEY, "id"] if strategy == "order" and "id" in messages.columns else KEY
+
+
 def frustration(messages: DataFrame, rules: RuleSet = DEFAULT_RULES, strategy: str = "block") -> DataFrame:
     """W1 inputs per (conversation_id, turn): ``n_prior`` messages in the
     frame and ``n_frustrated`` frustrated user messages among them."""
-    f = over_prior(messages.select(*KEY, frustrated_flag(rules).alias("_f")), rules.frustration_frame,
+    key = _row_key(messages, strategy)
+    f = over_prior(messages.select(*key, frustrated_flag(rules).alias("_f")), rules.frustration_frame,
                    frustration_features(rules), strategy=strategy)
-    return f.select(*KEY, "n_prior", F.coalesce("n_frustrated", F.lit(0)).cast("long").alias("n_frustrated"))
+    return f.select(*key, "n_prior", F.coalesce("n_frustrated", F.lit(0)).cast("long").alias("n_frustrated"))
 
 
 def is_repeated_frustration(n_prior: Column, n_frustrated: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -99,8 +115,9 @@ def recent_context(messages: DataFrame, k: int, content: Column, role: Column |
 def model_context(messages: DataFrame, strategy: str = "block") -> DataFrame:
     """Last 6 prior messages for a model call; roles user / model."""
     role = F.when(F.col("role") == "user", "user").otherwise("model")
-    m = messages.select(*KEY, "role", "content")
-    return recent_context(m, MODEL_CONTEXT_FRAME, F.col("content"), role, strategy).select(*KEY, "context")
+    key = _row_key(messages, strategy)
+    m = messages.select(*key, "role", "content")
+    return recent_context(m, MODEL_CONTEXT_FRAME, F.col("content"), role, strategy).select(*key, "context")
 
 
 def handoff_summary(messages: DataFrame, query: Column, reason: Column | None = None,
@@ -111,11 +128,11 @@ def handoff_summary(messages: DataFrame, query: Column, reason: Column | None =
     ctx = recent_context(messages, HANDOFF_FRAME, left(F.col("content"), 200), None, strategy)
     ctx = ctx.where(F.col("role") == "user").withColumn("student_query", query).where(F.length("student_query") > 0)
     return ctx.select(
-        *KEY,
+        *_row_key(messages, strategy),
         (reason if reason is not None else F.lit(None).cast("string")).alias("escalation_reason"),
         "student_query",
         # Dense turns, checked above, count the messages before this one
-        F.col("turn").cast("long").alias("conversation_length"),
+        F.col("position" if strategy == "order" else "turn").cast("long").alias("conversation_length"),
         F.col("context").alias("recent_messages"),
     )
 

@@ -74,8 +74,9 @@ def registration(requests: DataFrame, existing: DataFrame, min_password: int = 6
         "request_id", "copy",
         strip_ws(F.col("username")).alias("username"), strip_ws(F.col("password")).alias("password"),
         strip_ws(F.col("display_name")).alias("display_name"), strip_ws(F.col("email")).alias("email"))
-    missing = (F.length("username") == 0) | (F.length("password") == 0) | (F.length("display_name") == 0)
-    short = F.length("password") < min_password
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))  # noqa: E731  (a missing field counts as blank)
+    missing = (size("username") == 0) | (size("password") == 0) | (size("display_name") == 0)
+    short = size("password") < min_password
     r = r.withColumn("status0", F.when(missing, "missing_fields").when(short, "short_password"))
     ex = existing.select(F.col("username").alias("_u")).distinct()
     valid = r.where(F.col("status0").isNull())

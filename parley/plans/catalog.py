@@ -38,6 +38,7 @@ def _load():
     from parley.plans import queries_messages  # noqa: F401
     from parley.plans import queries_misc  # noqa: F401
     from parley.plans import queries_streaming  # noqa: F401
+    from parley.plans import queries_stored  # noqa: F401
     from parley.plans import sql_pipeline  # noqa: F401
 
 

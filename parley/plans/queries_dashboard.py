@@ -10,7 +10,7 @@ from parley.plans.catalog import query
 from parley.plans.sql import with_views
 
 
-def _inputs(t):
+def dashboard_inputs(t):
     return t.events, t.escalations, t.violations, t.tickets, t.users
 
 
@@ -34,7 +34,7 @@ _SRC = ("ev", "esc", "viol", "tkt", "usr")
            resolved_t AS resolved_tickets FROM base""", *_SRC, extra=[_BASE]))
 def dash_totals(t):
     """A1, A2, A5-A8 and the two raw inputs of A3/A4, in one aggregate."""
-    return D.totals(*_inputs(t))
+    return D.totals(*dashboard_inputs(t))
 
 
 @query("dash_snapshot", with_views(f"""
@@ -45,7 +45,7 @@ def dash_totals(t):
     FROM rated""", *_SRC, extra=[_BASE, _RATED]))
 def dash_snapshot(t):
     """A13 scalars (A1-A8 with A3 rate, A4 mean, A12 satisfaction)."""
-    return D.snapshot_scalars(*_inputs(t))
+    return D.snapshot_scalars(*dashboard_inputs(t))
 
 
 @query("dash_rate_score", with_views(f"""
@@ -53,7 +53,7 @@ def dash_snapshot(t):
                                      *_SRC, extra=[_BASE, _RATED]))
 def dash_rate_score(t):
     """A3 + A12."""
-    return D.snapshot_scalars(*_inputs(t)).select("escalation_rate", "satisfaction_score", "total_queries")
+    return D.snapshot_scalars(*dashboard_inputs(t)).select("escalation_rate", "satisfaction_score", "total_queries")
 
 
 _QBA = ("qba", """
@@ -180,7 +180,7 @@ _TS = "strftime(created_at, '%Y-%m-%d %H:%M:%S.%g')"
                                       *_SRC, extra=[_BASE, _RATED, _QBA]))
 def dashboard_record(t):
     """All 13 keys of the dashboard (one row per scalar or list item)."""
-    return D.record_rows(D.dashboard_record(*_inputs(t)))
+    return D.record_rows(D.dashboard_record(*dashboard_inputs(t)))
 
 
 @query("tickets_visible", with_views("""

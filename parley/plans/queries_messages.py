@@ -284,11 +284,59 @@ def message_recency(t):
 
 
 @query("dense_turns", with_views("""
-    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) - 1 AS turn
-    FROM msg WHERE turn % 3 != 1""", "msg"))
+    SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY turn * 2 + turn // 3, id) - 1 AS turn
+    FROM msg""", "msg"))
 def dense_turns(t):
-    """W4 over gaps: conversations that lost messages, numbered densely."""
-    return C.dense_turns(t.messages.where(F.col("turn") % 3 != 1)).select("id", "conversation_id", "turn")
+    """W4 over gaps: turns with holes (0, 2, 4, 7, ...), numbered densely."""
+    gapped = t.messages.withColumn("turn", F.col("turn") * 2 + F.floor(F.col("turn") / 3))
+    return C.dense_turns(gapped).select("id", "conversation_id", "turn")
+
+
+#: turns with gaps and repeats: 0, 0, 3, 3, 6, ... (equal turns in id order)
+_GAPPED = ("gapped", """
+    SELECT * REPLACE (turn // 2 * 3 AS turn), row_number() OVER (PARTITION BY conversation_id ORDER BY turn // 2 * 3, id) - 1 AS n
+    FROM chat_msg""")
+
+
+def _gapped(t):
+    return t.chat_messages.withColumn("turn", F.floor(F.col("turn") / 2) * 3)
+
+
+@query("frustration_window_gaps", with_views(f"""
+    SELECT conversation_id, turn, id, count(*) OVER w AS n_prior,
+           COALESCE(CAST(sum(CASE WHEN role = 'user' AND {SR.contains_any('lower(content)', R.frustration_words)} THEN 1 ELSE 0 END) OVER w AS BIGINT), 0) AS n_frustrated
+    FROM gapped WINDOW w AS (PARTITION BY conversation_id ORDER BY n ROWS BETWEEN {R.frustration_frame} PRECEDING AND 1 PRECEDING)""",
+                                           "chat_msg", extra=[_GAPPED]))
+def frustration_window_gaps(t):
+    """W1 over turns with gaps and repeats, a hot conversation spread over tasks."""
+    return C.frustration(_gapped(t), strategy="order")
+
+
+@query("model_context_gaps", with_views("""
+    SELECT m.conversation_id, m.turn, m.id, p.n - greatest(m.n - 6, 0) AS pos,
+           CASE WHEN p.role = 'user' THEN 'user' ELSE 'model' END AS role, p.content
+    FROM gapped m JOIN gapped p ON p.conversation_id = m.conversation_id AND p.n BETWEEN m.n - 6 AND m.n - 1""",
+                                      "chat_msg", extra=[_GAPPED]))
+def model_context_gaps(t):
+    """W2 over turns with gaps and repeats."""
+    c = C.model_context(_gapped(t), strategy="order")
+    return c.select("conversation_id", "turn", "id", F.posexplode("context").alias("pos", "item")).select(
+        "conversation_id", "turn", "id", F.col("pos").cast("long").alias("pos"), "item.role", "item.content")
+
+
+@query("handoff_summary_gaps", with_views(f"""
+    SELECT g.conversation_id, g.turn, g.id, g.n AS conversation_length, p.n - greatest(g.n - 5, 0) AS pos, p.role,
+           substring(p.content, 1, 200) AS content
+    FROM (SELECT * FROM gapped WHERE role = 'user' AND length({SR.strip('content')}) > 0) g
+    LEFT JOIN gapped p ON p.conversation_id = g.conversation_id AND p.n BETWEEN g.n - 5 AND g.n - 1""",
+                                        "chat_msg", extra=[_GAPPED]))
+def handoff_summary_gaps(t):
+    """E3 / W3 / A17 over turns with gaps and repeats."""
+    m = _gapped(t).select(*C.KEY, "id", "role", "content")
+    h = C.handoff_summary(m, strip_ws(F.col("content")), strategy="order")
+    return h.select("conversation_id", "turn", "id", "conversation_length",
+                    F.posexplode_outer("recent_messages").alias("pos", "item")).select(
+        "conversation_id", "turn", "id", "conversation_length", F.col("pos").cast("long").alias("pos"), "item.role", "item.content")
 
 
 @query("escalation_decision", with_views(

@@ -12,9 +12,10 @@ from parley.functions.text import intent_weight
 from parley.operators import quality as Q
 from parley.operators.latency import request_latency
 from parley.operators.routing import agent_label
+from parley.operators.rule_join import label_by_rules
 from parley.plans import dashboard as D
 from parley.plans import sql_rules as SR
-from parley.plans.catalog import query
+from parley.plans.catalog import ORACLE, query
 from parley.plans.sql import lit, with_views
 from parley.sources import driver
 
@@ -177,7 +178,7 @@ def fk_orphans(t):
     FROM r LEFT JOIN f ON f.fu = r.username""", "reg_req", "reg_existing", extra=[
     ("r0", f"""SELECT request_id, copy, {SR.strip('username')} AS username, {SR.strip('password')} AS password,
                       {SR.strip('display_name')} AS display_name FROM reg_req"""),
-    ("r", """SELECT *, CASE WHEN length(username) = 0 OR length(password) = 0 OR length(display_name) = 0
+    ("r", """SELECT *, CASE WHEN COALESCE(username, '') = '' OR COALESCE(password, '') = '' OR COALESCE(display_name, '') = ''
                             THEN 'missing_fields' WHEN length(password) < 6 THEN 'short_password' END AS status0
              FROM r0"""),
     ("f", """SELECT username AS fu, arg_min(request_id, (request_id, copy)) AS first_req,
@@ -306,6 +307,16 @@ def keyword_rule_join(t):
     return t.user_queries.select("id", F.array_max(F.array(*scored, none))["label"].alias("intent"))
 
 
+@query("keyword_rule_table", ORACLE["keyword_rule_join"])
+def keyword_rule_table(t):
+    """J9 with the rules as a table: candidates by each keyword's rarest gram,
+    then verification; the same intents as I1."""
+    rules = [(i * 1000 + j, kw, label, intent_weight(kw), i) for i, (label, kws) in enumerate(R.intent_keywords) for j, kw in enumerate(kws)]
+    table = t.spark.createDataFrame(rules, "rule_id long, keyword string, label string, weight int, place int")
+    found = label_by_rules(t.user_queries.select("id", F.col("_t").alias("text")), table, "course")
+    return found.select("id", F.col("label").alias("intent"))
+
+
 @query("request_latency", with_views("""
     SELECT s.request_id, b.at AS started_at, s.at AS stopped_at, epoch_ms(s.at) - epoch_ms(b.at) AS elapsed_ms
     FROM (SELECT * FROM marks WHERE mark = 'stop') s

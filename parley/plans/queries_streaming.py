@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from parley.functions import replies
 from parley.functions.rules import AGENT_FOR_INTENT, DEFAULT_RULES as R
+from parley.plans import dashboard as D
+from parley.plans import queries_dashboard as QD
 from parley.plans import sql_pipeline as SP
 from parley.plans import sql_rules as SR
-from parley.plans.catalog import query
+from parley.plans.catalog import ORACLE, query
 from parley.plans.sql import lit, with_views
 from parley.sources import driver
+from parley.streaming import bounded as B
 from parley.streaming import core as S
 
 
@@ -89,3 +92,76 @@ for _name, _columns in [("decisions", "* EXCLUDE (response_time_ms)"), ("events"
 def stream_dedup(t):
     """ST6: redelivered messages dropped, no message lost."""
     return S.dedup(driver.with_redelivery(_messages(t)), S.new_base(t.spark, "dedup"))
+
+
+# -- bounded state: the same tables delivered in time order, run by run --------------------------
+
+@query("stream_latency_join", ORACLE["stream_latency"])
+def stream_latency_join(t):
+    """ST4 as a stream-stream outer join with watermarks.  The marks come in
+    three runs; then a later mark of each kind comes twice, which moves the
+    watermark past the stops that have no start (it holds for the next batch)."""
+    marks = driver.request_marks(t.spark, t.sf_dir)
+    base = S.new_base(t.spark, "latency-join")
+    later = lambda days: marks.agg((F.max("at") + F.expr(f"INTERVAL {days} DAY")).alias("at")).select(
+        F.inline(F.array(F.struct(F.lit(-1).cast("long").alias("request_id"), F.lit("start").alias("mark")), F.struct(F.lit(-2).cast("long").alias("request_id"), F.lit("stop").alias("mark")))), "at")
+    for deliver in B.feed(marks, f"{base}/marks", "at", 3, [later(1), later(2)]):
+        deliver()
+        start, stop = (B.read_folder(t.spark, f"{base}/marks", marks).where(F.col("mark") == m) for m in ("start", "stop"))
+        out = S.run_to_table(B.latency_join(start, stop), "latency", base)
+    return out.where("request_id >= 0")
+
+
+@query("stream_dedup_bounded", with_views("SELECT * FROM chat_msg", "chat_msg"))
+def stream_dedup_bounded(t):
+    """ST6 within the watermark: every third message comes again half an hour
+    later, in the same run or the next."""
+    m = t.chat_messages
+    copies = F.when(F.pmod("id", F.lit(3)) == 0, F.array(F.lit(0), F.lit(30))).otherwise(F.array(F.lit(0)))
+    sent = m.select("*", F.explode(copies).alias("late")).withColumn("sent_at", F.col("created_at") + F.make_dt_interval(mins=F.col("late"))).drop("late")
+    base = S.new_base(t.spark, "dedup-bounded")
+    for deliver in B.feed(sent, f"{base}/messages", "sent_at", 3):
+        deliver()
+        out = S.run_to_table(B.dedup_within(B.read_folder(t.spark, f"{base}/messages", sent)), "dedup", base)
+    return out.drop("sent_at")
+
+
+@query("stream_frustration_state", ORACLE["stream_frustration"])
+def stream_frustration_state(t):
+    """ST2 as keyed state: W1 of messages that come in time order in three runs."""
+    m = t.chat_messages
+    base = S.new_base(t.spark, "frustration-state")
+    for deliver in B.feed(m, f"{base}/messages", "created_at", 3):
+        deliver()
+        out = S.run_to_table(B.keyed_frustration(B.read_folder(t.spark, f"{base}/messages", m)), "frustration", base)
+    return out.select("conversation_id", "turn", "n_prior", "n_frustrated",
+                      ((F.col("n_prior") >= R.frustration_frame) & (F.col("n_frustrated") >= R.frustration_min))
+                      .alias("repeated_frustration"))
+
+
+@query("stream_dashboard", ORACLE["dashboard_record"])
+def stream_dashboard(t):
+    """ST3 / A13: the 13-key record, folded from the partial aggregates of the
+    micro-batches of five tables' new rows."""
+    inputs = dict(zip(("event", "escalation", "violation", "ticket", "user"), QD.dashboard_inputs(t)))
+    rows = None
+    for name, df in inputs.items():
+        part = df.select(F.lit(name).alias("source"), F.col("created_at").alias("at"), F.struct("*").alias(name))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    base = S.new_base(t.spark, "dashboard")
+    split = lambda batch: [batch.where(F.col("source") == n).select(f"{n}.*") for n in inputs]
+    for deliver in B.feed(rows, f"{base}/changes", "at", 3):
+        deliver()
+        S.run_batches(B.read_folder(t.spark, f"{base}/changes", rows), B.live_dashboard(base, split), base)
+    return D.record_rows(B.live_record(t.spark, base))
+
+
+@query("stream_events_by_day", with_views("SELECT *, CAST(created_at AS DATE) AS event_date FROM ev", "ev"))
+def stream_events_by_day(t):
+    """S3: the exactly-once file sink by day, restarted for every delivery."""
+    ev = t.events
+    base = S.new_base(t.spark, "events-by-day")
+    for deliver in B.feed(ev, f"{base}/events", "created_at", 2):
+        deliver()
+        out = B.events_by_day(B.read_folder(t.spark, f"{base}/events", ev), base)
+    return out

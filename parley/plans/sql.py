@@ -139,14 +139,11 @@ VIEWS["marks"] = """
         UNION ALL
         SELECT event_id, 'stop', ts + to_milliseconds(CAST(trunc(value * 10) AS BIGINT)) FROM events
         WHERE event_id % 10 != 0"""
-VIEWS["reg_req"] = """
-        SELECT c_custkey AS request_id, '  ' || c_name || ' ' AS username, repeat('x', 3 + c_custkey % 6) AS password,
-               CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS display_name, '' AS email, 0 AS copy
-        FROM customer
-        UNION ALL
-        SELECT c_custkey, '  ' || c_name || ' ', repeat('x', 3 + c_custkey % 6),
-               CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END, '', 1
-        FROM customer WHERE c_custkey % 7 = 0"""
+_REG = """
+        SELECT c_custkey AS request_id, '  ' || c_name || ' ' AS username,
+               CASE WHEN c_custkey % 17 != 0 THEN repeat('x', 3 + c_custkey % 6) END AS password,
+               CASE WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 13 != 0 THEN c_name END AS display_name, '' AS email"""
+VIEWS["reg_req"] = f"{_REG}, 0 AS copy FROM customer UNION ALL {_REG}, 1 AS copy FROM customer WHERE c_custkey % 7 = 0"
 VIEWS["logins"] = """
         SELECT c_custkey AS request_id, CASE WHEN c_custkey % 5 = 0 THEN c_name || '?' ELSE c_name END AS username
         FROM customer"""

@@ -321,8 +321,8 @@ def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = c.select(
         k.alias("request_id"),
         F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")).alias("username"),
-        F.repeat(F.lit("x"), (F.lit(3) + F.pmod(k, F.lit(6))).cast("int")).alias("password"),
-        F.when(F.pmod(k, F.lit(11)) == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("display_name"),
+        F.when(F.pmod(k, F.lit(17)) != 0, F.repeat(F.lit("x"), (F.lit(3) + F.pmod(k, F.lit(6))).cast("int"))).alias("password"),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.lit(" ")).when(F.pmod(k, F.lit(13)) != 0, F.col("c_name")).alias("display_name"),
         F.lit("").alias("email"),
         F.lit(0).alias("copy"),
     )

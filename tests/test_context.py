@@ -105,3 +105,25 @@ def test_message_turns_range_equals_window_on_hot_conversation(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert b.where("conversation_id = 0").agg(F.max("turn")).collect()[0][0] == \
         hot.where("conversation_id = 0").count() - 1
+
+
+def test_any_turns_by_order(spark):
+    """W1-W3 with gaps, repeats and a hot conversation equal the plain windows."""
+    import random
+    rnd = random.Random(8)
+    rows = [(i, 1 if i % 3 else rnd.randrange(2, 30), rnd.randrange(0, 900, 3), rnd.choice(["user", "assistant"]),
+             rnd.choice(["I am frustrated", "hello", "this is useless"])) for i in range(3000)]
+    rnd.shuffle(rows)
+    m = spark.createDataFrame(rows, "id long, conversation_id long, turn long, role string, content string").repartition(5)
+    key = ["conversation_id", "turn", "id"]
+    same = lambda a, b: a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    item = F.col("content")
+    for k in (1, 4, 6):
+        got = C.recent_context(m, k, item, None, "order")
+        want = C.recent_context(m, k, item, None, "window")
+        assert same(got.select(*key, "context"), want.select(*key, "context"))
+    f = C.frustration(m, strategy="order")
+    flags = C.over_prior(m.select(*key, C.frustrated_flag().alias("_f")), 4, C.frustration_features(), strategy="window")
+    assert same(f, flags.select(*key, "n_prior", F.coalesce("n_frustrated", F.lit(0)).alias("n_frustrated")))
+    h = C.handoff_summary(m, F.col("content"), strategy="order").where("conversation_id = 1")
+    assert h.agg(F.max("conversation_length")).first()[0] >= h.count() - 1
