@@ -2,21 +2,27 @@
 
 1. *Examples*: at most ``max_examples`` labelled documents of each class, the
    first by a hash of the id (a bounded, documented sample).
-2. *Terms*: the ``max_terms`` terms that tell the classes of the examples apart
-   best (chi-square of document counts).  Their inverse document frequencies
-   count all documents.
+2. *Terms*: all terms of the examples whose use differs between the classes
+   beyond chance: chi-square of document counts, at the level ``error`` for all
+   terms of the examples together (Bonferroni).  There is no cap on their number
+   or length.  Their inverse document frequencies count all documents.
 3. *Index*: an inverted index of the examples' unit TF-IDF vectors, in blocks
-   of ``BLOCK`` examples; for every term and block the largest weight.
-4. *Search*: for a query the block bounds ``sum(q_t * max_t)`` are computed
-   first; blocks are scored in falling order of the bound, until the k-th best
-   cosine is not below the next bound.  The k nearest are exact.
+   of ``BLOCK`` examples; for every term and block the largest weight.  Examples
+   are ordered by their heaviest term, so that a block holds like ones.
+4. *Search*: for many documents at a time, the block bounds
+   ``sum(q_t * max_t)`` are computed first; blocks are scored in falling order
+   of the bound, until the k-th best cosine is not below the next bound.  The k
+   nearest are exact (cosines to nine digits, ties to the smaller example id).
 5. *Vote*: neighbours vote with their cosine, weighted by how much the sample
    thinned their class, smoothed by the share of toxic labels; isotonic
    regression over the examples' own leave-one-out votes turns votes into
    calibrated scores.  The nearest neighbours are returned as evidence.
 
-The index is bounded by its parameters (``2 * max_examples`` rows over
-``max_terms`` terms) and is broadcast; every document is scored in whole.
+Why not all terms: with every term of the documents in product and norm, the
+neighbours are those of the same language and topic (measured in README).
+
+The index is bounded by the sample (``2 * max_examples`` rows) and is broadcast;
+every document is scored in whole.
 
 Defined results: null, empty and term-less texts get the score of no
 neighbours; without labels of both classes every score is the share of toxic
@@ -28,6 +34,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -40,8 +47,8 @@ from parley.llm.common import arrow_map, crc_mod, materialize, text_bytes
 from parley.llm.decontaminate import item_words
 
 BLOCK = 64
-#: longer words are never terms (they bound what the driver gathers)
-MAX_TERM_BYTES = 256
+#: cosines are compared as whole numbers of this
+DIGITS = 10**9
 
 
 def sample_examples(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_examples: int) -> tuple[DataFrame, dict[int, int]]:
@@ -57,31 +64,41 @@ def sample_examples(docs: DataFrame, labels: DataFrame, folds: int, held_out: in
     return materialize(examples), sizes
 
 
-def choose_terms(examples: DataFrame, max_terms: int) -> list[bytes]:
-    """The terms with the largest chi-square, at least two examples each."""
+def critical_value(error: float) -> float:
+    """The chi-square (one degree of freedom) exceeded with probability ``error``."""
+    lo, hi = 0.0, 2000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if math.erfc(math.sqrt(mid / 2)) > error else (lo, mid)
+    return hi
+
+
+def choose_terms(examples: DataFrame, error: float) -> list[bytes]:
+    """The terms whose document counts differ between the classes, with a chance
+    of ``error`` that any of the examples' terms is chosen by accident."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[bytes, list[int]] = {}
         for toxic, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
             for w in set(item_words(t)):
                 seen.setdefault(w, [0, 0])[toxic] += 1
-        words = [w for w in seen if len(w) <= MAX_TERM_BYTES]
-        counts = [[seen[w][c] for w in words] for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=["w", "n0", "n1"])
+        counts = [[n[c] for n in seen.values()] for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=["w", "n0", "n1"])
 
     size = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     s0, s1 = float(size.get(0, 0)), float(size.get(1, 0))
     counts = arrow_map(examples.select("toxic", "text"), run, "w binary, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = materialize(counts)
     n0, n1 = F.col("n0"), F.col("n1")
     below = (n0 + n1) * (s0 + s1 - n0 - n1) * s0 * s1
     chi = F.try_divide((s0 + s1) * F.pow(n1 * (s0 - n0) - n0 * (s1 - n1), 2), below)
-    best = counts.where((n0 + n1 > 1) & (below > 0)).orderBy(chi.desc(), "w").limit(max_terms)
-    return sorted(bytes(r["w"]) for r in best.select("w").collect())
+    least = critical_value(error / max(counts.count(), 1))
+    return sorted(bytes(r["w"]) for r in counts.where((below > 0) & (chi > least)).select("w").collect())
 
 
 def example_vectors(examples: DataFrame, terms: dict[bytes, int]) -> list[tuple]:
     """(doc_id, toxic, term ids, counts) of the examples, by doc_id: at most
-    2 * max_examples rows of at most max_terms entries."""
+    2 * max_examples rows."""
     kind = examples.schema["doc_id"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -124,60 +141,88 @@ def weigh(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
     return (ids, w / norm) if norm > 0 else (ids[:0], w[:0])
 
 
+def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (count[i] of them), one after another."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
 class BlockMaxIndex:
-    """Exact top-k cosine over examples, by block-max bounds."""
+    """Exact top-k cosine over examples for many queries, by block-max bounds."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], m: int):
         self.n, self.m = len(vectors), m
         self.blocks = max(1, -(-self.n // BLOCK))
-        lengths = [len(v[0]) for v in vectors]
-        example = np.repeat(np.arange(self.n), lengths)
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        cell = term[order] * self.blocks + self.example // BLOCK  # (term, block)
+        heaviest = [int(ids[np.argmax(w)]) if len(ids) else m for ids, w in vectors]
+        self.order = np.array(sorted(range(self.n), key=lambda e: (heaviest[e], e)), np.int64)  # example at a position
+        held = [vectors[e] for e in self.order]
+        position = np.repeat(np.arange(self.n), [len(v[0]) for v in held])
+        term = np.concatenate([v[0] for v in held]).astype(np.int64) if held else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in held]) if held else np.zeros(0)
+        by = np.lexsort((position, term))
+        position, term, weight = position[by], term[by], weight[by]
+        self.place, self.weight = position % BLOCK, weight
+        cell = term * self.blocks + position // BLOCK  # (term, block)
         self.start = np.searchsorted(cell, np.arange(m * self.blocks + 1))
-        self.top = np.zeros(m * self.blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(m, self.blocks)
-
-    def _score(self, ids, weights, which) -> np.ndarray:
-        """Cosines of the examples of the blocks ``which`` (others stay 0)."""
-        cells = (ids[:, None] * self.blocks + which[None, :]).ravel()
-        lo, n = self.start[cells], self.start[cells + 1] - self.start[cells]
-        total = int(n.sum())
-        at = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        q = np.repeat(np.repeat(weights, len(which)), n)
-        return np.bincount(self.example[at], self.weight[at] * q, self.n)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a cosine above 0."""
-        if not len(ids) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.top[ids]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        cos = np.zeros(self.n)
-        done, step = 0, 4
-        while done < len(order):
-            cos += self._score(ids, weights, order[done:done + step])
-            done += step
-            if skip >= 0:
-                cos[skip] = 0.0
-            kth = np.partition(cos, -k)[-k] if self.n > k else 0.0
-            if done < len(order) and kth > bound[order[done]] + 1e-12:
-                break  # no later block can hold one of the k
-            step *= 2
-        best = np.lexsort((np.arange(self.n), -cos))[:k] if self.n < 4 * k else _top(cos, k)
-        best = best[cos[best] > 0]
-        return best, np.minimum(cos[best], 1.0)
-
-
-def _top(cos: np.ndarray, k: int) -> np.ndarray:
-    kth = np.partition(cos, -k)[-k]
-    at = np.flatnonzero(cos >= max(kth, 1e-300))
-    return at[np.lexsort((at, -cos[at]))][:k]
+        # the blocks that hold a term, and its largest weight there
+        held_cells, first = np.unique(cell, return_index=True)
+        self.block = held_cells % self.blocks
+        self.top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.term_start = np.searchsorted(held_cells // self.blocks, np.arange(m + 1))
+
+    def nearest(self, ptr: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines), one row of k per query, best first; -1 and 0 pad.
+
+        Query q has the terms ``ids[ptr[q]:ptr[q + 1]]``; ``skip[q]`` is an example
+        that is not one of its neighbours.
+        """
+        queries = len(ptr) - 1
+        best = np.full((queries, k), -1, np.int64)
+        if not self.n or not queries:
+            return best, np.zeros((queries, k))
+        n_blocks = self.term_start[ids + 1] - self.term_start[ids]
+        at = _expand(self.term_start[ids], n_blocks)
+        query = np.repeat(np.repeat(np.arange(queries), np.diff(ptr)), n_blocks)
+        bound = np.bincount(query * self.blocks + self.block[at], self.top[at] * np.repeat(weights, n_blocks), queries * self.blocks)
+        bound = bound.reshape(queries, self.blocks)
+        falling = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, falling, 1)
+        limit = np.where(bound > 0, np.ceil(bound * DIGITS) + 1, -1).astype(np.int64)
+        # the example of a key: larger keys are nearer, then smaller examples
+        rank = self.n - 1 - self.order
+        done, step, left = 0, 4, np.flatnonzero(limit[:, 0] > 0)
+        while len(left):
+            wide = min(step, self.blocks - done)
+            kth = best[left].min(axis=1) // self.n
+            row, slot = np.nonzero((limit[left, done:done + wide] > 0) & (limit[left, done:done + wide] >= kth[:, None]))
+            q, block = left[row], falling[left[row], done + slot]
+            score = self._score(ptr, ids, weights, q, block)
+            where = block[:, None] * BLOCK + np.arange(BLOCK)
+            inside = np.minimum(where, self.n - 1)
+            key = np.rint(score * DIGITS).astype(np.int64) * self.n + rank[inside]
+            key[(score <= 0) | (where >= self.n)] = -1
+            if skip is not None:
+                key[self.order[inside] == skip[q][:, None]] = -1
+            found = np.full((len(left), wide * BLOCK), -1, np.int64)
+            found[row[:, None], slot[:, None] * BLOCK + np.arange(BLOCK)] = key
+            best[left] = np.partition(np.concatenate((best[left], found), axis=1), -k, axis=1)[:, -k:]
+            done, step = done + wide, min(step * 2, 32)
+            if done >= self.blocks:
+                break
+            kth = best[left].min(axis=1) // self.n
+            left = left[(limit[left, done] > 0) & (limit[left, done] >= kth)]
+        best = -np.sort(-best, axis=1)
+        cos = np.where(best >= 0, np.minimum(best // self.n / DIGITS, 1.0), 0.0)
+        return np.where(best >= 0, self.n - 1 - best % self.n, -1), cos
+
+    def _score(self, ptr, ids, weights, q, block) -> np.ndarray:
+        """The cosines of each query of ``q`` with the examples of its block."""
+        terms = ptr[q + 1] - ptr[q]
+        pair, at = np.repeat(np.arange(len(q)), terms), _expand(ptr[q], terms)
+        cell = ids[at] * self.blocks + block[pair]
+        n = self.start[cell + 1] - self.start[cell]
+        posting = _expand(self.start[cell], n)
+        score = np.bincount(np.repeat(pair, n) * BLOCK + self.place[posting], self.weight[posting] * np.repeat(weights[at], n), len(q) * BLOCK)
+        return score.reshape(len(q), BLOCK)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,30 +258,40 @@ class Scorer:
         self.index = BlockMaxIndex(vectors, len(terms))
         self.knots = None
         if self.ids and 0 < n1 and 0 < n0:
-            votes = np.array([self.vote(*self.index.nearest(i, w, k, skip=e)) for e, (i, w) in enumerate(vectors)])
+            votes = self._votes(*self._nearest(vectors, np.arange(len(vectors))))
             self.knots = isotonic(votes, self.toxic, self.class_weight)
 
-    def vote(self, best: np.ndarray, cos: np.ndarray) -> float:
-        w = cos * self.class_weight[best]
-        return float(((w * self.toxic[best]).sum() + self.smooth * self.prior) / (w.sum() + self.smooth))
-
-    def score(self, text: bytes | None) -> tuple[float, list[tuple]]:
-        """The calibrated score and the evidence (example id, cosine, label)."""
-        if self.knots is None:
-            return self.prior, []
-        counts = np.unique(_term_ids(text, self.terms), return_counts=True)
-        best, cos = self.index.nearest(*weigh(*counts, self.idf), self.k)
-        score = float(np.interp(self.vote(best, cos), *self.knots))
-        return min(1.0, max(0.0, score)), [(self.ids[b], float(c), int(self.toxic[b])) for b, c in zip(best[:3], cos[:3])]
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, k: int = 15, max_examples: int = 3000, max_terms: int = 512) -> DataFrame:
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: np.ndarray | None = None, chunk: int = 256):
+        found = []
+        for a in range(0, len(vectors), chunk):
+            part = vectors[a:a + chunk]
+            ptr = np.concatenate(([0], np.cumsum([len(v[0]) for v in part])))
+            ids, weights = (np.concatenate([v[i] for v in part]) for i in (0, 1))
+            found.append(self.index.nearest(ptr, ids.astype(np.int64), weights, self.k, None if skip is None else skip[a:a + chunk]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _votes(self, best: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        w = np.where(best >= 0, cos * self.class_weight[best], 0.0)
+        return ((w * self.toxic[best]).sum(axis=1) + self.smooth * self.prior) / (w.sum(axis=1) + self.smooth)
+
+    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple]]]:
+        """Calibrated scores and the evidence (example id, cosine, label)."""
+        if self.knots is None or not texts:
+            return np.full(len(texts), self.prior), [[] for _ in texts]
+        vectors = [weigh(*np.unique(_term_ids(t, self.terms), return_counts=True), self.idf) for t in texts]
+        best, cos = self._nearest(vectors)
+        scores = np.clip(np.interp(self._votes(best, cos), *self.knots), 0.0, 1.0)
+        shown = [[(self.ids[b], c, int(self.toxic[b])) for b, c in zip(bs, cs) if b >= 0] for bs, cs in zip(best[:, :3].tolist(), cos[:, :3].tolist())]
+        return scores, shown
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, k: int = 15, max_examples: int = 3000, error: float = 0.01) -> DataFrame:
     """doc_id, held_out, score, predicted, and evidence: the three nearest
     examples as ``id:cosine:label``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     examples, sizes = sample_examples(docs, labels, folds, held_out, max_examples)
-    terms = choose_terms(examples, max_terms)
+    terms = choose_terms(examples, error)
     place = {w: i for i, w in enumerate(terms)}
     df, n = document_frequencies(docs, place)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
@@ -244,10 +299,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scored = [model.value.score(t) for t in text_bytes(b.column(1))]
-            score = [s for s, _ in scored]
-            shown = [", ".join(f"{i}:{c:.4f}:{t}" for i, c, t in e) for _, e in scored]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(shown, pa.string())], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            score, evidence = model.value.score(text_bytes(b.column(1)))
+            shown = [", ".join(f"{i}:{c:.4f}:{t}" for i, c, t in e) for e in evidence]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(shown, pa.string())], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     out = docs.withColumn("held_out", crc_mod(F.col("doc_id"), folds) == held_out)
     kind = docs.schema["doc_id"].dataType.simpleString()
