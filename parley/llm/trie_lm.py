@@ -1,17 +1,22 @@
 """LM scoring with a sharded Elias-Fano n-gram trie.
 
-*Model.*  Trigrams over word hashes, interpolated by absolute discounting:
+*Model.*  Trigrams over word hashes (A-Z lower-cased), interpolated with smoothed
+bigrams and unigrams:
 
-    p(w | u v) = (c(uvw) - D3)+ / c(uv) + g(uv)  * p(w | class(u) v)
-    p(w | class(u) v) = (c - D2)+ / c(class(u) v) + g(class(u) v) * p(w)
-    p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | u v) = (c(uvw) - D)+ / c(uv) + D * successors(uv) / c(uv) * p(w | v)
+    p(w | v)   = (c(vw) + M * p(w)) / (c(v) + M)
+    p(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-``g`` is the discounted mass (D * distinct successors / count).  The class of
-the word before last splits the contexts of a frequent word over the shards: a
-word that is a third of all tokens is spread over all of them, and all counts
-of one context are in one shard.
+All counts are of the whole training text.  The result depends on the corpus
+only, not on shards, blocks or partitions.
 
-*Trie.*  A shard keeps its contexts (class(u) v) in three levels:
+*Frequent words.*  A shard holds all trigrams (u, v, w) of a middle word v.  A v
+that occurs ``hot_tokens`` times or more is split by classes of u, so that a word
+that is a third of all tokens is spread over all shards, with all counts of a
+context (u, v) in one of them.  The bigram counts of such a v are not in one
+shard then: blocks ask for them by a message kind of their own, split by (v, w).
+
+*Trie.*  A shard keeps its middle words (v, or v and a class of u) in three levels:
 
     roots        sorted context keys
     successors   words after a root, and the preceding words u of a root
@@ -26,16 +31,16 @@ logarithm, rounded so that no distribution gains mass.  The levels are written
 to one file in the task's temporary folder and memory-mapped; queries come in
 key order and read only the pieces they fall in (successor search).
 
-*Flow.*  Blocks send their distinct unigrams and trigrams with their counts in
+*Flow.*  Blocks send their distinct unigrams, trigrams and bigrams of frequent words with their counts in
 training documents (:mod:`parley.llm.blocks`); shards build the trie from the
 training counts and answer each block's trigrams with the two masses of
 ``p = A + B * p(w)``; blocks add up their documents.  What is gathered grows
 with the corpus, nothing is pruned, and every shard and block stays small.
 
 Word hashes: 64 bits for unigrams (the base score is exact up to collisions of
-64-bit hashes); in n-grams 40 bits name the root, 16 more the preceding word
-within its class and 24 the successor within its root, so a few rare words
-share an entry.
+64-bit hashes, and bigrams of frequent words as well); in the trie 39 bits name
+the root, 24 the preceding word within its root and 24 the successor, so few rare
+words share an entry (a root of 100,000 preceding words: 0.6 % of them).
 
 Defined results: null text is the empty text, one end token; no training
 documents give the uniform base; ids without text are scored; repeated rows
@@ -46,6 +51,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +64,10 @@ from parley.llm.common import arrow_map, block_count, corpus_size, crc_mod, hash
 
 END = xxhash.xxh64_intdigest(b" end", 0)  # no word holds a space
 START = xxhash.xxh64_intdigest(b" start", 0)
-UNIGRAMS, TRIGRAMS = 0, 1
-ROOT_BITS, PREV_BITS, NEXT_BITS = 40, 16, 24
+UNIGRAMS, TRIGRAMS, BIGRAMS = 0, 1, 2
+ROOT_BITS, PREV_BITS, NEXT_BITS = 40, 24, 24
+#: bigram counts weigh against this many tokens of the unigram distribution
+PRIOR_TOKENS = 50.0
 PIECE = 4096
 STEP = 4096.0  # codes per power of ten
 NONE = 0xFFFF
@@ -168,7 +176,7 @@ class Trie:
     LEVELS = ("roots", "succ", "prev", "tri", "succ_ptr")
     CODES = ("succ_mass", "root_back", "tri_mass", "prev_back")
 
-    def __init__(self, root, prev, nxt, count, d2: float = 0.75, d3: float = 0.75):
+    def __init__(self, root, prev, nxt, count, prior: float = PRIOR_TOKENS, d3: float = 0.75):
         u64 = np.uint64
         roots, r = np.unique(root, return_inverse=True)
         self.roots = EliasFano(roots)
@@ -180,8 +188,10 @@ class Trie:
         self.succ = EliasFano(pair)
         pointer = np.concatenate(([0], np.cumsum(kinds)))
         self.succ_ptr = EliasFano(pointer)
-        self.succ_mass = encode(np.maximum(c2 - d2, 0) / total[of_root])
-        self.root_back = encode(np.minimum(1.0, d2 * kinds / np.maximum(total, 1)))
+        # the bigrams of a root that is split (odd keys) are not all here
+        whole = (roots & u64(1)) == 0
+        self.succ_mass = encode(np.where(whole[of_root], c2 / (total[of_root] + prior), 0.0))
+        self.root_back = encode(np.where(whole, prior / (total + prior), 1.0))
         # (root, prev): the bigram contexts, in trigram order
         node, ctx, c1 = _sums(r.astype(u64) << u64(PREV_BITS) | prev, count)
         n3 = np.bincount(ctx, minlength=len(node))
@@ -214,7 +224,8 @@ class Trie:
         return self
 
     def masses(self, root, prev, nxt) -> tuple[np.ndarray, np.ndarray]:
-        """(A, B) of ``p = A + B * p(next)`` for trigrams in key order."""
+        """(A, B) of ``p = A + B * p(next)`` for trigrams in key order; of
+        ``p = A + B * p(next | v)`` where v is split."""
         u64 = np.uint64
         a, b = np.zeros(len(root)), np.ones(len(root))
         r = self.roots.find(root)
@@ -251,12 +262,13 @@ def _sums(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 # -- blocks ---------------------------------------------------------------------
 
 class Tokens:
-    """The tokens of a block and their distinct unigrams and trigrams."""
+    """The tokens of a block and their distinct unigrams, trigrams, and bigrams
+    of the frequent words ``hot`` (sorted hashes)."""
 
-    def __init__(self, rows: pa.Table, classes: int):
+    def __init__(self, rows: pa.Table, classes: int, hot: np.ndarray):
         parts, ends = [], []
         for t in blocks.texts_of(rows):
-            words = t.split()
+            words = t.lower().split()  # bytes: A-Z only
             h = np.empty(len(words) + 3, np.uint64)
             h[:2] = START
             h[2:-1] = hash_words(words)
@@ -273,11 +285,19 @@ class Tokens:
         self.word = flat[at]
         u, v = flat[at - 2], flat[at - 1]
         del flat, token, at, parts
-        # the class of u goes into the root, other bits of u tell it within
-        root = mix(v, mix(u, 1) % np.uint64(classes)) >> np.uint64(64 - ROOT_BITS)
-        rest = (mix(u, 2) >> np.uint64(64 - PREV_BITS)) << np.uint64(NEXT_BITS) | (self.word >> np.uint64(64 - NEXT_BITS))
-        del u, v
         self.train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), self.counts)
+        place = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0))
+        split = hot[place] == v if len(hot) else np.zeros(len(v), bool)
+        self.split_at = np.flatnonzero(split)
+        pairs = mix(v[split], self.word[split], 0xC2B2AE3D27D4EB4F)
+        self.pair, self.pair_of = np.unique(pairs, return_inverse=True)
+        self.pair_count = np.bincount(self.pair_of, self.train[self.split_at], len(self.pair)).astype(np.uint64)
+        del place, pairs
+        # a class of u goes into the root of a split word, other bits of u tell it within
+        root = mix(v, np.where(split, mix(u, 1) % np.uint64(classes) + np.uint64(1), np.uint64(0))) >> np.uint64(64 - ROOT_BITS)
+        root = root & ~np.uint64(1) | split.astype(np.uint64)
+        rest = (mix(u, 2) >> np.uint64(64 - PREV_BITS)) << np.uint64(NEXT_BITS) | (self.word >> np.uint64(64 - NEXT_BITS))
+        del u, v, split
         order = blocks.order_pairs(root, rest, PREV_BITS + NEXT_BITS)
         root, rest = root[order], rest[order]
         new = np.ones(len(order), bool)
@@ -312,15 +332,18 @@ def _root_shards(n: int):
     return lambda root: (root * np.uint64(n)) >> np.uint64(ROOT_BITS) if n < 1 << 23 else root >> np.uint64(ROOT_BITS - 23)
 
 
-def _send(rows: pa.Table, n_shards: int, classes: int):
-    t = Tokens(rows, classes)
+def _send(rows: pa.Table, n_shards: int, classes: int, hot: np.ndarray):
+    t = Tokens(rows, classes, hot)
     for shard, lo, hi in blocks.ranges(t.uni, blocks.even_shards(n_shards)):
         yield UNIGRAMS, shard, _body(blocks.pack_sorted(t.uni[lo:hi]), blocks.pack(t.uni_count[lo:hi]))
+    for shard, lo, hi in blocks.ranges(t.pair, blocks.even_shards(n_shards)):
+        yield BIGRAMS, shard, _body(blocks.pack_sorted(t.pair[lo:hi]), blocks.pack(t.pair_count[lo:hi]))
     for shard, lo, hi in blocks.ranges(t.root, _root_shards(n_shards)):
         yield TRIGRAMS, shard, _body(blocks.pack_sorted(t.root[lo:hi]), blocks.pack(t.rest[lo:hi]), blocks.pack(t.tri_count[lo:hi]))
 
 
-def _count_unigrams(bodies: list[bytes]) -> list[bytes]:
+def _count_keys(bodies: list[bytes]) -> list[bytes]:
+    """The training counts of all blocks' keys (unigrams, split bigrams)."""
     sent = [_parts(b) for b in bodies]
     keys = [blocks.unpack_sorted(p[0]) for p in sent]
     distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -355,53 +378,67 @@ def _query_trie(bodies: list[bytes]) -> list[bytes]:
     return [_body(blocks.pack(a), blocks.pack(b)) for a, b in zip(*(np.split(c[of], ends) for c in codes))]
 
 
-def _score(rows: pa.Table, n_shards: int, classes: int, total: int, vocabulary: int, given: dict) -> pa.Table:
-    t = Tokens(rows, classes)
-    count = np.zeros(len(t.uni))
-    for shard, lo, hi in blocks.ranges(t.uni, blocks.even_shards(n_shards)):
-        count[lo:hi] = blocks.unpack(given[UNIGRAMS, shard])
+def _counts(keys: np.ndarray, kind: int, n_shards: int, given: dict) -> np.ndarray:
+    count = np.zeros(len(keys))
+    for shard, lo, hi in blocks.ranges(keys, blocks.even_shards(n_shards)):
+        count[lo:hi] = blocks.unpack(given[kind, shard])
+    return count
+
+
+def _score(rows: pa.Table, n_shards: int, classes: int, hot: np.ndarray, total: int, vocabulary: int, given: dict) -> pa.Table:
+    t = Tokens(rows, classes, hot)
+    count = _counts(t.uni, UNIGRAMS, n_shards, given)
     a, b = np.zeros(len(t.root)), np.ones(len(t.root))
     for shard, lo, hi in blocks.ranges(t.root, _root_shards(n_shards)):
         codes = [decode(blocks.unpack(p)) for p in _parts(given[TRIGRAMS, shard])]
         a[lo:hi], b[lo:hi] = codes
     c = count[t.uni_of]
     base = (c + 0.5) / (total + 0.5 * (vocabulary + 1))
-    p = a[t.tri_of] + b[t.tri_of] * base
+    lower = base.copy()  # what a trigram falls back to: the unigram, or the bigram of a split word
+    at = t.split_at
+    lower[at] = (_counts(t.pair, BIGRAMS, n_shards, given)[t.pair_of] + PRIOR_TOKENS * base[at]) / (c[at - 1] + PRIOR_TOKENS)
+    p = a[t.tri_of] + b[t.tri_of] * lower
     doc = np.repeat(np.arange(len(t.counts)), t.counts)
     add = lambda x: np.bincount(doc, x, len(t.counts))
     columns = [rows.column("doc_id"), rows.column("held_out"), pa.array(t.counts), pa.array(add(c > 0).astype(np.int64)), pa.array(add(np.log10(base))), pa.array(add(np.log10(np.maximum(p, 1e-300))))]
     return pa.table(dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), columns)))
 
 
-def _corpus_counts(train: DataFrame) -> tuple[int, int]:
-    """N and V: all and distinct tokens of the training documents."""
+def _corpus_counts(train: DataFrame, hot_tokens: int) -> tuple[int, int, np.ndarray]:
+    """N and V, all and distinct tokens of the training documents, and the hashes
+    of the words that are split: at most a million, whatever the corpus is."""
     total = train.agg(F.coalesce(F.sum(n_words(F.col("text")) + 1), F.lit(0))).first()[0]
+    least = max(hot_tokens, total // 10**6)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        words = set()
-        for t in text_bytes(b.column(0)):
-            words.update((t or b"").split())
-        h = np.append(np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in words), np.uint64, len(words)), np.uint64(END))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+        words: Counter = Counter()
+        texts = text_bytes(b.column(0))
+        for t in texts:
+            words.update((t or b"").lower().split())
+        h = np.append(hash_words(list(words)), np.uint64(END))
+        n = np.append(np.fromiter(words.values(), np.int64, len(words)), len(texts))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    distinct = arrow_map(train.select("text"), run, "h long").distinct().count()
-    return total, distinct
+    counts = arrow_map(train.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    r = counts.agg(F.count(F.lit(1)).alias("v"), F.collect_list(F.when(F.col("n") >= least, F.col("h"))).alias("hot")).first()
+    hot = np.array(r["hot"], np.int64).view(np.uint64)
+    return total, r["v"], np.sort(hot[hot != np.uint64(END)])
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, block_mb: int = 12) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, block_mb: int = 12, hot_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(doc_id) mod ``folds`` is ``held_out`` are scored but
     not learnt from.
     """
     docs = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"))
-    total, vocabulary = _corpus_counts(docs.where("NOT held_out"))
+    total, vocabulary, hot = _corpus_counts(docs.where("NOT held_out"), hot_tokens)
     n_blocks = block_count(docs.sparkSession, corpus_size(docs)[1], block_mb)
-    classes = n_blocks
+    classes = total // hot_tokens + 1
     dealt = blocks.deal(docs, n_blocks)
-    asked = blocks.ask(dealt, lambda rows, _: _send(rows, n_blocks, classes))
-    answers = blocks.answer(asked, lambda kind, shard, bodies: _query_trie(bodies) if kind == TRIGRAMS else _count_unigrams(bodies))
+    asked = blocks.ask(dealt, lambda rows, _: _send(rows, n_blocks, classes, hot))
+    answers = blocks.answer(asked, lambda kind, shard, bodies: _query_trie(bodies) if kind == TRIGRAMS else _count_keys(bodies))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = blocks.settle(dealt, answers, lambda rows, given: _score(rows, n_blocks, classes, total, vocabulary, given), schema)
+    scored = blocks.settle(dealt, answers, lambda rows, given: _score(rows, n_blocks, classes, hot, total, vocabulary, given), schema)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

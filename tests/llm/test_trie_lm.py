@@ -1,14 +1,18 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 
-from parley.llm.common import mix
-from parley.llm.trie_lm import END, START, EliasFano, Trie, decode, encode, score_documents
+from parley.llm.trie_lm import PRIOR_TOKENS, EliasFano, Trie, decode, encode, score_documents
+from tests.conftest import SF001, SF01
+
+
+def words(t):
+    return (t or "").encode().lower().decode().split() + [None]
 
 
 def test_elias_fano_round_trip_and_successor_search():
@@ -34,11 +38,11 @@ def test_codes_never_gain_mass():
 
 def test_trie_against_counting(tmp_path):
     rnd = random.Random(4)
-    grams = Counter((rnd.randrange(6), rnd.randrange(5), rnd.randrange(30)) for _ in range(600))
+    grams = Counter((rnd.choice([0, 2, 4, 5, 7, 8]), rnd.randrange(5), rnd.randrange(30)) for _ in range(600))
     keys = sorted(grams)
     root, prev, nxt = (np.array([k[i] for k in keys], np.uint64) for i in range(3))
     trie = Trie(root, prev, nxt, np.array([grams[k] for k in keys], float)).map_to(str(tmp_path))
-    asked = sorted({(r, u, w) for r in range(8) for u in range(6) for w in range(32)})
+    asked = sorted({(r, u, w) for r in range(10) for u in range(6) for w in range(32)})
     a, b = trie.masses(*(np.array([k[i] for k in asked], np.uint64) for i in range(3)))
     for (r, u, w), x, y in zip(asked, a, b):
         c3, c2 = Counter(), Counter()
@@ -48,7 +52,9 @@ def test_trie_against_counting(tmp_path):
                 if u2 == u:
                     c3[w2] += n
         t2, t3 = sum(c2.values()), sum(c3.values())
-        g2, m2 = (0.75 * len(c2) / t2, max(c2[w] - 0.75, 0) / t2) if t2 else (1, 0)
+        g2, m2 = PRIOR_TOKENS / (t2 + PRIOR_TOKENS), c2[w] / (t2 + PRIOR_TOKENS)
+        if r % 2:  # split: its bigrams are asked elsewhere
+            g2, m2 = 1, 0
         g3, m3 = (0.75 * len(c3) / t3, max(c3[w] - 0.75, 0) / t3) if t3 else (1, 0)
         assert x == pytest.approx(m3 + g3 * m2, rel=3e-3, abs=1e-9) and y == pytest.approx(g3 * g2, rel=3e-3)
         assert x <= m3 + g3 * m2 + 1e-12
@@ -56,7 +62,7 @@ def test_trie_against_counting(tmp_path):
 
 def corpus(n=300, seed=2):
     rnd = random.Random(seed)
-    vocab = [f"w{i}" for i in range(200)]
+    vocab = [f"{rnd.choice('wWéÉ')}{i}" for i in range(200)] + ["The", "the", "THE"] * 40
     docs = []
     for i in range(n):
         if docs and rnd.random() < 0.3:
@@ -69,13 +75,13 @@ def corpus(n=300, seed=2):
 def test_base_score_and_gain(spark):
     docs = corpus()
     train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = Counter(w for t in train for w in [*t.split(), None])
+    c = Counter(w for t in train for w in words(t))
     n, v = sum(c.values()), len(c)
     got = score_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
     assert len(got) == len(docs)
     text = dict(docs)
     for r in got:
-        tokens = [*text[r.doc_id].split(), None]
+        tokens = words(text[r.doc_id])
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(c[t] > 0 for t in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens), rel=1e-9)
@@ -83,40 +89,63 @@ def test_base_score_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # copies are foreseen
 
 
-def brute_scores(docs, classes):
+def brute_scores(docs):
     """The model of the module's docstring over dictionaries."""
-    h = lambda w: np.array([xxhash.xxh64_intdigest(w.encode(), 0)], np.uint64)
-    words = lambda t: (t or "").encode().decode().split() + [None]
-    key = lambda w: START if w == "<s>" else END if w is None else int(h(w)[0])
-    cls = lambda u: int((mix(np.array([key(u)], np.uint64), 1) % np.uint64(classes))[0])
     c1, c2, c3 = Counter(), defaultdict(Counter), defaultdict(Counter)
     for i, t in docs:
         if zlib.crc32(str(i).encode()) % 5 != 1:
             s = ["<s>", "<s>", *words(t)]
             for u, v, w in zip(s, s[1:], s[2:]):
                 c1[w] += 1
-                c2[cls(u), v][w] += 1
+                c2[v][w] += 1
                 c3[u, v][w] += 1
     n, v1 = sum(c1.values()), len(c1)
 
-    def level(c, w, lower):
-        total = sum(c.values())
-        return (max(c[w] - 0.75, 0) if w in c else 0) / total + 0.75 * len(c) / total * lower if total else lower
-
     def p(u, v, w):
-        return level(c3[u, v], w, level(c2[cls(u), v], w, (c1[w] + 0.5) / (n + 0.5 * (v1 + 1))))
+        p1 = (c1[w] + 0.5) / (n + 0.5 * (v1 + 1))
+        p2 = (c2[v][w] + PRIOR_TOKENS * p1) / (sum(c2[v].values()) + PRIOR_TOKENS)
+        c, total = c3[u, v], sum(c3[u, v].values())
+        return max(c[w] - 0.75, 0) / total + 0.75 * sum(x > 0 for x in c.values()) / total * p2 if total else p2
 
     return {i: sum(math.log10(p(*g)) for g in zip(s, s[1:], s[2:])) for i, t in docs for s in [["<s>", "<s>", *words(t)]]}
 
 
-def test_scores_against_brute_force(spark):
+@pytest.mark.parametrize("hot_tokens", [10**6, 100, 5])
+def test_scores_against_brute_force(spark, hot_tokens):
+    """Also with frequent (100) and nearly all (5) middle words split."""
     docs = corpus(120, seed=9)
-    want = brute_scores(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_scores(docs)
+    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(docs, "doc_id long, text string"), hot_tokens=hot_tokens).collect()}
     assert got == pytest.approx(want, rel=5e-3)
     assert all(got[i] <= want[i] + 1e-6 for i in want)  # codes are rounded down
 
 
+def test_base_score_of_the_given_documents(spark):
+    """The contract's formula, from its own text, on all sf0.01 documents."""
+    df = spark.read.parquet(f"{SF01}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None] for i, t in docs}
+    c = Counter(w for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1 for w in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for r in score_documents(df).collect():
+        t = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[x] > 0 for x in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), rel=1e-9)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet(f"{SF001}/documents.parquet")
+    held, runs = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            runs.append({r.doc_id: r.score for r in score_documents(df, hot_tokens=500).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert runs[0] == pytest.approx(runs[1], rel=1e-9)
+
+
 def test_edges(spark):
     docs = [(1, None, "k"), (2, "", "k"), (3, "a " * 50000, "k"), (3, "a " * 50000, "k"), (None, "é a", "k")]
     df = spark.createDataFrame(docs, "doc_id long, text string, held_out string")
