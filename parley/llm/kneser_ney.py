@@ -211,7 +211,7 @@ def _judged(docs: DataFrame, labels: DataFrame, max_trusted: int, order: int, bi
     limit = trusted.agg(F.percentile_approx(drawn(F.lit(whole)), quantile, 100_000)).first()[0]
     limits = trusted.join(broadcast_if_small(means, MANY_LANGUAGES), "lkey").groupBy("lkey", "mean").agg(F.percentile_approx(drawn(F.col("mean")), quantile, 100_000).alias("limit"))
     limits = materialize(limits)  # one row per language with trusted text
-    row = model.add(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "lang", "text"))
+    row = model.add(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "text"))
     row = row.withColumn("lkey", _key(F.col("lang"))).join(broadcast_if_small(limits, MANY_LANGUAGES), "lkey", "left")
     value = drawn(F.coalesce("mean", F.lit(whole)))
     bar = F.coalesce("limit", F.lit(float("inf") if limit is None else limit))

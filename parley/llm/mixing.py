@@ -141,10 +141,12 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_rate
 
 
 def apply_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_rate: float = 2.0, iterations: int = 60, seed: int = 7) -> DataFrame:
-    """The mixed documents: ``docs``' columns, then ``mix_size``,
-    ``mix_target`` and ``mix_copies``; documents taken 0 times go."""
+    """The mixed documents: ``docs``' columns, then ``mix_size``, ``mix_target``
+    and ``mix_copies`` (in place of columns of these names); documents taken 0
+    times go."""
     sized = materialize(mix_sizes(docs.select("doc_id", "source", "text"), seed).select("source", "skey", "size", "u"))
     plan = plan_mix(sized, weights, share, max_rate, iterations)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
     out = _join_plan(mix_sizes(rows, seed).select("row", "skey", "size", "u"), plan)
-    return out.where("copies > 0").select("row.*", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("mix_size", "mix_target", "mix_copies")]
+    return out.where("copies > 0").select(*kept, F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))

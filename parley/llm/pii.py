@@ -1,6 +1,6 @@
 """Format-preserving Feistel pseudonyms for personal data (native).
 
-Candidates are found by one pattern, validated (Luhn digits of cards, octets
+Candidates are found by one pattern, validated (issuer, length and Luhn digits of cards, octets
 of addresses, days of dates, ranges of social security numbers) and replaced
 by a keyed permutation within their own format, so equal values have equal
 pseudonyms in every document, however cards, phones and dates are written, and
@@ -19,7 +19,7 @@ function of key, kind, round and the other half:
 The text is cut at the matches and joined again in the row: no shuffle, no
 Python.  Texts without a digit or ``@`` are not searched at all.
 
-Defined results: null text stays null; values that fail their validation stay
+Defined results: ``pii_*`` columns replace columns of the same name; null text stays null; values that fail their validation stay
 as they are; a text of any length is searched to its end; repeated rows and
 equal values get equal results; all other columns are kept; an empty table
 gives no rows.
@@ -134,14 +134,38 @@ def _with_digits(m: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
 
 
+#: The leading digits of card issuers and the lengths of their numbers
+ISSUERS = (
+    (("4",), (13, 16, 19)),
+    (("34", "37"), (15,)),
+    (("30", "36", "38", "39"), (14,)),
+    (("22", "23", "24", "25", "26", "27", "51", "52", "53", "54", "55"), (16,)),
+    (("35",), (16, 17, 18, 19)),
+    (("50", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "67", "68", "69"), (13, 14, 15, 16, 17, 18, 19)),
+)
+
+
+def _issued(digits: Column) -> Column:
+    """Leading digits of an issuer and one of its lengths."""
+    out, n = F.lit(False), F.length(digits)
+    for heads, lengths in ISSUERS:
+        out = out | (F.substr(digits, F.lit(1), F.lit(len(heads[0]))).isin(*heads) & n.isin(*lengths))
+    return out
+
+
+def _is_card(digits: Column) -> Column:
+    return F.when(_issued(digits), luhn_sum(digits, False) % 10 == 0).otherwise(F.lit(False))
+
+
 def _card(m: Column, key: str, undo: bool) -> Column:
-    """First digit and separators stay, the body's bare digits are permuted,
-    the check digit is made anew."""
+    """The issuer's digits and separators stay, the body's bare digits are
+    permuted, the check digit is made anew."""
 
     def other(digits):
-        body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel_text(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card", undo))
+        head = F.when(digits.startswith("4"), 1).otherwise(2)
+        body = F.concat(F.substr(digits, F.lit(1), head), feistel_text(F.substr(digits, head + 1, F.length(digits) - head - 1), key, "card", undo))
         checked = lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, True) % 10, F.lit(10)).cast("string"))
-        return F.when(luhn_sum(digits, False) % 10 == 0, _let(_let(body, checked), lambda new: _with_digits(m, new))).otherwise(m)
+        return F.when(_is_card(digits), _let(_let(body, checked), lambda new: _with_digits(m, new))).otherwise(m)
 
     return _let(_bare(m), other)
 
@@ -156,7 +180,9 @@ def _phone(m: Column, key: str, undo: bool) -> Column:
 
 #: cards as they are usually written: one group, groups of four, 4-6-5 or 4-6-4
 LAYOUT = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
-MOST_GROUPS, WALK = 19, 1000
+MOST_GROUPS, WALK = 19, 200
+#: a card's digits decide on windows that begin at most twice 18 groups before it
+REACH = 40
 
 
 def _groups(run: Column) -> Column:
@@ -168,32 +194,48 @@ def _window(groups: Column, at: Column, n: Column) -> Column:
     return F.rtrim(F.array_join(F.slice(groups, at, n), ""), F.lit(" -"))
 
 
-def _valid_at(groups: Column, at: Column, layout: bool = False) -> Column:
-    """How many groups from ``at`` on make a card (13 to 19 Luhn digits)."""
+def _valid_at(groups: Column, at: Column) -> Column:
+    """The cards that can begin at the group ``at``: array of (n, usual), how
+    many groups they have and whether these are a usual layout."""
+    none = F.struct(F.lit("").alias("digits"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("found"))
 
-    def valid(w):
-        luhn = _let(F.regexp_replace(w, "[ -]", ""), lambda d: F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0))
-        return w.rlike(LAYOUT) & luhn if layout else luhn
+    def step(x, g):
+        def longer(d):
+            n = x["n"] + 1
+            found = F.when(_is_card(d), F.concat(x["found"], F.array(n))).otherwise(x["found"])
+            return F.struct(d.alias("digits"), n.alias("n"), found.alias("found"))
+        return F.when(F.length(x["digits"]) >= 19, x).otherwise(_let(F.concat(x["digits"], F.rtrim(g, F.lit(" -"))), longer))
 
-    return F.filter(F.sequence(F.lit(1), F.lit(MOST_GROUPS)), lambda n: (at + n - 1 <= F.size(groups)) & _let(_window(groups, at, n), valid))
+    lengths = F.aggregate(F.slice(groups, at, MOST_GROUPS), none, step, lambda x: x["found"])
+    usual = lambda n: F.struct(n.alias("n"), _window(groups, at, n).rlike(LAYOUT).alias("usual"))
+    empty = F.array().cast("array<struct<n:int,usual:boolean>>")
+    return F.when(F.element_at(groups, at).rlike("^[2-6]"), F.transform(lengths, usual)).otherwise(empty)
 
 
-def _card_at(groups: Column, at: Column) -> Column:
-    """The groups of the card that begins at ``at`` (null: none): the shortest
-    usual layout, else the longest that no card of a usual layout overlaps."""
-    usual = lambda n: F.exists(F.sequence(at, at + n - 1), lambda i: (i > at) & (F.size(_valid_at(groups, i, True)) > 0))
-    return F.coalesce(F.array_min(_valid_at(groups, at, True)), F.array_max(F.filter(_valid_at(groups, at), lambda n: ~usual(n))))
+def _cards(groups: Column, last: Column) -> Column:
+    """(at, n) of the cards that begin at the groups 1 to ``last``, none over
+    another: from left to right the shortest usual layout, else the longest that
+    no card of a usual layout overlaps.  Each group's windows are judged once."""
 
+    def scan(valid):
+        usual = lambda i: F.exists(F.get(valid, i - 1), lambda v: v["usual"])
+        overlapped = lambda at, n: F.when(n > 1, F.exists(F.sequence(at + 1, F.greatest(at + n - 1, at + 1)), usual)).otherwise(F.lit(False))
 
-def _cards(groups: Column, first: Column, last: Column) -> Column:
-    """(at, n) of the cards beginning at the groups ``first`` to ``last``."""
-    none = F.struct(first.alias("free"), F.array().cast("array<struct<at:int,n:int>>").alias("found"))
+        def best(at):
+            here = F.get(valid, at - 1)
+            short = F.array_min(F.transform(F.filter(here, lambda v: v["usual"]), lambda v: v["n"]))
+            plain = F.array_max(F.transform(F.filter(here, lambda v: ~overlapped(at, v["n"])), lambda v: v["n"]))
+            return F.coalesce(short, plain)
 
-    def step(x, at):
-        card = lambda n: F.when(n.isNull(), x).otherwise(F.struct((at + n).alias("free"), F.concat(x["found"], F.array(F.struct(at.alias("at"), n.alias("n")))).alias("found")))
-        return F.when(at < x["free"], x).otherwise(_let(_card_at(groups, at), card))
+        def step(x, at):
+            card = lambda n: F.when(n.isNull(), x).otherwise(F.struct((at + n).alias("free"), F.concat(x["found"], F.array(F.struct(at.alias("at"), n.alias("n")))).alias("found")))
+            return F.when((at < x["free"]) | (F.size(F.get(valid, at - 1)) == 0), x).otherwise(_let(best(at), card))
 
-    return F.aggregate(F.sequence(first, last), none, step, lambda x: x["found"])
+        none = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<at:int,n:int>>").alias("found"))
+        return F.aggregate(F.sequence(F.lit(1), last), none, step, lambda x: x["found"])
+
+    ahead = F.least(last + MOST_GROUPS - 1, F.size(groups))
+    return _let(F.transform(F.sequence(F.lit(1), ahead), lambda at: _valid_at(groups, at)), scan)
 
 
 def _run(m: Column, key: str, undo: bool) -> Column:
@@ -201,29 +243,64 @@ def _run(m: Column, key: str, undo: bool) -> Column:
 
     A pseudonym that would move the cards (digits beside it make another card
     with some of its own) is permuted again, so ``undo`` finds the same ones.
-    What begins at a group depends on the next 24 groups only.
+    That is seen in the groups around it: of the cards before, those that end
+    within ``REACH`` groups are found again, from a place between two cards.
+    What is carried from card to card are the groups of those done.
     """
-    one = F.lit(1)
-
-    def permuted(groups, cards, k):
-        at, n = F.get(cards, k - 1)["at"], F.get(cards, k - 1)["n"]
-        back = F.greatest(k - 24, F.lit(0))  # cards before those that are looked at again
-        first = F.when(back == 0, one).otherwise(F.get(cards, back - 1)["at"] + F.get(cards, back - 1)["n"])
-
-        def again(x, _):
-            old = _window(x["groups"], at, n)
-            tail = F.substr(F.array_join(F.slice(x["groups"], at, n), ""), F.length(old) + 1, one)
-            new = F.concat(F.slice(x["groups"], one, at - 1), F.filter(_groups(F.concat(_card(old, key, undo), tail)), lambda g: g != ""), F.slice(x["groups"], at + n, F.size(x["groups"])))
-            same = lambda g: F.struct(g.alias("groups"), (_cards(g, first, at) == F.slice(cards, back + 1, k - back)).alias("done"))
-            return F.when(x["done"], x).otherwise(_let(new, same))
-
-        return F.aggregate(F.sequence(one, F.lit(WALK)), F.struct(groups.alias("groups"), F.lit(False).alias("done")), again, lambda x: x["groups"])
-
-    def all_permuted(groups, cards):
-        order = F.sequence(F.size(cards), one, F.lit(-1)) if undo else F.sequence(one, F.size(cards))
-        return F.when(F.size(cards) == 0, m).otherwise(F.array_join(F.aggregate(order, groups, lambda g, k: permuted(g, cards, k)), ""))
-
-    return _let(_groups(m), lambda groups: _let(_cards(groups, one, F.size(groups)), lambda cards: all_permuted(groups, cards)))
+    one, beside = F.lit(1), MOST_GROUPS - 1
+
+    def with_cards(groups, cards):
+        card = lambda i: F.get(cards, i - 1)
+        end = lambda i: card(i)["at"] + card(i)["n"]  # noqa: E731  the group behind it
+        count = F.size(cards)
+
+        def overlaid(low, high, first, last, value):
+            """Groups ``low`` to ``high`` with ``value(i)`` for the cards ``first`` to ``last``."""
+            def piece(i):
+                begin = F.when(i == first, low).otherwise(end(i - 1))
+                return F.concat(F.slice(groups, begin, card(i)["at"] - begin), value(i))
+            rest = lambda begin: F.slice(groups, begin, F.greatest(high - begin + 1, F.lit(0)))
+            return F.when(first > last, rest(low)).otherwise(F.concat(F.flatten(F.transform(F.sequence(first, F.greatest(first, last)), piece)), rest(end(last))))
+
+        def step(out, k):
+            at, n = card(k)["at"], card(k)["n"]
+            ended = F.array_max(F.filter(F.sequence(F.greatest(k - REACH - 8, one), k), lambda i: end(i) <= at - REACH))
+
+            def around(j):  # the last card that ends before the reach; 0: none
+                first = F.greatest(F.when(j == 0, one).otherwise(end(j)), F.least(at - REACH, card(j + 1)["at"]))
+
+                def local(begin):
+                    place = at - begin + 1
+                    want = F.transform(F.slice(cards, j + 1, k - j), lambda c: F.struct((c["at"] - begin + 1).alias("at"), c["n"].alias("n")))
+                    if undo:  # the cards behind are done
+                        last = F.coalesce(F.array_max(F.filter(F.sequence(k, F.least(k + beside, count)), lambda i: (i > k) & (card(i)["at"] < at + n + beside))), k)
+                        behind = overlaid(at + n, at + n + beside - 1, k + 1, last, lambda i: F.get(out, count - i))
+                        near = F.concat(F.slice(groups, begin, place + n - 1), behind)
+                    else:
+                        before = overlaid(begin, at - 1, j + 1, k - 1, lambda i: F.get(out, i - 1))
+                        near = F.concat(before, F.slice(groups, at, n + beside))
+
+                    def again(x, _):
+                        old = _window(x["near"], place, n)
+                        tail = F.substr(F.array_join(F.slice(x["near"], place, n), ""), F.length(old) + 1, one)
+                        parts = F.filter(_groups(F.concat(_card(old, key, undo), tail)), lambda g: g != "")
+                        new = F.concat(F.slice(x["near"], one, place - 1), parts, F.slice(x["near"], place + n, F.size(x["near"])))
+                        same = lambda g: F.struct(g.alias("near"), (_cards(g, place) == want).alias("done"))
+                        return F.when(x["done"], x).otherwise(_let(new, same))
+
+                    return F.aggregate(F.sequence(one, F.lit(WALK)), F.struct(near.alias("near"), F.lit(False).alias("done")), again,
+                                       lambda x: F.slice(x["near"], place, n))
+
+                return _let(first, local)
+
+            return F.concat(out, F.array(_let(F.coalesce(ended, F.lit(0)), around)))
+
+        order = F.sequence(count, one, F.lit(-1)) if undo else F.sequence(one, count)
+        done = F.aggregate(order, F.array().cast("array<array<string>>"), step)
+        text = lambda out: F.array_join(overlaid(one, F.size(groups), one, count, lambda i: F.get(out, count - i if undo else i - 1)), "")
+        return F.when(count == 0, m).otherwise(_let(done, text))
+
+    return _let(_groups(m), lambda groups: _let(_cards(groups, F.size(groups)), lambda cards: with_cards(groups, cards)))
 
 
 def _ip(m: Column, key: str, undo: bool) -> Column:
@@ -350,8 +427,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool =
     same key restores the original text.
     """
     cols = docs.columns
-    matches, new = _replaced(F.col(text_col), key, undo)
-    row = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.col(text_col).alias("text"), matches.alias("old"))
+    matches, new = _replaced(F.col(f"`{text_col}`"), key, undo)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(f"`{text_col}`").alias("text"), matches.alias("old"))
     row = row.withColumn("new", F.when(F.size("old") > 0, new(F.col("old"))).otherwise(F.col("old")))
     pieces = F.split("text", PATTERN, -1)
     joined = F.array_join(F.zip_with(pieces, F.col("new"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
@@ -360,4 +437,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool =
     if not report:
         return out.select("row.*")
     done = F.filter(F.zip_with("old", "new", lambda o, n: F.when(o != n, kind_of(o))), lambda k: k.isNotNull())
-    return out.select("row.*", F.size("old").alias("pii_found"), F.size(done).alias("pii_replaced"), F.array_join(F.array_sort(F.array_distinct(done)), ",").alias("pii_kinds"))
+    kept = [F.col("row").getField(c).alias(c) for c in cols if c not in ("pii_found", "pii_replaced", "pii_kinds")]
+    return out.select(*kept, F.size("old").alias("pii_found"), F.size(done).alias("pii_replaced"), F.array_join(F.array_sort(F.array_distinct(done)), ",").alias("pii_kinds"))

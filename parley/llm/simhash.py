@@ -249,6 +249,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) ->
     (null last; rows that share it: the smallest text hash)."""
     _, groups = _grouped(docs, shingle, radius)
     keep = groups.select(F.col("first.doc_id").alias("k"), F.col("first.th").alias("kh")).distinct()
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    kept = row.join(keep, F.col("i").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")), "left_semi")
+    # one key for the join and for equal rows, so that texts move once
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    kept = row.join(keep.select(name("k").alias("i"), F.col("kh").alias("h")), ["i", "h"], "left_semi")
     return kept.dropDuplicates(["i", "h"]).select("row.*")
