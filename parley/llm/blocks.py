@@ -48,14 +48,14 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def deal(docs: DataFrame, n_blocks: int) -> DataFrame:
+def deal(docs: DataFrame, n_blocks: int, by: tuple[str, str] = ("doc_id", "text")) -> DataFrame:
     """(block, rows): the rows of each block as compressed Arrow, one exchange.
 
-    The block is a hash of doc_id and text.  The result is used several times
+    The block is a hash of ``by``, id and text.  The result is used several times
     in one plan, where Spark reuses the exchange.
     """
     cols = docs.columns
-    keyed = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    keyed = docs.withColumn("_block", F.pmod(F.xxhash64(*by), F.lit(n_blocks)).cast("int"))
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")

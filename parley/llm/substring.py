@@ -12,7 +12,8 @@ window whose words also start earlier in the corpus are removed.
 2. *Estimate*: a sum never falls below the true count, so a window with a cell
    below two in either row is unique.  Only windows estimated repeated go on;
    none that repeats is lost.
-3. *Exact pass*: those windows are grouped by a 128-bit hash of their words.
+3. *Exact pass*: those windows are grouped by a 128-bit hash of their words
+   (words are named by 64 bits, which both halves of it share).
    A block sends each distinct window with its first (doc_id, start); the
    shard answers whether that is the first in the corpus.  Every other
    occurrence is repeated, and its words go.

@@ -286,13 +286,13 @@ class Tokens:
         u, v = flat[at - 2], flat[at - 1]
         del flat, token, at, parts
         self.train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), self.counts)
-        place = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0))
-        split = hot[place] == v if len(hot) else np.zeros(len(v), bool)
-        self.split_at = np.flatnonzero(split)
-        pairs = mix(v[split], self.word[split], 0xC2B2AE3D27D4EB4F)
-        self.pair, self.pair_of = np.unique(pairs, return_inverse=True)
+        split = np.zeros(len(v), bool)
+        if len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+        self.split_at = np.flatnonzero(split).astype(np.int32)
+        self.pair, self.pair_of = np.unique(mix(v[split], self.word[split], 0xC2B2AE3D27D4EB4F), return_inverse=True)
+        self.pair_of = self.pair_of.astype(np.int32)
         self.pair_count = np.bincount(self.pair_of, self.train[self.split_at], len(self.pair)).astype(np.uint64)
-        del place, pairs
         # a class of u goes into the root of a split word, other bits of u tell it within
         root = mix(v, np.where(split, mix(u, 1) % np.uint64(classes) + np.uint64(1), np.uint64(0))) >> np.uint64(64 - ROOT_BITS)
         root = root & ~np.uint64(1) | split.astype(np.uint64)
@@ -357,10 +357,11 @@ def _query_trie(bodies: list[bytes]) -> list[bytes]:
     Equal trigrams of several blocks are one query, and all queries go through
     the trie together in key order, so each of its pieces is read once.
     """
-    sent = [[f(p) for f, p in zip((blocks.unpack_sorted, blocks.unpack, blocks.unpack), _parts(b))] for b in bodies]
-    root, rest, count = (np.concatenate([s[i] for s in sent]) for i in range(3))
-    sizes = [len(s[0]) for s in sent]
-    del sent
+    field = lambda i, f: [f(_parts(b)[i]) for b in bodies]
+    roots = field(0, blocks.unpack_sorted)
+    sizes, root = [len(r) for r in roots], np.concatenate(roots)
+    del roots
+    rest, count = (np.concatenate(field(i, blocks.unpack)) for i in (1, 2))
     order = blocks.order_pairs(root, rest, PREV_BITS + NEXT_BITS)
     root, rest = root[order], rest[order]
     new = np.ones(len(root), bool)
@@ -425,7 +426,7 @@ def _corpus_counts(train: DataFrame, hot_tokens: int) -> tuple[int, int, np.ndar
     return total, r["v"], np.sort(hot[hot != np.uint64(END)])
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, block_mb: int = 12, hot_tokens: int = 1_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, block_mb: int = 8, hot_tokens: int = 500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(doc_id) mod ``folds`` is ``held_out`` are scored but

@@ -41,3 +41,25 @@ def test_edges(spark):
     assert got[50] == got[51] == got[52] == "und" and got[None] == "en" and got[54] == "de" and got[55] in ("en", "de")
     assert {r.lang_pred for r in predict_languages(df.where("lang IS NULL")).collect()} == {"und"}
     assert predict_languages(df.limit(0)).count() == 0
+
+
+def test_predictions_against_brute_force(spark):
+    """Prototypes, cosine and margin from bundles made letter by letter."""
+    docs = [(r.doc_id, (r.text or "")[:300], r.lang) for r in spark.read.parquet(f"{SF01}/documents.parquet").where("doc_id < 120").select("doc_id", "text", "lang").collect()]
+    enc = Encoder(dims=128)
+    bundles = {i: brute_bundle(enc, t) if any(c.isalpha() for c in t) else None for i, t, _ in docs}
+    sums = {}
+    for i, _, lang in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and bundles[i] is not None:
+            sums[lang] = sums.get(lang, 0) + bundles[i]
+    unit = {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items())}
+    got = predict_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), dims=128).collect()
+    assert len(got) == len(docs) and len(unit) > 2
+    for r in got:
+        v = bundles[r.doc_id]
+        if v is None or not np.linalg.norm(v):
+            assert r.lang_pred == "und"
+            continue
+        cos = sorted(((float(u @ v) / np.linalg.norm(v), lang) for lang, u in unit.items()), reverse=True)
+        assert abs(r.score - max(cos[0][0], 0)) < 1e-4 and abs(r.margin - (cos[0][0] - cos[1][0])) < 1e-4
+        assert r.lang_pred == cos[0][1] or r.margin < 1e-4

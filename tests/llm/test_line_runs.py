@@ -41,9 +41,9 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     want = brute(docs)
     assert sum(r[2] for r in want) > 100
-    for options in ({}, {"batches": 1}, {"batches": 5, "fanout": 2}, {"hot_keys": 1}):
+    for options in ({"batches": 1}, {"batches": 5, "fanout": 2}, {"batches": 3, "hot_keys": 1}):
         assert result(df, **options) == want
-    assert result(df, min_chars=1, min_docs=2) == brute(docs, 1, 2)
+    assert result(df, min_chars=1, min_docs=2, batches=2) == brute(docs, 1, 2)
 
 
 def test_edges(spark):
@@ -51,8 +51,8 @@ def test_edges(spark):
     long = "\n".join([line, *(f"line {i} of a very long document, which is kept {i % 7}" for i in range(20000)), line])
     docs = [(1, None), (2, ""), (3, "\n\n"), (4, f"{line}\n{line}"), (None, line), (5, long), (6, line.upper()), (6, f"x\n{line}"), (8, f"\n{line}\n")]
     df = spark.createDataFrame([(*d, "z", 7, "k") for d in docs], "doc_id long, text string, id string, n_lines long, `a.b` string")
-    assert result(df) == brute(docs)
-    out = dedup_lines(df)
+    assert result(df, batches=2) == brute(docs)
+    out = dedup_lines(df, batches=2)
     assert out.columns == ["doc_id", "id", "a.b", "text", "n_lines", "n_dropped"]
     assert out.where("`a.b` = 'k' and id = 'z'").count() == len(docs)
     assert dedup_lines(df.limit(0)).count() == 0

@@ -146,13 +146,13 @@ def test_long_lines_of_digit_groups(spark):
     assert all(r.pii_replaced == 1 and r.text != t for r, t in zip(rows, small))
     assert [r.text for r in run(spark, [r.text for r in rows], undo=True)] == small
     times = []
-    for n in (20_000, 100_000):
+    for n in (5_000, 40_000):
         df = spark.createDataFrame([(1, line(n, (4,)))], "doc_id long, text string")
         began = time.perf_counter()
         (new,) = pseudonymise(df, "k").collect()
         times.append(time.perf_counter() - began)
         assert re.sub("[0-9]", "9", new.text) == re.sub("[0-9]", "9", df.first().text)
-    assert times[1] < 60 and times[1] < 12 * times[0] + 5
+    assert times[1] < 60 and times[1] < 16 * times[0] + 5  # linear
 
 
 def test_dotted_and_clashing_columns(spark):
