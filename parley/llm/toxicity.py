@@ -2,10 +2,12 @@
 
 1. *Examples*: at most ``max_examples`` labelled documents of each class, the
    first by a hash of the id (a bounded, documented sample).
-2. *Terms*: all terms of the examples whose use differs between the classes
-   beyond chance: chi-square of document counts, at the level ``error`` for all
-   terms of the examples together (Bonferroni).  There is no cap on their number
-   or length.  Their inverse document frequencies count all documents.
+2. *Terms*: all terms of the examples that tell the classes apart: they explain
+   at least a share ``effect`` of the labels' variance (chi-square of document
+   counts by the number of examples), and that is not chance at the level
+   ``error`` for all terms of the examples together (Bonferroni).  There is no
+   cap on their number or length.  Their inverse document frequencies count all
+   documents.
 3. *Index*: an inverted index of the examples' unit TF-IDF vectors, in blocks
    of ``BLOCK`` examples; for every term and block the largest weight.  Examples
    are ordered by their heaviest term, so that a block holds like ones.
@@ -73,9 +75,9 @@ def critical_value(error: float) -> float:
     return hi
 
 
-def choose_terms(examples: DataFrame, error: float) -> list[bytes]:
-    """The terms whose document counts differ between the classes, with a chance
-    of ``error`` that any of the examples' terms is chosen by accident."""
+def choose_terms(examples: DataFrame, error: float, effect: float) -> list[bytes]:
+    """The terms whose document counts differ between the classes by ``effect``
+    or more, with a chance of ``error`` that any is chosen by accident."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[bytes, list[int]] = {}
@@ -93,7 +95,8 @@ def choose_terms(examples: DataFrame, error: float) -> list[bytes]:
     below = (n0 + n1) * (s0 + s1 - n0 - n1) * s0 * s1
     chi = F.try_divide((s0 + s1) * F.pow(n1 * (s0 - n0) - n0 * (s1 - n1), 2), below)
     least = critical_value(error / max(counts.count(), 1))
-    return sorted(bytes(r["w"]) for r in counts.where((below > 0) & (chi > least)).select("w").collect())
+    chosen = counts.where((below > 0) & (chi > least) & (chi >= effect * (s0 + s1)))
+    return sorted(bytes(r["w"]) for r in chosen.select("w").collect())
 
 
 def example_vectors(examples: DataFrame, terms: dict[bytes, int]) -> list[tuple]:
@@ -285,13 +288,13 @@ class Scorer:
         return scores, shown
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, k: int = 15, max_examples: int = 3000, error: float = 0.01) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, k: int = 15, max_examples: int = 3000, error: float = 0.01, effect: float = 0.01) -> DataFrame:
     """doc_id, held_out, score, predicted, and evidence: the three nearest
     examples as ``id:cosine:label``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     examples, sizes = sample_examples(docs, labels, folds, held_out, max_examples)
-    terms = choose_terms(examples, error)
+    terms = choose_terms(examples, error, effect)
     place = {w: i for i, w in enumerate(terms)}
     df, n = document_frequencies(docs, place)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0

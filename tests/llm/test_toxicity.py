@@ -61,7 +61,7 @@ def test_critical_value():
     assert abs(critical_value(0.05) - 3.8415) < 1e-3 and abs(critical_value(1e-8) - 32.84) < 1e-2
 
 
-def brute(docs, labels, error=0.01, k=15, smooth=0.25):
+def brute(docs, labels, error=0.01, effect=0.01, k=15, smooth=0.25):
     """The whole score from its definition, with dense vectors."""
     words = lambda t: [w for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())]
     text = dict(docs)
@@ -80,7 +80,7 @@ def brute(docs, labels, error=0.01, k=15, smooth=0.25):
         below = (a + b) * (n0 + n1 - a - b) * n0 * n1
         return (n0 + n1) * (b * (n0 - a) - a * (n1 - b)) ** 2 / below if below else 0
 
-    terms = sorted(w for w, (a, b) in counts.items() if chi(a, b) > least)
+    terms = sorted(w for w, (a, b) in counts.items() if chi(a, b) > least and chi(a, b) >= effect * (n0 + n1))
     n = len(docs)
     df = Counter(w for _, t in docs for w in set(words(t)))
     idf = {w: math.log((1 + n) / (1 + df[w])) + 1 for w in terms}
