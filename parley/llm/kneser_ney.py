@@ -87,15 +87,17 @@ class Grams:
         points = [_points(t) for t in texts]
         self.lengths = np.array([len(p) for p in points], np.int64)
         flat = np.concatenate([x for p in points for x in (begin, p)]) if points else begin
-        real = np.full(len(flat), bool(points))
-        heads = np.cumsum(self.lengths + order - 1) - self.lengths - order + 1
+        # how many symbols of its own text, up to order - 1, are before each symbol
+        before = np.full(len(flat), order - 1, np.int8)
+        heads = np.cumsum(self.lengths + order - 1) - self.lengths - order + 1 if points else np.zeros(1, np.int64)
         for i in range(order - 1):
-            real[heads + i] = False
+            before[heads + i] = i
+        real = before == order - 1
         letters, first = _number(flat, BEGIN + 1)
         self.symbol, self.prefix, self.suffix = [letters.astype(np.int64)], [np.zeros(len(letters), np.int64)], [np.zeros(len(letters), np.int64)]
         size, shorter = len(letters), first
         for n in range(1, order):
-            at = np.arange(n, len(flat)) if n < order - 1 else np.flatnonzero(real)
+            at = np.flatnonzero(before >= n)  # no n-gram reaches into another text
             keys = shorter[at - 1].astype(np.int64) * size + first[at]
             distinct, place = _number(keys, len(self.symbol[-1]) * size)
             suffix = np.zeros(len(distinct), np.int64)

@@ -54,6 +54,9 @@ def test_grams_of_texts():
             longer, shorter = (np.stack(grams.columns(m), 1) for m in (n + 1, n))
             assert (longer[:, :-1] == shorter[grams.prefix[n]]).all() and (longer[:, 1:] == shorter[grams.suffix[n]]).all()
             assert (gram_keys(grams.columns(n)) == grams.keys()[n - 1]).all()
+        # they do not depend on the order of the texts
+        keys = lambda texts: [sorted(k.tolist()) for k in Grams(texts, order).keys()]
+        assert keys(TEXTS) == keys(TEXTS[::-1])
     assert len(Grams([], 3).of) == len(Grams([None, ""], 3).of) == 0
 
 

@@ -51,3 +51,11 @@ def test_edges(spark):
     out = apply_mix(frame(spark, rows))
     assert out.columns == ["doc_id", "text", "source", "size", "mix_size", "mix_target", "mix_copies"]
     assert all(r.mix_copies > 0 and r.size == "x" for r in out.collect())
+
+
+def test_dotted_and_clashing_columns(spark):
+    from parley.llm.mixing import apply_mix
+    df = spark.createDataFrame([(i, "s", "a b c", 9, "k") for i in range(4)], "doc_id long, source string, text string, mix_copies int, `a.b` string")
+    out = apply_mix(df)
+    assert out.columns == ["doc_id", "source", "text", "a.b", "mix_size", "mix_target", "mix_copies"]
+    assert {(r["a.b"], r["mix_size"]) for r in out.collect()} == {("k", 3)}

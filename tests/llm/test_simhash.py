@@ -70,3 +70,13 @@ def test_edges(spark):
     assert kept == [(0, "other words entirely", "d"), (4, "", "b"), (7, "x " * 60000, "e"), (9, "same text here now", "c")]
     assert near_duplicates(df.limit(0)).count() == 0
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_dropping_keeps_odd_columns_and_one_of_equal_rows(spark):
+    from parley.llm.simhash import drop_near_duplicates
+    rows = [(1, "one two three four", "a"), (1, "one two three four", "a"), (2, "one two three four", "b"), (None, "quite another text here", "c"),
+            (None, "quite another text here", "c"), (3, None, "d"), (4, "", "e")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, i string, `a.b` string")
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.i, r["a.b"]) for r in out.collect()) == [(0, "c", "k"), (1, "a", "k"), (3, "d", "k")]
