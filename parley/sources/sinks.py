@@ -16,10 +16,16 @@ from parley.sources.schemas import with_defaults
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int | str, partition_by: list[str] | None = None) -> None:
-    """Idempotent append: the batch's folder is replaced on a retry."""
-    w = df.write.mode("overwrite")
+    """Idempotent append: the batch's folder is replaced on a retry.
+
+    A folder's rows go to one task first, so that a batch has as many files as
+    folders, not folders times tasks; Spark cuts a folder that is too large for
+    one task and puts small ones together (``rebalance``, AQE).
+    """
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
+    else:
+        w = df.write.mode("overwrite")
     w.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 

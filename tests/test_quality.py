@@ -1,5 +1,8 @@
 """Quality checks, registration, sinks, presentation."""
 
+import glob
+
+import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import present as X
@@ -44,6 +47,37 @@ def test_sinks_roundtrip(spark, scratch):
     assert j.startswith('{"id":1,"title":')
 
 
+@pytest.mark.parametrize("write,columns", [(sinks.log_events, {"event_type": "query"}),
+                                           (sinks.log_violations, {"violation_type": "toxicity", "original_query": "q", "action_taken": "blocked"})])
+def test_day_folders_are_not_cut_by_task(spark, scratch, write, columns):
+    at = lambda day: F.make_timestamp_ntz(F.lit(2024), F.lit(1), 1 + day, F.lit(9), F.lit(0), F.lit(0))
+    rows = spark.range(0, 400, 1, 8).select("id", (F.col("id") % 5).alias("user_id"), at((F.col("id") % 5).cast("int")).alias("created_at"),
+                                            *[F.lit(v).alias(c) for c, v in columns.items()])
+    for _ in range(2):
+        write(rows, f"{scratch}/t", 0)
+    days = glob.glob(f"{scratch}/t/batch_id=0/event_date=*")
+    assert len(days) == 5 and len(glob.glob(f"{scratch}/t/batch_id=0/*/*.parquet")) == 5  # not one from each of 8 tasks
+    stored = spark.read.parquet(f"{scratch}/t")
+    kept = ["id", "user_id", "created_at", *columns]
+    assert sorted(map(tuple, stored.select(*kept).collect())) == sorted(map(tuple, rows.select(*kept).collect()))
+    assert stored.where("event_date <> date(created_at)").count() == 0
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, scratch):
+    rows = spark.range(0, 40_000, 1, 8).select(
+        F.col("id"), F.lit("query").alias("event_type"), F.sha2(F.col("id").cast("string"), 256).alias("metadata"),
+        F.when(F.col("id") % 100 == 0, F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("timestamp_ntz").alias("created_at"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "256k")
+    try:
+        sinks.log_events(rows, f"{scratch}/t", 0)
+    finally:
+        spark.conf.unset(size)
+    hot, cold = (glob.glob(f"{scratch}/t/batch_id=0/event_date=2024-01-0{d}/*.parquet") for d in (1, 2))
+    assert len(hot) > 1 and len(cold) == 1
+    assert spark.read.parquet(f"{scratch}/t").agg(F.count("id"), F.count_distinct("id")).first() == (40_000, 40_000)
+
+
 def test_markdown_and_labels(spark):
     df = spark.createDataFrame([("**Key** `x` <b>\n- a\n- b\n### T",)], "t string")
     html = df.select(X.markdown_html("t")).collect()[0][0]
